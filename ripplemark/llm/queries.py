@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
+    from .decontamination import op2_winnow_decontaminate
+    from .licenses import op10_diagonal_licenses
     from .mixing import op8_pivotal_mix
 
     return {
+        "op2_winnow_decontaminate": op2_winnow_decontaminate,
         "op8_pivotal_mix": op8_pivotal_mix,
+        "op10_diagonal_licenses": op10_diagonal_licenses,
     }
 
 
