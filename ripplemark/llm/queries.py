@@ -10,12 +10,14 @@ def queries() -> dict[str, Callable]:
     from .licenses import op10_diagonal_licenses
     from .mixing import op8_pivotal_mix
     from .quality import op1_rule_quality
+    from .simhash import op7_pivot_simhash
     from .toxicity import op3_lexicon_toxicity
 
     return {
         "op1_rule_quality": op1_rule_quality,
         "op2_winnow_decontaminate": op2_winnow_decontaminate,
         "op3_lexicon_toxicity": op3_lexicon_toxicity,
+        "op7_pivot_simhash": op7_pivot_simhash,
         "op8_pivotal_mix": op8_pivotal_mix,
         "op10_diagonal_licenses": op10_diagonal_licenses,
     }
