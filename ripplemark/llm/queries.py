@@ -11,12 +11,14 @@ def queries() -> dict[str, Callable]:
     from .mixing import op8_pivotal_mix
     from .quality import op1_rule_quality
     from .simhash import op7_pivot_simhash
+    from .substring import op4_automaton_substrings
     from .toxicity import op3_lexicon_toxicity
 
     return {
         "op1_rule_quality": op1_rule_quality,
         "op2_winnow_decontaminate": op2_winnow_decontaminate,
         "op3_lexicon_toxicity": op3_lexicon_toxicity,
+        "op4_automaton_substrings": op4_automaton_substrings,
         "op7_pivot_simhash": op7_pivot_simhash,
         "op8_pivotal_mix": op8_pivotal_mix,
         "op10_diagonal_licenses": op10_diagonal_licenses,
