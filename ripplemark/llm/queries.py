@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
+    from .byte_dedup import op9_suffix_array_bytes
     from .decontamination import op2_winnow_decontaminate
     from .licenses import op10_diagonal_licenses
     from .mixing import op8_pivotal_mix
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable]:
         "op4_automaton_substrings": op4_automaton_substrings,
         "op7_pivot_simhash": op7_pivot_simhash,
         "op8_pivotal_mix": op8_pivotal_mix,
+        "op9_suffix_array_bytes": op9_suffix_array_bytes,
         "op10_diagonal_licenses": op10_diagonal_licenses,
     }
 
