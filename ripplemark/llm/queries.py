@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
     from .mixing import op8_pivotal_mix
     from .quality import op1_rule_quality
     from .simhash import op7_pivot_simhash
+    from .spotsigs import op5_spot_signatures
     from .substring import op4_automaton_substrings
     from .toxicity import op3_lexicon_toxicity
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op2_winnow_decontaminate": op2_winnow_decontaminate,
         "op3_lexicon_toxicity": op3_lexicon_toxicity,
         "op4_automaton_substrings": op4_automaton_substrings,
+        "op5_spot_signatures": op5_spot_signatures,
         "op7_pivot_simhash": op7_pivot_simhash,
         "op8_pivotal_mix": op8_pivotal_mix,
         "op9_suffix_array_bytes": op9_suffix_array_bytes,
