@@ -8,6 +8,7 @@ from collections.abc import Callable
 def queries() -> dict[str, Callable]:
     from .byte_dedup import op9_suffix_array_bytes
     from .decontamination import op2_winnow_decontaminate
+    from .html_text import op6_wrapper_html
     from .licenses import op10_diagonal_licenses
     from .mixing import op8_pivotal_mix
     from .quality import op1_rule_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable]:
         "op3_lexicon_toxicity": op3_lexicon_toxicity,
         "op4_automaton_substrings": op4_automaton_substrings,
         "op5_spot_signatures": op5_spot_signatures,
+        "op6_wrapper_html": op6_wrapper_html,
         "op7_pivot_simhash": op7_pivot_simhash,
         "op8_pivotal_mix": op8_pivotal_mix,
         "op9_suffix_array_bytes": op9_suffix_array_bytes,
