@@ -51,3 +51,14 @@ def held_out(doc_id) -> F.Column:
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns in the given types, and no others: extra columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in kinds.items()])
+
+
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns `apart`, and all others as one struct `row`, so that no name of theirs can clash."""
+    others = [c for c in docs.columns if c not in apart]
+    return docs.select(*[F.col(f"`{c}`") for c in apart], F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).cast("string").alias("none")]).alias("row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like`, in its order, out of what packed() made."""
+    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.col(f"row.`{c}`").alias(c) for c in like.columns])

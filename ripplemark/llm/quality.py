@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
-from .common import columns, held_out, staged, table
+from .common import columns, held_out, packed, staged, table, unpacked
 
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LEAST = 24, 3, 0.3, 20
@@ -66,11 +66,13 @@ def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, buf, offsets in t.chunks(batch.column("text")):
             x = _rows_stats(buf, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["doc_id", *STATS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(batch.num_columns)), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=[*batch.schema.names, *STATS])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_stats_rows, f"doc_id bigint, {', '.join(f'{s} double' for s in STATS)}")
+    """The statistics of docs(text), beside all columns that it has."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(_stats_rows, f"{own}, {', '.join(f'{s} double' for s in STATS)}")
 
 
 class Rule(NamedTuple):
@@ -178,11 +180,18 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: fl
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(rid, doc_id, score) for every row of docs(doc_id, text), learned from labels(doc_id, label)."""
-    stats = staged(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("rid", F.monotonically_increasing_id()))
+    stats = staged(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text").withColumn("rid", F.monotonically_increasing_id()))
     rules = learn(stats, labels, sample)
     return stats.select("rid", "doc_id", rules.column().alias("score"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that score `threshold` or more, learned from labels(doc_id, label)."""
+    known = labels.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rules = learn(staged(statistics(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id").distinct()), "doc_id")).drop("text")), known, sample)
+    return unpacked(statistics(packed(docs, "doc_id", "text")).filter(rules.column() >= threshold), docs)
+
+
 def op1_rule_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = columns(table(spark, sf_dir, "documents"), doc_id="long", text="string"), columns(table(spark, sf_dir, "labels"), doc_id="long", quality="double")
     out = classify(docs, labels.withColumnRenamed("quality", "label"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text as t
 from .automaton import SuffixAutomaton
-from .common import columns, table
+from .common import columns, packed, table
 from .repeats import LAST, Span, Unit, anchors, cut, removal, repeats
 
 WINDOW, K = 50, 20
@@ -69,17 +69,18 @@ def _kept_rows(unit: Unit):
                     gone.append(int((end - start).sum()))
                     kept.append(hashlib.sha256(rest).hexdigest())
                     texts.append(rest.decode() if gone[-1] else None)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string())], names=["rid", "doc_id", "n_words", "n_removed", "kept_sha256", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "text", "row", "n_words", "n_removed", "kept_sha256", "rest"])
 
     return run
 
 
 def dedup(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
-    """(rid, doc_id, n_words, n_removed, kept_sha256, rest) for every row of docs(doc_id, text); rest: the kept words, null where none went. rid counts the rows as they are read."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeats(keyed, unit, match)
-    rows = keyed.withColumn("rid", F.monotonically_increasing_id()).join(found, "doc_id", "left").mapInArrow(_kept_rows(unit), "rid bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, rest string")
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    """Every row of docs(doc_id, text, ...), its other columns as `row`, with n_words, n_removed, kept_sha256 and rest: the kept words joined by one space, null where none went."""
+    rows = packed(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
+    found = repeats(rows.select("doc_id", "text"), unit, match)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.join(found, "doc_id", "left").select("doc_id", "text", "row", "known", "spans").mapInArrow(_kept_rows(unit), f"{own}, n_words bigint, n_removed bigint, kept_sha256 string, rest string")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
 
 
 def op4_automaton_substrings(spark, sf_dir: str) -> DataFrame:
