@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from ripplemark.plans import article_queries, event_queries, graph_queries
+
+
+def _all() -> dict[str, tuple]:
+    return event_queries.Q | article_queries.Q | graph_queries.Q
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
