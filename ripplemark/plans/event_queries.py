@@ -284,9 +284,10 @@ def _(s, d):
     return rounded(bt.max_drawdown(cut(bt.drawdown(bt.equity_curve(net(s, d))))), "max_drawdown").select("bucket", "max_drawdown")
 
 
-@query("bt_performance", sql(f"SELECT bucket, count(net) AS n, CASE WHEN min(net) > -1 THEN {q('exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) * 52 / count(net)) - 1')} END AS annual_return, {q('stddev_samp(net) * sqrt(52.0)')} AS annual_vol, {q('avg(net) / stddev_samp(net) * sqrt(52.0)')} AS sharpe, {q('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate FROM net GROUP BY 1", "net"))
+@query("bt_performance", sql(f"SELECT bucket, count(net) AS n, CASE WHEN min(net) > -1 THEN {q('sum(CASE WHEN net > -1 THEN ln(1 + net) END) * 52 / count(net)')} END AS log_annual_return, {q('stddev_samp(net) * sqrt(52.0)')} AS annual_vol, {q('avg(net) / stddev_samp(net) * sqrt(52.0)')} AS sharpe, {q('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate FROM net GROUP BY 1", "net"))
 def _(s, d):
-    return rounded(bt.performance(net(s, d)), "annual_return", "annual_vol", "sharpe", "hit_rate")
+    out = bt.performance(net(s, d)).withColumn("log_annual_return", F.log1p("annual_return")).drop("annual_return")
+    return rounded(out, "log_annual_return", "annual_vol", "sharpe", "hit_rate")
 
 
 @query("bt_vs_benchmark", sql(f"SELECT bucket, n, {q('my - sxy / sxx * mx')} AS alpha, {q('sxy / sxx')} AS beta, {q('active')} AS active, {q('sd * sqrt(52.0)')} AS tracking_error, {q('active / sd * sqrt(52.0)')} AS information_ratio FROM (SELECT bucket, count(*) AS n, avg(net) AS my, avg(mret) AS mx, regr_sxx(net, mret) AS sxx, regr_sxy(net, mret) AS sxy, avg(net - mret) AS active, stddev_samp(net - mret) AS sd FROM net JOIN (SELECT dt, avg(ret) AS mret FROM simple GROUP BY dt) m USING (dt) WHERE mret IS NOT NULL GROUP BY bucket)", "net", "simple"))
