@@ -1,10 +1,10 @@
 """Suffix-array dedup of repeated byte strings.
 
 Only passages that occur with different surroundings reach a shard (see
-repeats.py).  A shard's passages are put in one sequence, its suffix array is
-built by linear grouping (see suffix_array.py), and runs of suffixes that share
-LENGTH bytes are windows that repeat; all but the earliest of a run, by doc_id
-and start, are removed.
+repeats.py).  A shard's passages are put in one sequence of words, its suffix
+array is built by linear grouping (see suffix_array.py), and runs of suffixes
+that share enough bytes give the windows of LENGTH bytes that repeat; all but
+the earliest of a run, by doc_id and start, are removed.
 
 Defined results: null texts read as empty; a null doc_id counts as larger than
 all others; rows with equal doc_ids do not remove each other's bytes; an empty
@@ -24,41 +24,79 @@ from pyspark.sql import functions as F
 from . import text as t
 from .common import columns, table
 from .repeats import LAST, Span, Unit, anchors, cut, removal, repeats
-from .suffix_array import agree, suffix_array
+from .suffix_array import common, suffix_array
 
 LENGTH, K = 100, 40
 UNIT = Unit(words=False, length=LENGTH, k=K, within=True)
 
 
+#: Bytes that end a symbol; where symbols get longer than LONGEST, further bytes become such ends.
+ENDS = np.array([not (chr(b).isascii() and chr(b).isalnum()) and not 0x80 <= b < 0xE0 for b in range(256)])
+LONGEST = 48
+
+
+def _symbols(data: np.ndarray) -> np.ndarray:
+    """Past the last byte of each symbol; a symbol has one end byte, its last, so that no symbol is the beginning of another."""
+    ends = ENDS.copy()
+    while True:
+        stop = np.flatnonzero(ends[data]) + 1
+        size = np.diff(np.r_[0, stop])
+        if not len(size) or size.max() <= LONGEST:
+            return stop
+        long = np.flatnonzero(size > LONGEST)
+        inside = np.concatenate([data[stop[i] - size[i] : stop[i] - 1] for i in long.tolist()])
+        ends[np.bincount(inside, minlength=256).argmax()] = True
+
+
 def match(spans: list[Span], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """Spans of bytes whose windows start earlier: in a smaller document, or before in the same one."""
+    """Spans of bytes whose windows start earlier: in a smaller document, or before in the same one.
+
+    The suffix array is that of symbols, the words with the byte behind them,
+    numbered in byte order.  A window that starts s bytes before a symbol
+    repeats another one if these s bytes are equal and the suffixes from the
+    symbol on share length - s bytes, which makes them neighbours in order.
+    """
     sizes = np.array([len(s[2]) for s in spans])
     gap = np.r_[0, np.cumsum(sizes + 1)]
-    data, symbols = np.zeros(int(gap[-1]), np.uint8), np.zeros(int(gap[-1]), np.int64)
-    left, doc, place = (np.zeros(len(data), np.int64) for _ in range(3))
+    data = np.zeros(int(gap[-1]), np.uint8)
+    left, doc, place = (np.zeros(len(data) + 1, np.int64) for _ in range(3))
     for (d, at, content), s, n in zip(spans, gap[:-1].tolist(), sizes.tolist(), strict=True):
         data[s : s + n] = np.frombuffer(content, np.uint8)
-        symbols[s : s + n] = data[s : s + n].astype(np.int64) + 1
         left[s : s + n], doc[s : s + n], place[s : s + n] = np.arange(n, 0, -1), d, at + np.arange(n)
-    sa = suffix_array(symbols)
-    same = agree(data, left, sa, length)
-    run = np.cumsum(np.r_[True, ~same]) - 1  # of suffixes that share `length` bytes
-    several = np.bincount(run)[run] > 1
-    sa, run = sa[several], run[several]
-    if not len(sa):
+    stop = _symbols(data)
+    start = np.r_[0, stop[:-1]]
+    raw = data.tobytes()
+    names = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    number = {x: i for i, x in enumerate(sorted(set(names)))}
+    order = suffix_array(np.fromiter((number[x] for x in names), np.int64, len(names)))
+    shared = common(data, left, start[order], length)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    prefix, mine = t.BYTES.prefix(data), left[start]
+    first = np.lexsort((place[start], doc[start]))  # symbols by the place of their text
+    found = []
+    for s in range(1, int((stop - start).max(initial=0)) + 1):
+        # windows that start s bytes before a symbol, in the one before it or where that begins
+        at = first[(first > 0) & (stop[first - 1] - start[first - 1] >= s)]
+        at = at[(mine[at] >= length - s) & (doc[start[at] - s] == doc[start[at]]) & (left[start[at] - s] == mine[at] + s)]
+        if len(at) < 2:
+            continue
+        run = np.r_[0, np.cumsum(shared < length - s)][rank[at]].astype(np.uint64)
+        p = start[at]
+        key = t.mix(t.BYTES.spans(prefix, p - s, p) + run * t.U(0x9E3779B97F4A7C15))
+        by = np.argsort(key, kind="stable")
+        key, p = key[by], p[by] - s
+        head = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(p)), 0))
+        found.append(p[(doc[p] != doc[p[head]]) | (place[p] != place[p[head]])])
+    late = np.concatenate(found) if found else np.zeros(0, np.int64)
+    if not len(late):
         return []
-    order = np.lexsort((place[sa], doc[sa], run))
-    sa, run = sa[order], run[order]
-    head = np.maximum.accumulate(np.where(np.r_[True, run[1:] != run[:-1]], np.arange(len(sa)), 0))
-    later = (doc[sa] != doc[sa[head]]) | (place[sa] != place[sa[head]])
-    sa = sa[later]
+    late = late[np.lexsort((place[late], doc[late]))]
     out = []
-    order = np.argsort(doc[sa], kind="stable")
-    sa = sa[order]
-    docs, first = np.unique(doc[sa], return_index=True)
-    for d, s, e in zip(docs.tolist(), first.tolist(), [*first[1:].tolist(), len(sa)], strict=True):
-        start = place[sa[s:e]]
-        out += [(d, a, b) for a, b in zip(*(v.tolist() for v in t.merge_spans(start, start + length)), strict=True)]
+    docs, first = np.unique(doc[late], return_index=True)
+    for d, a, b in zip(docs.tolist(), first.tolist(), [*first[1:].tolist(), len(late)], strict=True):
+        at = place[late[a:b]]
+        out += [(d, x, y) for x, y in zip(*(v.tolist() for v in t.merge_spans(at, at + length)), strict=True)]
     return out
 
 

@@ -104,20 +104,17 @@ def _raise_all(ps: list, sa: list, place: list, group: list, size: list) -> None
         size[new] += 1
 
 
-def agree(data: np.ndarray, left: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix but the first in order: whether it shares `length` bytes with the one before; left: bytes that a suffix has."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = np.ascontiguousarray(words).view(np.uint64).ravel()[: n + length]
+def common(data: np.ndarray, left: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix but the first in order: the bytes that it shares with the one before, `most` at most; left: the bytes that a suffix has."""
+    padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(np.uint64).ravel()
     a, b = sa[:-1], sa[1:]
-    same = (left[a] >= length) & (left[b] >= length)
-    at = np.flatnonzero(same)
-    for off in [*range(0, length - 8, 8), length - 8] if length >= 8 else []:
-        at = at[words[a[at] + off] == words[b[at] + off]]
-    if length < 8:
-        for off in range(length):
-            at = at[padded[a[at] + off] == padded[b[at] + off]]
-    out = np.zeros(max(0, n - 1), bool)
-    out[at] = True
-    return out
+    out = np.full(len(a), most, np.int64)
+    at = np.arange(len(a))
+    for off in range(0, most, 8):
+        x = words[a[at] + off] ^ words[b[at] + off]
+        end = x != 0
+        low = x[end] & (~x[end] + np.uint64(1))  # the lowest bit that differs: bytes are read with the first one lowest
+        out[at[end]] = off + (np.bitwise_count(low - np.uint64(1)) >> 3)
+        at = at[~end]
+    return np.minimum(np.minimum(out, most), np.minimum(left[a], left[b]))
