@@ -66,7 +66,8 @@ def match(spans: list[Span], length: int = LENGTH) -> list[tuple[int, int, int]]
     stop = _symbols(data)
     start = np.r_[0, stop[:-1]]
     raw = data.tobytes()
-    names = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    bare = stop - np.isin(stop, gap[1:])  # the byte between passages is no part of a name, and so differs from a zero byte in a text
+    names = [raw[a:b] for a, b in zip(start.tolist(), bare.tolist(), strict=True)]
     number = {x: i for i, x in enumerate(sorted(set(names)))}
     order = suffix_array(np.fromiter((number[x] for x in names), np.int64, len(names)))
     shared = common(data, left, start[order], length)
