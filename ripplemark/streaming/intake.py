@@ -10,23 +10,28 @@ def read_stream(spark: SparkSession, folder: str, schema: str, files: int = 10)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark, which only a timestamp with a zone can carry; a batch as it is."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if df.isStreaming else df
+
+
 def dedup_intake(articles: DataFrame, ts: str = "published_at", within: str = "10 days") -> DataFrame:
     """One row for each text within the watermark; state older than it is dropped."""
     h = F.sha2(F.regexp_replace(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+", " "), 256)
-    rows = articles.withColumn("text_hash", h).withWatermark(ts, within)
+    rows = _timed(articles.withColumn("text_hash", h), ts, within)
     return rows.dropDuplicatesWithinWatermark(["text_hash"]) if rows.isStreaming else rows.dropDuplicates(["text_hash"])
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, "ts", late)
     return w.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, size: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, "ts", late)
     return w.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, "ts", late)
     return w.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
