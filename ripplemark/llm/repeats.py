@@ -13,7 +13,10 @@ of length - k symbols to both sides.
    groups.  A matcher (suffix automaton or suffix array) finds the windows that
    an earlier document of the group holds.
 3. A group with more than `cap` bytes is not held in a task: its windows are
-   hashed to 128 bits and their least owner is found by an aggregation.
+   hashed to 128 bits and their least owner is found by an aggregation.  So are
+   the windows of an anchor with many contexts in one piece of text, a passage
+   that goes through large parts of the corpus; such an anchor's contexts bypass
+   its task, and rows of equal contexts are combined before the shuffle.
 
 Any window that any two documents share has one anchor, hence one group, and
 some first document sends it there: no repeat is lost, and every repeat found is
@@ -37,6 +40,8 @@ from .common import staged
 
 LAST = (1 << 63) - 1
 BATCH, CAP = 1 << 18, 1 << 19
+HOT = 16  # contexts of an anchor in a piece of text; an anchor with more belongs to no group, but to the aggregation
+WIDE = -(1 << 63)
 
 
 class Unit(NamedTuple):
@@ -84,6 +89,14 @@ def anchors(unit: Unit, c: Cut) -> Anchors:
 
 
 def _anchor_rows(unit: Unit):
+    """Rows (key, anchor, kind, context, doc_id) of a batch, combined before they are shuffled by key.
+
+    kind 1: the first document of a context in its piece, dealt by anchor.
+    kind 2: a later document of the context; it is known already, and dealt by itself.
+    kind 3: a context of an anchor with over HOT of them in the piece, dealt by itself.
+    kind 0: tells the other documents of such an anchor so, once for a piece.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -92,14 +105,25 @@ def _anchor_rows(unit: Unit):
                 owner = ids[low + a.doc]
                 order = np.lexsort((owner, a.context))
                 ctx, own = a.context[order], owner[order]
-                rows = order[np.r_[True, (ctx[1:] != ctx[:-1]) | (own[1:] != own[:-1])]] if len(order) else order
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.anchor[rows], a.context[rows], owner[rows])], names=["anchor", "context", "doc_id"])
+                new = np.r_[True, ctx[1:] != ctx[:-1]] if len(ctx) else np.zeros(0, bool)
+                fresh = new | np.r_[True, own[1:] != own[:-1]] if len(ctx) else new
+                head = own[np.maximum.accumulate(np.where(new, np.arange(len(ctx)), 0))] if len(ctx) else own
+                anchor = a.anchor[order]
+                _, at, n = np.unique(anchor[new], return_inverse=True, return_counts=True)
+                hot = np.zeros(len(ctx), bool)
+                hot[new] = n[at] > HOT
+                kind = np.where(~new & (own > head), 2, np.where(hot, 3, 1))
+                rows = np.flatnonzero(fresh & (new | (kind == 2)))
+                marks = np.unique(anchor[hot])
+                key = np.where(kind == 1, anchor, t.mix(ctx.view(np.uint64) ^ own.view(np.uint64)).view(np.int64))
+                out = [np.r_[x[rows], y] for x, y in ((key, marks), (anchor, marks), (kind, np.zeros(len(marks), np.int64)), (ctx, np.zeros(len(marks), np.int64)), (own, np.zeros(len(marks), np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 2 else pa.int64()) for i, x in enumerate(out)], names=["key", "anchor", "kind", "context", "doc_id"])
 
     return run
 
 
 def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, context and doc_id; what documents need to be told: (doc_id, context, owner).
+    """Rows sorted by anchor, kind, context and doc_id; what documents need to be told: (doc_id, context, owner).
 
     owner null: the context is known from a smaller doc_id.  Else: the document
     is the context's first, and the anchor, whose group is `owner`, has others.
@@ -108,14 +132,20 @@ def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor = context = first = owner = last = None
     waiting = False  # whether the anchor's first context is still its only one
     for batch in batches:
-        a, c, d = (batch.column(x).to_numpy() for x in ("anchor", "context", "doc_id"))
+        a, k, c, d = (batch.column(x).to_numpy() for x in ("anchor", "kind", "context", "doc_id"))
         if not len(a):
             continue
         same = a[1:] == a[:-1]
-        met = np.flatnonzero(np.r_[True, same] | np.r_[same, True])  # rows whose anchor may be another row's, too
+        edge = np.zeros(len(a), bool)
+        edge[[0, -1]] = True
+        met = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | edge | (k != 1))  # rows whose anchor may be another row's, too
         out: list[tuple] = []
-        for x, y, z in zip(a[met].tolist(), c[met].tolist(), d[met].tolist(), strict=True):
-            if x != anchor:
+        for x, kind, y, z in zip(a[met].tolist(), k[met].tolist(), c[met].tolist(), d[met].tolist(), strict=True):
+            if kind > 1:
+                out.append((z, y, None if kind == 2 else WIDE))
+            elif kind == 0:
+                anchor, context, owner, waiting = x, None, WIDE, False
+            elif x != anchor:
                 anchor, context, first, owner, last, waiting = x, y, z, z, z, True
             elif y != context:
                 if waiting:
@@ -220,16 +250,17 @@ def repeats(docs: DataFrame, unit: Unit, match: Matcher, cap: int = CAP) -> Data
     """(doc_id, known, spans): contexts known from smaller doc_ids, and further spans to remove; docs(doc_id not null, text)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    seen = docs.mapInArrow(_anchor_rows(unit), "anchor bigint, context bigint, doc_id bigint")
-    told = seen.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "doc_id").mapInArrow(_told_rows, "doc_id bigint, context bigint, owner bigint")
+    seen = docs.mapInArrow(_anchor_rows(unit), "key bigint, anchor bigint, kind int, context bigint, doc_id bigint")
+    told = seen.repartition(parts, "key").drop("key").sortWithinPartitions("anchor", "kind", "context", "doc_id").mapInArrow(_told_rows, "doc_id bigint, context bigint, owner bigint")
     told = staged(told)
     asked = told.filter("owner IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("context", "owner")).alias("asked"))
     spans = staged(docs.join(asked, "doc_id").mapInArrow(_span_rows(unit), "owner bigint, doc_id bigint, at bigint, content binary"))
-    sizes = spans.groupBy("owner").agg(F.sum(F.length("content")).alias("bytes"))
+    wide = F.col("owner") == WIDE
+    sizes = spans.filter(~wide).groupBy("owner").agg(F.sum(F.length("content")).alias("bytes"))
     large = staged(sizes.filter(F.col("bytes") > cap).select("owner"))
-    dealt = spans.join(large, "owner", "left_anti").repartition(parts, "owner").sortWithinPartitions("owner")
+    dealt = spans.filter(~wide).join(large, "owner", "left_anti").repartition(parts, "owner").sortWithinPartitions("owner")
     found = dealt.mapInArrow(_match_rows(match), "doc_id bigint, start bigint, end bigint")
-    windows = spans.join(large, "owner", "left_semi").mapInArrow(_window_rows(unit), "h bigint, g bigint, doc_id bigint, at bigint")
+    windows = spans.join(large, "owner", "left_semi").unionByName(spans.filter(wide)).mapInArrow(_window_rows(unit), "h bigint, g bigint, doc_id bigint, at bigint")
     place = F.struct("doc_id", "at") if unit.within else F.struct("doc_id")
     least = windows.groupBy("h", "g").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").drop("most")
     late = windows.join(least, ["h", "g"]).filter(place > F.col("least")).select("doc_id", F.col("at").alias("start"), (F.col("at") + unit.length).alias("end"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ripplemark.llm import automaton, byte_dedup, decontamination, html_text, licenses, mixing, quality, simhash, spotsigs, substring, suffix_array, toxicity
+from ripplemark.llm import automaton, byte_dedup, decontamination, html_text, licenses, mixing, quality, repeats, simhash, spotsigs, substring, suffix_array, toxicity
 from ripplemark.llm import text as t
 from ripplemark.llm.components import components
 
@@ -39,6 +39,19 @@ def corpus(seed: int = 5) -> list[tuple]:
     return docs
 
 
+def wide_anchor_rows(hot: int):
+    plain = repeats._anchor_rows
+
+    def make(unit):
+        def run(batches):
+            repeats.HOT = hot
+            yield from plain(unit)(batches)
+
+        return run
+
+    return make
+
+
 def frame(spark, rows, schema=DOCS):
     return spark.createDataFrame(rows, schema)
 
@@ -76,8 +89,10 @@ def test_winnowing_keeps_every_window():
         assert p == s + max(i for i in range(9) if w[i] == w.min())
 
 
-@pytest.mark.parametrize("cap", [None, 200])
-def test_substring_dedup(spark, cap, monkeypatch):
+@pytest.mark.parametrize(("cap", "hot"), [(None, 16), (200, 16), (None, 1), (200, 0)])
+def test_substring_dedup(spark, cap, hot, monkeypatch):
+    if hot < 16:  # the limit has to reach the workers, which import the module anew
+        monkeypatch.setattr(repeats, "_anchor_rows", wide_anchor_rows(hot))
     if cap:  # every group counts as too large for a task
         monkeypatch.setattr(substring.repeats, "__defaults__", (cap,))
     rows = corpus()
@@ -100,8 +115,10 @@ def test_substring_dedup(spark, cap, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("cap", [None, 200])
-def test_byte_dedup(spark, cap, monkeypatch):
+@pytest.mark.parametrize(("cap", "hot"), [(None, 16), (200, 16), (None, 1), (200, 0)])
+def test_byte_dedup(spark, cap, hot, monkeypatch):
+    if hot < 16:
+        monkeypatch.setattr(repeats, "_anchor_rows", wide_anchor_rows(hot))
     if cap:
         monkeypatch.setattr(byte_dedup.repeats, "__defaults__", (cap,))
     rows = corpus(6)
