@@ -32,4 +32,7 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are learned, random, or rest on hashes and trees that SQL lacks; tests hold them against brute force or held-out labels."""
+    from .oracles import OP2, OP4, OP9, OP10
+
+    return {"op2_winnow_decontaminate": OP2, "op4_automaton_substrings": OP4, "op9_suffix_array_bytes": OP9, "op10_diagonal_licenses": OP10}
