@@ -34,6 +34,7 @@ from .components import components
 
 SHINGLE, SEED, TOLERANCE = 4, 42, 4
 PIVOTS = 8
+LAST = (1 << 63) - 1
 BUCKET = 4096
 
 
@@ -164,12 +165,15 @@ def cluster(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, fp, component_id) for every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint")
     rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()))
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = components(near_links(classes.select("fp"), classes.count()))
-    grouped = classes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = staged(grouped.join(best, "component").select("fp", "component_id"))
-    return rows.join(named, "fp").select("rid", "doc_id", "fp", "component_id")
+    classes = staged(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("least")))
+    # a class is named by its least doc_id, then its fingerprint, so that the least name of a component holds the answer and no component is gathered
+    name = classes.select("fp", F.struct("least", "fp").alias("name"))
+    links = staged(near_links(classes.select("fp"), classes.count()))
+    named = links.join(name.withColumnsRenamed({"fp": "a", "name": "x"}), "a").join(name.withColumnsRenamed({"fp": "b", "name": "y"}), "b")
+    found = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("component.least").alias("found"))
+    least = F.coalesce("found", "least")
+    groups = staged(classes.join(found, "fp", "left").select("fp", F.when(least < LAST, least).alias("component_id")))
+    return rows.join(groups, "fp").select("rid", "doc_id", "fp", "component_id")
 
 
 def op7_pivot_simhash(spark, sf_dir: str) -> DataFrame:
