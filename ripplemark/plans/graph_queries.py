@@ -137,9 +137,9 @@ def _(s, d):
     return rounded(gx.distance_exposure(hops(s, d)), "score")
 
 
-@query("gx_cost_exposure", loop(f"SELECT event_id, node, floor(exp(-cost) * 1000000000 + 0.5) / 1000000000 AS score FROM c{HOPS}", ("sym", "seeds"), COSTS))
+@query("gx_cost_exposure", loop(f"SELECT event_id, node, floor(exp(-({q('cost')})) * 1000000000 + 0.5) / 1000000000 AS score FROM c{HOPS}", ("sym", "seeds"), COSTS))
 def _(s, d):
-    return gx.distance_exposure(gx.weighted_distance(graph(s, d), nation_seeds(s, d), HOPS), by="cost").withColumn("score", quantised(F.col("score"), 9))
+    return gx.distance_exposure(rounded(gx.weighted_distance(graph(s, d), nation_seeds(s, d), HOPS), "cost"), by="cost").withColumn("score", quantised(F.col("score"), 9))
 
 
 WALK = [("r0", "SELECT event_id, node, w AS score FROM seeds")] + [
