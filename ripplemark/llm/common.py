@@ -48,6 +48,14 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """All rows, or where these are over n, those of least hashed keys, n less a twentieth of them on average: no task and no driver ranks the table."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(0.95 * n / total * (1 << 30)))
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns in the given types, and no others: extra columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in kinds.items()])

@@ -6,8 +6,8 @@ conjunction of its comparisons; lasso logistic regression keeps few rules and
 weighs them; and the kept rules are compiled into one Spark column expression,
 which scores any table of statistics without Python.
 
-The fit uses at most SAMPLE labelled rows, those with the least hash of their
-doc_id among the rows that are not held out.
+The fit uses about SAMPLE labelled doc_ids at most, those of least hash among
+the ones that are not held out.
 
 Defined results: null and empty texts have all statistics 0 and get a score
 like any other; without labels every score is 0.5; a doc_id with several labels
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
-from .common import columns, held_out, packed, staged, table, unpacked
+from .common import columns, held_out, packed, sampled, staged, table, unpacked
 
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LEAST = 24, 3, 0.3, 20
@@ -171,24 +171,29 @@ def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
     return b, w
 
 
-def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Rules:
-    """Fit on at most `sample` labelled rows that are not held out; labels(doc_id, label)."""
-    labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("label")).alias("label"))
-    rows = stats.filter(~held_out(F.col("doc_id"))).join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(sample).select(*STATS, "label").toPandas()
+def chosen(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """One row for each labelled doc_id that is not held out, about `sample` of them at most."""
+    known = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    return sampled(known.groupBy("doc_id").agg(F.round(F.avg("label")).alias("label")), "doc_id", sample)
+
+
+def learn(stats: DataFrame, known: DataFrame, penalty: float = PENALTY) -> Rules:
+    """Fit on the rows of chosen labels."""
+    rows = stats.join(F.broadcast(known), "doc_id").select(*STATS, "label").toPandas().sort_values([*STATS, "label"])
     return fit(rows[list(STATS)].to_numpy(float), rows["label"].to_numpy(float), penalty=penalty)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(rid, doc_id, score) for every row of docs(doc_id, text), learned from labels(doc_id, label)."""
     stats = staged(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text").withColumn("rid", F.monotonically_increasing_id()))
-    rules = learn(stats, labels, sample)
+    rules = learn(stats, chosen(labels, sample))
     return stats.select("rid", "doc_id", rules.column().alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that score `threshold` or more, learned from labels(doc_id, label)."""
-    known = labels.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rules = learn(staged(statistics(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id").distinct()), "doc_id")).drop("text")), known, sample)
+    known = staged(chosen(labels, sample))
+    rules = learn(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id")), known)
     return unpacked(statistics(packed(docs, "doc_id", "text")).filter(rules.column() >= threshold), docs)
 
 

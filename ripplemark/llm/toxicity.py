@@ -10,8 +10,8 @@ count; the weights are summed and normalised by the document's length, and a
 logistic curve, fitted on the same labelled rows, turns sum and density into a
 score.
 
-The fit uses at most SAMPLE labelled rows, those with the least hash of their
-doc_id among the rows that are not held out; the lexicon has at most LEXICON
+The fit uses about SAMPLE labelled doc_ids at most, those of least hash among the
+ones that are not held out; the lexicon has at most LEXICON
 entries, so its broadcast is bounded.
 
 Defined results: null and empty texts have no matches and the score of a text
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, held_out, table
+from .common import columns, held_out, sampled, staged, table
 
 SAMPLE, LEXICON = 20_000, 20_000
 STEMS = (4, 5)
@@ -121,14 +121,14 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learn from at most `sample` labelled rows of docs(doc_id, text) that are not held out; labels(doc_id, label)."""
+    """Learn from about `sample` labelled rows at most of docs(doc_id, text) that are not held out; labels(doc_id, label)."""
     spark = docs.sparkSession
-    labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("label")).alias("label"))
-    labels = labels.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(labels), "doc_id").select("text", "label")
+    labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg("label")).alias("label"))
+    rows = docs.join(F.broadcast(staged(sampled(labels, "doc_id", sample))), "doc_id").select("text", "label")
     counts = rows.mapInArrow(_count_rows, "entry string, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     total = F.col("entry") == ""
-    kept = counts.filter(total | ((F.col("toxic") >= SEEN) & (F.col("toxic") > F.col("other")))).orderBy(~total, F.desc("toxic"), "other", "entry").limit(LEXICON + 1).collect()
+    kept = counts.filter(total | ((F.col("toxic") >= SEEN) & (F.col("toxic") > F.col("other")))).collect()  # bounded, as the sample is
+    kept = sorted(kept, key=lambda r: (r.entry != "", -r.toxic, r.other, r.entry))[: LEXICON + 1]
     base = next((r for r in kept if r.entry == ""), None)
     n, m = (base.toxic, base.other) if base else (0, 0)
     weights = {}
