@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="ripplemark-")
         sc.setCheckpointDir(known)

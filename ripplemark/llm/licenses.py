@@ -56,7 +56,7 @@ def scan(docs: DataFrame, base: tuple = BASE, templates: tuple = TEMPLATES, shar
     spark = docs.sparkSession
     grams = _templates(spark, base, templates)
     # lower() makes an ASCII letter of one other character, the Kelvin sign; a private one takes its place, so that only A-Z are folded
-    text = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("K"), F.lit("")))
+    text = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ue000")))
     words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
     # the leading null stands for the document itself, so that one pass also counts the words
     pairs = words.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), F.expr("transform(slice(w, 2, size(w)), (x, i) -> xxhash64(w[i], x))"))).alias("i", "h"))
