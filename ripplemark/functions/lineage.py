@@ -12,7 +12,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         known = sc.getConf().get("spark.checkpoint.dir")
-        if not known and not sc.master.startswith("local"):
+        if not known and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="ripplemark-"))
     return df.checkpoint()
