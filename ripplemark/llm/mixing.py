@@ -4,8 +4,8 @@ Every source has a target in words.  All documents of a source get the same
 number of copies, target / source size, whose whole part is taken outright.
 The fractional part is a probability that pivotal sampling rounds: two units
 meet, mass moves at random from one to the other until one of them is 0 or 1,
-and the other goes on with what is left.  Units meet in order of size, so the
-words taken stay as close to the target as the count of copies does.  A source
+and the other goes on with what is left.  Units meet from the largest down, so
+that like sizes make up for each other and the words taken stay near the target.  A source
 is dealt into blocks of bounded size; each leaves one residual unit at most,
 and the residuals meet in a tree of further blocks until one is left.
 
@@ -69,7 +69,7 @@ def _meet(a: tuple, b: tuple) -> tuple[list[tuple], tuple | None]:
 
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block's rows with copy: 0 or 1, or -1 for the residual, whose p is then the probability left."""
-    pdf = pdf.sort_values(["size", "u", "doc_id"], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["size", "u", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
     copies, left, goes = [0] * len(pdf), pdf["p"].tolist(), None
     for unit in zip(range(len(pdf)), pdf["p"].tolist(), pdf["u"].tolist(), strict=True):
         if unit[1] <= 1e-12:
