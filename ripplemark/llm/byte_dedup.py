@@ -3,8 +3,8 @@
 Only passages that occur with different surroundings reach a shard (see
 repeats.py).  A shard's passages are put in one sequence of words, its suffix
 array is built by linear grouping (see suffix_array.py), and runs of suffixes
-that share enough bytes give the windows of LENGTH bytes that repeat; all but
-the earliest of a run, by doc_id and start, are removed.
+that share enough bytes give the windows of LENGTH bytes that repeat; those that
+a smaller doc_id has, or the same row further ahead, are removed.
 
 Defined results: null texts read as empty; a null doc_id counts as larger than
 all others; rows with equal doc_ids do not remove each other's bytes; an empty
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
-from .common import columns, table
-from .repeats import LAST, Span, Unit, anchors, cut, removal, repeats
+from .common import columns, staged, table
+from .repeats import Span, Unit, anchors, cut, removal, repeats
 from .suffix_array import common, suffix_array
 
 LENGTH, K = 100, 40
@@ -48,8 +48,8 @@ def _symbols(data: np.ndarray) -> np.ndarray:
         ends[np.bincount(inside, minlength=256).argmax()] = True
 
 
-def match(spans: list[Span], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """Spans of bytes whose windows start earlier: in a smaller document, or before in the same one.
+def match(spans: list[Span], length: int = LENGTH, rows: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """Spans of bytes whose windows start earlier: in a smaller document, or before in the same row; they are named by their rows, or without these by doc_id.
 
     The suffix array is that of symbols, the words with the byte behind them,
     numbered in byte order.  A window that starts s bytes before a symbol
@@ -59,10 +59,10 @@ def match(spans: list[Span], length: int = LENGTH) -> list[tuple[int, int, int]]
     sizes = np.array([len(s[2]) for s in spans])
     gap = np.r_[0, np.cumsum(sizes + 1)]
     data = np.zeros(int(gap[-1]), np.uint8)
-    left, doc, place = (np.zeros(len(data) + 1, np.int64) for _ in range(3))
-    for (d, at, content), s, n in zip(spans, gap[:-1].tolist(), sizes.tolist(), strict=True):
+    left, doc, row, place = (np.zeros(len(data) + 1, np.int64) for _ in range(4))
+    for (d, at, content), r, s, n in zip(spans, rows or [s[0] for s in spans], gap[:-1].tolist(), sizes.tolist(), strict=True):
         data[s : s + n] = np.frombuffer(content, np.uint8)
-        left[s : s + n], doc[s : s + n], place[s : s + n] = np.arange(n, 0, -1), d, at + np.arange(n)
+        left[s : s + n], doc[s : s + n], row[s : s + n], place[s : s + n] = np.arange(n, 0, -1), d, r, at + np.arange(n)
     stop = _symbols(data)
     start = np.r_[0, stop[:-1]]
     raw = data.tobytes()
@@ -74,12 +74,12 @@ def match(spans: list[Span], length: int = LENGTH) -> list[tuple[int, int, int]]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     prefix, mine = t.BYTES.prefix(data), left[start]
-    first = np.lexsort((place[start], doc[start]))  # symbols by the place of their text
+    first = np.lexsort((place[start], row[start], doc[start]))  # symbols by the place of their text
     found = []
     for s in range(1, int((stop - start).max(initial=0)) + 1):
         # windows that start s bytes before a symbol, in the one before it or where that begins
         at = first[(first > 0) & (stop[first - 1] - start[first - 1] >= s)]
-        at = at[(mine[at] >= length - s) & (doc[start[at] - s] == doc[start[at]]) & (left[start[at] - s] == mine[at] + s)]
+        at = at[(mine[at] >= length - s) & (row[start[at] - s] == row[start[at]]) & (left[start[at] - s] == mine[at] + s)]
         if len(at) < 2:
             continue
         run = np.r_[0, np.cumsum(shared < length - s)][rank[at]].astype(np.uint64)
@@ -87,15 +87,16 @@ def match(spans: list[Span], length: int = LENGTH) -> list[tuple[int, int, int]]
         key = t.mix(t.BYTES.spans(prefix, p - s, p) + run * t.U(0x9E3779B97F4A7C15))
         by = np.argsort(key, kind="stable")
         key, p = key[by], p[by] - s
-        head = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(p)), 0))
-        found.append(p[(doc[p] != doc[p[head]]) | (place[p] != place[p[head]])])
+        new = np.r_[True, key[1:] != key[:-1]]
+        head, mine_first = (np.maximum.accumulate(np.where(x, np.arange(len(p)), 0)) for x in (new, new | np.r_[True, row[p[1:]] != row[p[:-1]]]))
+        found.append(p[(doc[p] != doc[p[head]]) | (place[p] != place[p[mine_first]])])
     late = np.concatenate(found) if found else np.zeros(0, np.int64)
     if not len(late):
         return []
-    late = late[np.lexsort((place[late], doc[late]))]
+    late = late[np.lexsort((place[late], row[late]))]
     out = []
-    docs, first = np.unique(doc[late], return_index=True)
-    for d, a, b in zip(docs.tolist(), first.tolist(), [*first[1:].tolist(), len(late)], strict=True):
+    own, first = np.unique(row[late], return_index=True)
+    for d, a, b in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(late)], strict=True):
         at = place[late[a:b]]
         out += [(d, x, y) for x, y in zip(*(v.tolist() for v in t.merge_spans(at, at + length)), strict=True)]
     return out
@@ -128,10 +129,9 @@ def _kept_rows(unit: Unit):
 
 def dedup(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, rest) for every row of docs(doc_id, text); rest: the kept bytes, null where none went."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeats(keyed, unit, match)
-    rows = keyed.join(found, "doc_id", "left").mapInArrow(_kept_rows(unit), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary")
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = repeats(numbered, unit, match)
+    return numbered.join(found, "rid", "left").drop("rid").mapInArrow(_kept_rows(unit), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary")
 
 
 def op9_suffix_array_bytes(spark, sf_dir: str) -> DataFrame:

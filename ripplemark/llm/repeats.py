@@ -20,9 +20,12 @@ of length - k symbols to both sides.
 
 Any window that any two documents share has one anchor, hence one group, and
 some first document sends it there: no repeat is lost, and every repeat found is
-a real one (step 1 up to 64-bit collisions of contexts).  A null doc_id counts
-as larger than all others; rows with equal doc_ids never remove each other's
-symbols.
+a real one (step 1 up to 64-bit collisions of contexts).  What a document is told
+and what it loses goes by rid, the number of its row, since doc_ids can be equal
+or null; doc_ids only tell which document is earlier.  A null doc_id counts as
+larger than all others; rows with equal doc_ids never remove each other's
+symbols, and each of them is a first document of its contexts.  Windows that
+repeat in one row are found in that row alone.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from .common import staged
 
 LAST = (1 << 63) - 1
 BATCH, CAP = 1 << 18, 1 << 19
-HOT = 16  # contexts of an anchor in a piece of text; an anchor with more belongs to no group, but to the aggregation
+HOT = 16  # contexts of an anchor in a piece of text, one for each row of equal doc_ids; an anchor with more belongs to no group, but to the aggregation
 WIDE = -(1 << 63)
 
 
@@ -54,13 +57,14 @@ class Unit(NamedTuple):
 
 
 class Cut(NamedTuple):
-    """The symbols of a piece of a batch: prefix sums for hashing, first symbol of each document, byte span of each symbol (words only)."""
+    """The symbols of a piece of a batch: prefix sums for hashing, first symbol of each document, byte span of each symbol (words only), the symbols (bytes only)."""
 
     prefix: np.ndarray
     roller: t.Roller
     first: np.ndarray
     start: np.ndarray | None
     end: np.ndarray | None
+    symbols: np.ndarray | None
 
 
 class Anchors(NamedTuple):
@@ -74,9 +78,9 @@ class Anchors(NamedTuple):
 
 def cut(unit: Unit, buf: np.ndarray, offsets: np.ndarray) -> Cut:
     if not unit.words:
-        return Cut(t.BYTES.prefix(buf), t.BYTES, offsets, None, None)
+        return Cut(t.BYTES.prefix(buf), t.BYTES, offsets, None, None, buf)
     start, end, first = t.words(buf, offsets, t.NOT_SPACE)
-    return Cut(t.WORDS.prefix(t.word_hashes(buf, start, end)), t.WORDS, first, start, end)
+    return Cut(t.WORDS.prefix(t.word_hashes(buf, start, end)), t.WORDS, first, start, end, None)
 
 
 def anchors(unit: Unit, c: Cut) -> Anchors:
@@ -89,50 +93,53 @@ def anchors(unit: Unit, c: Cut) -> Anchors:
 
 
 def _anchor_rows(unit: Unit):
-    """Rows (key, anchor, kind, context, doc_id) of a batch, combined before they are shuffled by key.
+    """Rows (key, anchor, kind, context, doc_id, rid) of a batch, combined before they are shuffled by key.
 
-    kind 1: the first document of a context in its piece, dealt by anchor.
+    kind 1: a first document of a context in its piece, dealt by anchor.
     kind 2: a later document of the context; it is known already, and dealt by itself.
-    kind 3: a context of an anchor with over HOT of them in the piece, dealt by itself.
+    kind 3: a first document of an anchor with over HOT of them in the piece, dealt by itself.
     kind 0: tells the other documents of such an anchor so, once for a piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rids = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "rid"))
             for low, _, buf, offsets in t.chunks(batch.column("text")):
                 a = anchors(unit, cut(unit, buf, offsets))
-                owner = ids[low + a.doc]
-                order = np.lexsort((owner, a.context))
-                ctx, own = a.context[order], owner[order]
+                owner, rid = ids[low + a.doc], rids[low + a.doc]
+                order = np.lexsort((rid, owner, a.context))
+                ctx, own, rid = a.context[order], owner[order], rid[order]
                 new = np.r_[True, ctx[1:] != ctx[:-1]] if len(ctx) else np.zeros(0, bool)
-                fresh = new | np.r_[True, own[1:] != own[:-1]] if len(ctx) else new
+                fresh = new | np.r_[True, rid[1:] != rid[:-1]] if len(ctx) else new
                 head = own[np.maximum.accumulate(np.where(new, np.arange(len(ctx)), 0))] if len(ctx) else own
                 anchor = a.anchor[order]
-                _, at, n = np.unique(anchor[new], return_inverse=True, return_counts=True)
+                firsts = fresh & (own == head)
+                _, at, n = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
                 hot = np.zeros(len(ctx), bool)
-                hot[new] = n[at] > HOT
-                kind = np.where(~new & (own > head), 2, np.where(hot, 3, 1))
-                rows = np.flatnonzero(fresh & (new | (kind == 2)))
+                hot[firsts] = n[at] > HOT
+                kind = np.where(own > head, 2, np.where(hot, 3, 1))
+                rows = np.flatnonzero(fresh)
                 marks = np.unique(anchor[hot])
-                key = np.where(kind == 1, anchor, t.mix(ctx.view(np.uint64) ^ own.view(np.uint64)).view(np.int64))
-                out = [np.r_[x[rows], y] for x, y in ((key, marks), (anchor, marks), (kind, np.zeros(len(marks), np.int64)), (ctx, np.zeros(len(marks), np.int64)), (own, np.zeros(len(marks), np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 2 else pa.int64()) for i, x in enumerate(out)], names=["key", "anchor", "kind", "context", "doc_id"])
+                key = np.where(kind == 1, anchor, t.mix(ctx.view(np.uint64) ^ rid.view(np.uint64)).view(np.int64))
+                none = np.zeros(len(marks), np.int64)
+                out = [np.r_[x[rows], y] for x, y in ((key, marks), (anchor, marks), (kind, none), (ctx, none), (own, none), (rid, none))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 2 else pa.int64()) for i, x in enumerate(out)], names=["key", "anchor", "kind", "context", "doc_id", "rid"])
 
     return run
 
 
 def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, kind, context and doc_id; what documents need to be told: (doc_id, context, owner).
+    """Rows sorted by anchor, kind, context, doc_id and rid; what documents need to be told: (rid, context, owner).
 
     owner null: the context is known from a smaller doc_id.  Else: the document
-    is the context's first, and the anchor, whose group is `owner`, has others.
-    However many rows an anchor has, no more than the last one is remembered.
+    is a first one of the context, and the anchor, whose group is `owner`, has
+    other contexts.  However many rows an anchor has, no more are remembered
+    than the rids of its first context's first documents, of equal doc_ids.
     """
-    anchor = context = first = owner = last = None
-    waiting = False  # whether the anchor's first context is still its only one
+    anchor = context = least = owner = None
+    waiting: list[int] = []  # the anchor's first rows, while its first context is the only one
     for batch in batches:
-        a, k, c, d = (batch.column(x).to_numpy() for x in ("anchor", "kind", "context", "doc_id"))
+        a, k, c, d, r = (batch.column(x).to_numpy() for x in ("anchor", "kind", "context", "doc_id", "rid"))
         if not len(a):
             continue
         same = a[1:] == a[:-1]
@@ -140,22 +147,24 @@ def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge[[0, -1]] = True
         met = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | edge | (k != 1))  # rows whose anchor may be another row's, too
         out: list[tuple] = []
-        for x, kind, y, z in zip(a[met].tolist(), k[met].tolist(), c[met].tolist(), d[met].tolist(), strict=True):
+        for x, kind, y, z, rid in zip(a[met].tolist(), k[met].tolist(), c[met].tolist(), d[met].tolist(), r[met].tolist(), strict=True):
             if kind > 1:
-                out.append((z, y, None if kind == 2 else WIDE))
+                out.append((rid, y, None if kind == 2 else WIDE))
             elif kind == 0:
-                anchor, context, owner, waiting = x, None, WIDE, False
+                anchor, context, owner, waiting = x, None, WIDE, []
             elif x != anchor:
-                anchor, context, first, owner, last, waiting = x, y, z, z, z, True
+                anchor, context, least, owner, waiting = x, y, z, rid, [rid]
             elif y != context:
-                if waiting:
-                    out.append((first, context, owner))
-                out.append((z, y, owner))
-                context, first, last, waiting = y, z, z, False
-            elif z != last:
-                out.append((z, y, None))
-                last = z
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["doc_id", "context", "owner"])
+                out += [(w, context, owner) for w in waiting]
+                out.append((rid, y, owner))
+                context, least, waiting = y, z, []
+            elif z > least:
+                out.append((rid, y, None))
+            elif waiting:
+                waiting.append(rid)
+            else:
+                out.append((rid, y, owner))
+        yield pa.RecordBatch.from_arrays([pa.array([v[j] for v in out], pa.int64()) for j in range(3)], names=["rid", "context", "owner"])
 
 
 def _find(contexts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -167,11 +176,11 @@ def _find(contexts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _span_rows(unit: Unit):
-    """Runs of ambiguous contexts of one owner: (owner, doc_id, at, content)."""
+    """Runs of ambiguous contexts of one owner: (owner, doc_id, rid, at, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asked = batch.column("doc_id").to_pylist(), batch.column("asked")
+            ids, rids, asked = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), batch.column("asked")
             out: list[tuple] = []
             for low, high, buf, offsets in t.chunks(batch.column("text")):
                 c = cut(unit, buf, offsets)
@@ -192,33 +201,34 @@ def _span_rows(unit: Unit):
                         h = hit[owners == x] + by[i]
                         for s, e in zip(*(v.tolist() for v in t.merge_spans(a.low[h], a.high[h])), strict=True):
                             content = buf[s:e] if not unit.words else buf[c.start[s] : c.end[e - 1]]
-                            out.append((int(x), ids[low + i], s - int(c.first[i]), content.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary())], names=["owner", "doc_id", "at", "content"])
+                            out.append((int(x), ids[low + i], rids[low + i], s - int(c.first[i]), content.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.binary() if j == 4 else pa.int64()) for j in range(5)], names=["owner", "doc_id", "rid", "at", "content"])
 
     return run
 
 
 Span = tuple[int, int, bytes]  # doc_id, position of its first symbol, content
-Matcher = Callable[[list[Span]], list[tuple[int, int, int]]]  # -> (doc_id, first symbol, past the last symbol) to remove
+Matcher = Callable[..., list[tuple[int, int, int]]]  # spans, rows=the rid of each -> (rid, first symbol, past the last symbol) to remove
 
 
 def _match_rows(match: Matcher):
     """Rows sorted by owner; groups are matched together up to BATCH bytes, a larger group (of CAP at most) alone."""
 
-    def rows(held: list[Span]) -> pa.RecordBatch:
-        found = match(sorted(held, key=lambda s: s[:2]))
-        return pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["doc_id", "start", "end"])
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda s: s[:3])
+        found = match([(d, at, content) for d, _, at, content in held], rows=[s[1] for s in held])
+        return pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["rid", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, group, size, own, owner = [], [], 0, 0, None
         for batch in batches:
-            for o, d, at, content in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "at", "content")), strict=True):
+            for o, d, rid, at, content in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "rid", "at", "content")), strict=True):
                 if o != owner:
                     done, group, size, own, owner = done + group, [], size + own, 0, o
                     if size >= BATCH:
                         yield rows(done)
                         done, size = [], 0
-                group.append((d, at, content))
+                group.append((d, rid, at, content))
                 own += len(content)
         if done or group:
             yield rows(done + group)
@@ -227,11 +237,11 @@ def _match_rows(match: Matcher):
 
 
 def _window_rows(unit: Unit):
-    """The distinct windows of spans, hashed twice: (h, g, doc_id, at)."""
+    """The distinct windows of spans, hashed twice: (h, g, doc_id, rid, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("doc_id").to_numpy(), batch.column("at").to_numpy()
+            ids, rids, places = (batch.column(x).to_numpy() for x in ("doc_id", "rid", "at"))
             for low, high, buf, offsets in t.chunks(batch.column("content")):
                 c = cut(unit, buf, offsets)
                 n = int(c.first[-1])
@@ -241,40 +251,61 @@ def _window_rows(unit: Unit):
                     continue
                 doc = np.searchsorted(c.first, at, "right") - 1
                 h, g = c.roller.spans(c.prefix, at, at + unit.length), t.OTHER.spans(t.OTHER.prefix(symbols), at, at + unit.length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids[low + doc]), pa.array(places[low + doc] + at - c.first[doc])], names=["h", "g", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids[low + doc]), pa.array(rids[low + doc]), pa.array(places[low + doc] + at - c.first[doc])], names=["h", "g", "doc_id", "rid", "at"])
 
     return run
 
 
 def repeats(docs: DataFrame, unit: Unit, match: Matcher, cap: int = CAP) -> DataFrame:
-    """(doc_id, known, spans): contexts known from smaller doc_ids, and further spans to remove; docs(doc_id not null, text)."""
+    """(rid, known, spans): contexts known from smaller doc_ids, and further spans to remove; docs(rid, doc_id, text), a table whose rids stay the same when it is read again."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    seen = docs.mapInArrow(_anchor_rows(unit), "key bigint, anchor bigint, kind int, context bigint, doc_id bigint")
-    told = seen.repartition(parts, "key").drop("key").sortWithinPartitions("anchor", "kind", "context", "doc_id").mapInArrow(_told_rows, "doc_id bigint, context bigint, owner bigint")
+    docs = docs.select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
+    seen = docs.mapInArrow(_anchor_rows(unit), "key bigint, anchor bigint, kind int, context bigint, doc_id bigint, rid bigint")
+    told = seen.repartition(parts, "key").drop("key").sortWithinPartitions("anchor", "kind", "context", "doc_id", "rid").mapInArrow(_told_rows, "rid bigint, context bigint, owner bigint")
     told = staged(told)
-    asked = told.filter("owner IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("context", "owner")).alias("asked"))
-    spans = staged(docs.join(asked, "doc_id").mapInArrow(_span_rows(unit), "owner bigint, doc_id bigint, at bigint, content binary"))
+    asked = told.filter("owner IS NOT NULL").groupBy("rid").agg(F.collect_list(F.struct("context", "owner")).alias("asked"))
+    spans = staged(docs.join(asked, "rid").mapInArrow(_span_rows(unit), "owner bigint, doc_id bigint, rid bigint, at bigint, content binary"))
     wide = F.col("owner") == WIDE
     sizes = spans.filter(~wide).groupBy("owner").agg(F.sum(F.length("content")).alias("bytes"))
     large = staged(sizes.filter(F.col("bytes") > cap).select("owner"))
     dealt = spans.filter(~wide).join(large, "owner", "left_anti").repartition(parts, "owner").sortWithinPartitions("owner")
-    found = dealt.mapInArrow(_match_rows(match), "doc_id bigint, start bigint, end bigint")
-    windows = spans.join(large, "owner", "left_semi").unionByName(spans.filter(wide)).mapInArrow(_window_rows(unit), "h bigint, g bigint, doc_id bigint, at bigint")
-    place = F.struct("doc_id", "at") if unit.within else F.struct("doc_id")
-    least = windows.groupBy("h", "g").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").drop("most")
-    late = windows.join(least, ["h", "g"]).filter(place > F.col("least")).select("doc_id", F.col("at").alias("start"), (F.col("at") + unit.length).alias("end"))
-    removed = found.unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    known = told.filter("owner IS NULL").groupBy("doc_id").agg(F.collect_list("context").alias("known"))
-    return known.join(removed, "doc_id", "full_outer")
+    found = dealt.mapInArrow(_match_rows(match), "rid bigint, start bigint, end bigint")
+    windows = spans.join(large, "owner", "left_semi").unionByName(spans.filter(wide)).mapInArrow(_window_rows(unit), "h bigint, g bigint, doc_id bigint, rid bigint, at bigint")
+    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").drop("most")
+    late = windows.join(least, ["h", "g"]).filter("doc_id > least").select("rid", F.col("at").alias("start"), (F.col("at") + unit.length).alias("end"))
+    removed = found.unionByName(late).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    known = told.filter("owner IS NULL").groupBy("rid").agg(F.collect_list("context").alias("known"))
+    return known.join(removed, "rid", "full_outer")
+
+
+def _again(unit: Unit, c: Cut, a: Anchors, part: slice) -> np.ndarray:
+    """Windows of a document (their first symbols) that it has before, of those in the first places of its contexts.
+
+    Equal windows have equal anchors, so only anchors with several contexts are looked at.
+    """
+    at = np.sort(np.unique(a.context[part], return_index=True)[1]) + part.start
+    _, back, n = np.unique(a.anchor[at], return_inverse=True, return_counts=True)
+    at = at[n[back] > 1]
+    if not len(at):
+        return at
+    low, high = t.merge_spans(a.low[at], a.high[at])
+    p = np.concatenate([np.arange(x, y - unit.length + 1) for x, y in zip(low.tolist(), high.tolist(), strict=True)])
+    h, base = c.roller.spans(c.prefix, p, p + unit.length), int(low[0])
+    g = t.OTHER.spans(t.OTHER.prefix(c.symbols[base : int(high[-1])]), p - base, p - base + unit.length)
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    return np.sort(p[order[np.r_[False, (h[1:] == h[:-1]) & (g[1:] == g[:-1])]]])
 
 
 def removal(unit: Unit, c: Cut, a: Anchors, i: int, part: slice, known: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint spans of a document's symbols to remove: `known` contexts, `spans` rows (start, end), and its own earlier contexts."""
+    """Disjoint spans of a document's symbols to remove: `known` contexts, `spans` rows (start, end), and what it has before itself."""
     ctx = a.context[part]
     hit = _find(ctx, np.sort(known)) >= 0
     if unit.within and len(ctx):
         order = np.argsort(ctx, kind="stable")
         hit[order[np.r_[False, ctx[order][1:] == ctx[order][:-1]]]] = True
+    again = _again(unit, c, a, part) if unit.within else np.zeros(0, np.int64)
     base = int(c.first[i])
-    return t.merge_spans(np.r_[a.low[part][hit] - base, spans[:, 0]], np.r_[a.high[part][hit] - base, spans[:, 1]])
+    low, high = np.r_[a.low[part][hit], again] - base, np.r_[a.high[part][hit], again + unit.length] - base
+    return t.merge_spans(np.r_[low, spans[:, 0]], np.r_[high, spans[:, 1]])

@@ -23,22 +23,22 @@ from pyspark.sql import functions as F
 
 from . import text as t
 from .automaton import SuffixAutomaton
-from .common import columns, packed, table
-from .repeats import LAST, Span, Unit, anchors, cut, removal, repeats
+from .common import columns, packed, staged, table
+from .repeats import Span, Unit, anchors, cut, removal, repeats
 
 WINDOW, K = 50, 20
 UNIT = Unit(words=True, length=WINDOW, k=K, within=False)
 
 
-def match(spans: list[Span], length: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Spans of words, sorted by document, whose windows an earlier document holds."""
+def match(spans: list[Span], length: int = WINDOW, rows: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """Spans of words, sorted by document, whose windows an earlier document holds; they are named by their rows, or without these by doc_id."""
     automaton, numbers, found = SuffixAutomaton(), {}, []
-    for doc, at, content in spans:
+    for (doc, at, content), row in zip(spans, rows or [s[0] for s in spans], strict=True):
         sequence = [numbers.setdefault(w, len(numbers)) for w in content.split()]
         ends = automaton.earlier(sequence, length, doc)
         if ends:
             e = np.array(ends)
-            found += [(doc, at + a, at + b) for a, b in zip(*(v.tolist() for v in t.merge_spans(e - length, e)), strict=True)]
+            found += [(row, at + a, at + b) for a, b in zip(*(v.tolist() for v in t.merge_spans(e - length, e)), strict=True)]
         if len(ends) < len(sequence) - length + 1:
             automaton.add(sequence, doc)
     return found
@@ -76,11 +76,11 @@ def _kept_rows(unit: Unit):
 
 def dedup(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
     """Every row of docs(doc_id, text, ...), its other columns as `row`, with n_words, n_removed, kept_sha256 and rest: the kept words joined by one space, null where none went."""
-    rows = packed(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
-    found = repeats(rows.select("doc_id", "text"), unit, match)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = rows.join(found, "doc_id", "left").select("doc_id", "text", "row", "known", "spans").mapInArrow(_kept_rows(unit), f"{own}, n_words bigint, n_removed bigint, kept_sha256 string, rest string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    rows = packed(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
+    rows = staged(rows)
+    found = repeats(rows.select("rid", "doc_id", "text"), unit, match)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("rid").schema.fields)
+    return rows.join(found, "rid", "left").select("doc_id", "text", "row", "known", "spans").mapInArrow(_kept_rows(unit), f"{own}, n_words bigint, n_removed bigint, kept_sha256 string, rest string")
 
 
 def op4_automaton_substrings(spark, sf_dir: str) -> DataFrame:

@@ -355,3 +355,46 @@ def test_licenses(spark):
 )
 def test_empty_tables(spark, run):
     assert run(spark, spark.createDataFrame([], DOCS)).count() == 0
+
+
+def named_alike(seed: int = 21) -> list[tuple]:
+    """Null and equal doc_ids on texts of several lengths that share passages among each other and with others, and that repeat in themselves."""
+    rng = random.Random(seed)
+    shared = [prose(rng, 80) for _ in range(3)]
+    docs = [(i, f"{prose(rng, rng.randint(0, 30))} {shared[i % 3]} {prose(rng, rng.randint(0, 90))}") for i in range(4)]
+    docs += [(d, f"{prose(rng, rng.randint(0, 120))} {rng.choice(shared)} {prose(rng, rng.randint(0, 9))}") for d in (None, 2, 7, 7) for _ in range(6)]
+    docs += [(d, prose(rng, n)) for d in (None, 7) for n in (3, 60, 200)]
+    among = prose(rng, 90)
+    docs += [(None, f"{prose(rng, i)} {among} {prose(rng, 5)} {among[:400]} end {i}") for i in range(25)]
+    return [*docs, (None, shared[0]), (None, None), (None, ""), (7, None), (None, shared[0])]
+
+
+@pytest.mark.parametrize(("cap", "hot"), [(None, 16), (200, 16), (None, 1)])
+def test_null_and_equal_ids_lose_their_own_repeats_only(spark, cap, hot, monkeypatch):
+    if hot < 16:
+        monkeypatch.setattr(repeats, "_anchor_rows", wide_anchor_rows(hot))
+    if cap:
+        monkeypatch.setattr(repeats.repeats, "__defaults__", (cap,))
+    rows = named_alike()
+    key = lambda d: 10**9 if d is None else d
+    cut = {True: lambda x: tuple((x or "").encode().split()), False: lambda x: (x or "").encode()}
+    for words, n in ((True, 50), (False, 100)):
+        texts = [(d, cut[words](x)) for d, x in rows]
+        first: dict = {}
+        for d, w in texts:
+            for i in range(len(w) - n + 1):
+                first[w[i : i + n]] = min(key(d), first.get(w[i : i + n], 10**10))
+        want = []
+        for d, w in texts:
+            gone, own = set(), set()
+            for i in range(len(w) - n + 1):
+                if first[w[i : i + n]] < key(d) or (not words and w[i : i + n] in own):
+                    gone |= set(range(i, i + n))
+                own.add(w[i : i + n])
+            kept = [v for i, v in enumerate(w) if i not in gone]
+            want.append((d, len(w), len(gone), hashlib.sha256(b" ".join(kept) if words else bytes(kept)).hexdigest()))
+        if words:
+            got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(frame(spark, rows)).collect()]
+        else:
+            got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in byte_dedup.dedup(frame(spark, rows)).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
