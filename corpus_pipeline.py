@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id."""
+    """One document of each group of near copies: the one with the least doc_id. Unrelated documents stay, whether their doc_ids are null or equal or not."""
     groups = staged(cluster(docs))
-    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
     dropped = staged(groups.select("rid").join(kept, "rid", "left_anti"))
     return unpacked(_numbered(docs).join(small(dropped), "rid", "left_anti"), docs)
 

@@ -162,7 +162,7 @@ def near_links(classes: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, fp, component_id) for every row of docs(doc_id, text)."""
+    """(rid, doc_id, fp, component_id, component) for every row of docs(doc_id, text); component_id can be null or that of several components, component (least, fp) is not."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint")
     rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()))
     classes = staged(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("least")))
@@ -170,10 +170,10 @@ def cluster(docs: DataFrame) -> DataFrame:
     name = classes.select("fp", F.struct("least", "fp").alias("name"))
     links = staged(near_links(classes.select("fp"), classes.count()))
     named = links.join(name.withColumnsRenamed({"fp": "a", "name": "x"}), "a").join(name.withColumnsRenamed({"fp": "b", "name": "y"}), "b")
-    found = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("component.least").alias("found"))
-    least = F.coalesce("found", "least")
-    groups = staged(classes.join(found, "fp", "left").select("fp", F.when(least < LAST, least).alias("component_id")))
-    return rows.join(groups, "fp").select("rid", "doc_id", "fp", "component_id")
+    found = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("component").alias("found"))
+    groups = name.join(found, "fp", "left").select("fp", F.coalesce("found", "name").alias("component"))
+    groups = staged(groups.withColumn("component_id", F.when(F.col("component.least") < LAST, F.col("component.least"))))
+    return rows.join(groups, "fp").select("rid", "doc_id", "fp", "component_id", "component")
 
 
 def op7_pivot_simhash(spark, sf_dir: str) -> DataFrame:

@@ -398,3 +398,14 @@ def test_null_and_equal_ids_lose_their_own_repeats_only(spark, cap, hot, monkeyp
         else:
             got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in byte_dedup.dedup(frame(spark, rows)).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_near_duplicates_of_null_and_equal_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    a, b, c, d, e, f = (prose(rng, 120) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (6, c), (None, d), (7, e), (8, f), (None, f)]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()
+    want = [(None, a), (None, b), (5, c), (5, d), (7, e), (8, f)]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
