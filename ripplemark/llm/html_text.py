@@ -59,12 +59,29 @@ class Node:
     __slots__ = ("label", "tag", "kind", "parent", "children", "blocks", "main", "off")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        names = [w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())] if attributes else []
+        tokens = [w for m in _NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+        names = [w for x in tokens for w in _WORD.findall(x)]
         self.tag, self.parent, self.children, self.blocks = tag, parent, {}, []
         self.label = ".".join((tag, *sorted(set(names))))
-        inside = parent is not None and parent.main
-        self.off = (parent is not None and parent.off) or tag in NOT_MAIN_TAGS or any(w in NOT_MAIN_WORDS for w in names)
-        self.main = not self.off and (inside or tag in MAIN_TAGS or any(w in MAIN_WORDS for w in names))
+        self.off = tag in NOT_MAIN_TAGS or (tag not in ("html", "body") and any(w in NOT_MAIN_WORDS for w in (tokens if tag in MAIN_TAGS else names)))
+        self.main = tag in MAIN_TAGS or any(w in MAIN_WORDS for w in names)
+
+
+def _judge(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+    """Hands down what single nodes say; a form around an article, or an element around it with most of the page's text, switches nothing off."""
+    place = {id(v): i for i, v in enumerate(nodes)}
+    size, holds = [0] * len(nodes), [False] * len(nodes)
+    for i, text in blocks:
+        size[i] += len(text)
+    for i in range(len(nodes) - 1, 0, -1):
+        up = place[id(nodes[i].parent)]
+        size[up] += size[i]
+        holds[up] |= holds[i] or nodes[i].tag in MAIN_TAGS
+    for v, n, around in zip(nodes, size, holds, strict=True):
+        if around and (v.tag == "form" or 2 * n > size[0]):
+            v.off = False
+        v.off = v.off or (v.parent is not None and v.parent.off)
+        v.main = not v.off and (v.main or (v.parent is not None and v.parent.main))
 
 
 class Page(NamedTuple):
@@ -136,6 +153,7 @@ def parse(text: str | None) -> Page:
         else:
             here = known.parent
     flush()
+    _judge(nodes, blocks)
     return Page(nodes, blocks)
 
 

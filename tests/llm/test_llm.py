@@ -409,3 +409,10 @@ def test_near_duplicates_of_null_and_equal_ids(spark):
     got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()
     want = [(None, a), (None, b), (5, c), (5, d), (7, e), (8, f)]
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_html_containers_do_not_switch_off_their_article():
+    page = "<body{0}><nav>menu</nav><div{1}><form{2}><article{3}><p>the whole story</p><div class='comments'>nice</div></article></form></div><p>imprint</p></body>"
+    for at, name in enumerate((" class='has-sidebar'", " class='page no-ads'", " id='aspnetForm'", " class='post comments-open'")):
+        assert html_text.main_text(page.format(*[name if i == at else "" for i in range(4)])) == "the whole story"
+    assert html_text.main_text("<main><p>the whole story</p></main><aside><article>more</article></aside>") == "the whole story"
