@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+RANKED = 40  # of a gram's 64 bits, those that winnowing compares; the others hold a position in a block
 U = np.uint64
 
 #: Word classes over bytes: what is not ASCII white space, and digits, letters and all bytes from 0x80 on.
@@ -118,6 +119,8 @@ def owners(first: np.ndarray) -> np.ndarray:
 def winnow(grams: np.ndarray, gram_ok: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Winnowing: for each window of w consecutive grams the position of its least gram, the rightmost of equal ones.
 
+    Grams are compared by their upper RANKED bits, whatever piece of text they
+    are in, so that equal windows of any two pieces choose the same gram.
     Returns (window starts, chosen position per window).  Only windows whose
     grams are all in one document count: gram_ok[i] is the number of grams from
     i on that its document still holds.
@@ -125,8 +128,12 @@ def winnow(grams: np.ndarray, gram_ok: np.ndarray, w: int) -> tuple[np.ndarray,
     n = len(grams) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = max(1, int(len(grams)).bit_length())
-    mask = U((1 << bits) - 1)
+    most = 1 << 64 - RANKED
+    if len(grams) > most:  # in blocks that overlap by a window
+        step = most - w + 1
+        parts = [(low, winnow(grams[low : low + most], gram_ok[low : low + most], w)) for low in range(0, n, step)]
+        return tuple(np.concatenate([part[j] + low for low, part in parts]) for j in range(2))
+    mask = U(most - 1)
     key = (grams & ~mask) | (mask - np.arange(len(grams), dtype=U))
     have, low = 1, key
     while have * 2 <= w:  # minima over windows of doubling width
