@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join with at most so many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 50_000
+#: A side of a join with at most so many rows and characters is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 1 << 26
 
 #: Documents whose crc32(doc_id as text) has this remainder modulo 5 are held out of every fit.
 FOLDS, HELD_OUT = 5, 0
@@ -39,9 +39,10 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where the (staged) side has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """Hint a broadcast only where the (staged) side has few rows, and these few characters as JSON."""
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= chars else df
 
 
 def held_out(doc_id) -> F.Column:
