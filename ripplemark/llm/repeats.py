@@ -23,7 +23,7 @@ some first document sends it there: no repeat is lost, and every repeat found is
 a real one (step 1 up to 64-bit collisions of contexts).  What a document is told
 and what it loses goes by rid, the number of its row, since doc_ids can be equal
 or null; doc_ids only tell which document is earlier.  A null doc_id counts as
-larger than all others; rows with equal doc_ids never remove each other's
+2^63 - 1, so that no other is larger; rows with equal doc_ids never remove each other's
 symbols, and each of them is a first document of its contexts.  Windows that
 repeat in one row are found in that row alone.
 """
@@ -45,6 +45,7 @@ LAST = (1 << 63) - 1
 BATCH, CAP = 1 << 18, 1 << 19
 HOT = 16  # contexts of an anchor in a piece of text, one for each row of equal doc_ids; an anchor with more belongs to no group, but to the aggregation
 WIDE = -(1 << 63)
+OFTEN = 1000
 
 
 class Unit(NamedTuple):
@@ -256,6 +257,22 @@ def _window_rows(unit: Unit):
     return run
 
 
+def _late(windows: DataFrame, least: DataFrame, length: int) -> DataFrame:
+    """Spans (rid, start, end) of the windows that a smaller doc_id has; least(h, g, least, n), n the window's places.
+
+    Windows with over 1 / OFTEN of all places, fewer than OFTEN of them, are looked
+    up in a broadcast table of that bound, so that their places stay where they
+    are; the others meet theirs in a shuffle.
+    """
+    total = least.agg(F.sum("n")).first()[0] or 0
+    wide = F.col("n") * OFTEN > total
+    often = F.broadcast(least.filter(wide).select("h", "g", F.col("least").alias("known")))
+    marked = windows.join(often, ["h", "g"], "left")
+    met = marked.filter("known IS NULL").drop("known").join(least.filter(~wide).select("h", "g", F.col("least").alias("known")), ["h", "g"])
+    late = marked.filter("known IS NOT NULL").unionByName(met).filter("doc_id > known")
+    return late.select("rid", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+
+
 def repeats(docs: DataFrame, unit: Unit, match: Matcher, cap: int = CAP) -> DataFrame:
     """(rid, known, spans): contexts known from smaller doc_ids, and further spans to remove; docs(rid, doc_id, text), a table whose rids stay the same when it is read again."""
     spark = docs.sparkSession
@@ -272,8 +289,8 @@ def repeats(docs: DataFrame, unit: Unit, match: Matcher, cap: int = CAP) -> Data
     dealt = spans.filter(~wide).join(large, "owner", "left_anti").repartition(parts, "owner").sortWithinPartitions("owner")
     found = dealt.mapInArrow(_match_rows(match), "rid bigint, start bigint, end bigint")
     windows = spans.join(large, "owner", "left_semi").unionByName(spans.filter(wide)).mapInArrow(_window_rows(unit), "h bigint, g bigint, doc_id bigint, rid bigint, at bigint")
-    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").drop("most")
-    late = windows.join(least, ["h", "g"]).filter("doc_id > least").select("rid", F.col("at").alias("start"), (F.col("at") + unit.length).alias("end"))
+    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least <> most").drop("most")
+    late = _late(windows, staged(least), unit.length)
     removed = found.unionByName(late).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     known = told.filter("owner IS NULL").groupBy("rid").agg(F.collect_list("context").alias("known"))
     return known.join(removed, "rid", "full_outer")
