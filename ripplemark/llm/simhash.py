@@ -34,7 +34,6 @@ from .components import components
 
 SHINGLE, SEED, TOLERANCE = 4, 42, 4
 PIVOTS = 8
-LAST = (1 << 63) - 1
 BUCKET = 4096
 
 
@@ -55,7 +54,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(v.as_py()) for v in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(fps)], names=[*others, "fp"])
 
 
 def _widths(n: int, parts: int) -> list[tuple[int, int]]:
@@ -161,18 +161,24 @@ def near_links(classes: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
     return spread.mapInArrow(_link_rows, "a bigint, b bigint")
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, fp, component_id, component) for every row of docs(doc_id, text); component_id can be null or that of several components, component (least, fp) is not."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint")
-    rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()))
-    classes = staged(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("least")))
-    # a class is named by its least doc_id, then its fingerprint, so that the least name of a component holds the answer and no component is gathered
-    name = classes.select("fp", F.struct("least", "fp").alias("name"))
+def cluster(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(rid, doc_id, fp, component_id, component) for every row of docs(doc_id, text); component_id can be null or that of several components, component is not.
+
+    key: a column with a number for each row, which becomes rid; without one, rows are numbered in the written table.
+    """
+    ids = [F.col(f"`{key}`").alias("rid")] if key else []
+    rows = docs.select(*ids, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(_fingerprint_rows, f"{'rid bigint, ' if key else ''}doc_id bigint, fp bigint")
+    rows = staged(rows if key else rows.withColumn("rid", F.monotonically_increasing_id()))
+    # a class is named by its least doc_id, a null one last, then its fingerprint, so that the least name of a component holds the answer and no component is gathered
+    least = F.min("doc_id")
+    classes = staged(rows.groupBy("fp").agg(least.isNull().alias("none"), F.coalesce(least, F.lit(0)).alias("least")))
+    name = classes.select("fp", F.struct("none", "least", "fp").alias("name"))
     links = staged(near_links(classes.select("fp"), classes.count()))
     named = links.join(name.withColumnsRenamed({"fp": "a", "name": "x"}), "a").join(name.withColumnsRenamed({"fp": "b", "name": "y"}), "b")
     found = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("component").alias("found"))
     groups = name.join(found, "fp", "left").select("fp", F.coalesce("found", "name").alias("component"))
-    groups = staged(groups.withColumn("component_id", F.when(F.col("component.least") < LAST, F.col("component.least"))))
+    groups = staged(groups.withColumn("component_id", F.when(~F.col("component.none"), F.col("component.least"))))
     return rows.join(groups, "fp").select("rid", "doc_id", "fp", "component_id", "component")
 
 
