@@ -178,8 +178,9 @@ def chosen(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def learn(stats: DataFrame, known: DataFrame, penalty: float = PENALTY) -> Rules:
-    """Fit on the rows of chosen labels."""
-    rows = stats.join(F.broadcast(known), "doc_id").select(*STATS, "label").toPandas().sort_values([*STATS, "label"])
+    """Fit on the rows of chosen labels; of rows with one doc_id, that of least statistics, so that no more are fetched than labels are chosen."""
+    rows = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*STATS)).alias("s")).select("s.*", "label")
+    rows = rows.toPandas().sort_values([*STATS, "label"])
     return fit(rows[list(STATS)].to_numpy(float), rows["label"].to_numpy(float), penalty=penalty)
 
 
