@@ -11,8 +11,8 @@ logistic curve, fitted on the same labelled rows, turns sum and density into a
 score.
 
 The fit uses about SAMPLE labelled doc_ids at most, those of least hash among the
-ones that are not held out; the lexicon has at most LEXICON
-entries, so its broadcast is bounded.
+ones that are not held out, and one text of each; every entry of the lexicon is in
+SEEN of their toxic ones at least, which bounds its size.
 
 Defined results: null and empty texts have no matches and the score of a text
 without any; without labels the lexicon is empty and every score is 0.5;
@@ -23,8 +23,10 @@ separate rows; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import ahocorasick
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import columns, held_out, sampled, staged, table
 
-SAMPLE, LEXICON = 20_000, 20_000
+SAMPLE = 20_000
 STEMS = (4, 5)
 SEEN, ODDS = 3, 3.0
 THRESHOLD = 0.5
@@ -88,7 +90,11 @@ def _features(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float
             spared.append((start, end))
         elif w > best.get(start, 0.0):
             best[start] = w
-    total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in spared))
+    if spared:
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        best = {at: w for at, w in best.items() if not ((i := bisect_right(begins, at)) and at < reach[i - 1])}
+    total = sum(best.values())
     return total, 100 * total / max(1, len(words))
 
 
@@ -124,18 +130,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     """Learn from about `sample` labelled rows at most of docs(doc_id, text) that are not held out; labels(doc_id, label)."""
     spark = docs.sparkSession
     labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg("label")).alias("label"))
-    rows = docs.join(F.broadcast(staged(sampled(labels, "doc_id", sample))), "doc_id").select("text", "label")
+    rows = docs.join(F.broadcast(staged(sampled(labels, "doc_id", sample))), "doc_id")
+    rows = staged(rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label"))
     counts = rows.mapInArrow(_count_rows, "entry string, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    total = F.col("entry") == ""
-    kept = counts.filter(total | ((F.col("toxic") >= SEEN) & (F.col("toxic") > F.col("other")))).collect()  # bounded, as the sample is
-    kept = sorted(kept, key=lambda r: (r.entry != "", -r.toxic, r.other, r.entry))[: LEXICON + 1]
-    base = next((r for r in kept if r.entry == ""), None)
+    counts = staged(counts)
+    base = counts.filter("entry = ''").first()
     n, m = (base.toxic, base.other) if base else (0, 0)
-    weights = {}
-    for r in kept:
-        odds = np.log((r.toxic + 0.5) / (n + 1)) - np.log((r.other + 0.5) / (m + 1))
-        if r.entry and odds >= ODDS:
-            weights[r.entry] = float(odds)
+    odds = F.log((F.col("toxic") + 0.5) / (n + 1)) - F.log((F.col("other") + 0.5) / (m + 1))
+    kept = counts.filter((F.col("entry") != "") & (F.col("toxic") >= SEEN)).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy("entry").collect()
+    weights = {r.entry: r.odds for r in kept}
     # a beginning is kept for words that vary after it, not where one whole word accounts for most of it
     seen = {r.entry: r.toxic for r in kept}
     for word in [e for e in weights if e.endswith(" ")]:
