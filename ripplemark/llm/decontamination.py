@@ -31,6 +31,7 @@ from .common import columns, small, staged, table
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
 FILTER_ROWS = 2_000_000
+ROWS = 10_000  # of item windows that a task holds at a time
 
 HIT = pa.struct([("fp", pa.int64()), ("k", pa.int32()), ("at", pa.int32()), ("low", pa.int32()), ("words", pa.list_(pa.string()))])
 
@@ -55,8 +56,13 @@ def _folded(buf: np.ndarray) -> np.ndarray:
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, k, fp, window): each window of an item with each fingerprint that may find it; k below 0 marks a short item."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"item_id": pa.array([r[0] for r in rows], pa.string()), "k": pa.array([r[1] for r in rows], pa.int32()), "fp": pa.array([r[2] for r in rows], pa.int64()), "window": pa.array([r[3] for r in rows], pa.string())})
+
+    rows: list[tuple] = []
     for batch in batches:
-        ids, rows = batch.column("item_id").to_pylist(), []
+        ids = batch.column("item_id").to_pylist()
         for i, text in enumerate(batch.column("text").to_pylist()):
             buf = _folded(np.frombuffer((text or "").encode(), np.uint8))
             start, end, first = t.words(buf, np.array([0, len(buf)]), t.ALNUM)
@@ -72,7 +78,10 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in range(n - WINDOW + 1):
                 inside = (at >= w) & (at <= w + WINDOW - K)
                 rows += [(ids[i], K, int(x), " ".join(own[w : w + WINDOW])) for x in set(fps[inside].astype(np.int64).tolist())]
-        yield pa.RecordBatch.from_pydict({"item_id": pa.array([r[0] for r in rows], pa.string()), "k": pa.array([r[1] for r in rows], pa.int32()), "fp": pa.array([r[2] for r in rows], pa.int64()), "window": pa.array([r[3] for r in rows], pa.string())})
+                if len(rows) >= ROWS:
+                    yield made(rows)
+                    rows = []
+    yield made(rows)
 
 
 def _document_rows(short: tuple[int, ...], known):
@@ -81,7 +90,7 @@ def _document_rows(short: tuple[int, ...], known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if known is None else known.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             for low, high, raw, offsets in t.chunks(batch.column("text")):
                 buf = _folded(raw)
                 start, end, first = t.words(buf, offsets, t.ALNUM)
@@ -99,16 +108,17 @@ def _document_rows(short: tuple[int, ...], known):
                         a, b = max(int(first[d]), p - reach), min(int(first[d + 1]), p + n + reach)
                         around = [buf[x:y].tobytes().decode() for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
                         hits[d].append({"fp": fp, "k": k, "at": p - int(first[d]), "low": a - int(first[d]), "words": around})
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(low, high - low), "n_words": pa.array(np.diff(first), pa.int64()), "hits": pa.array(hits, pa.list_(HIT))})
+                yield pa.RecordBatch.from_pydict({**{c: v.slice(low, high - low) for c, v in ids.items()}, "n_words": pa.array(np.diff(first), pa.int64()), "hits": pa.array(hits, pa.list_(HIT))})
 
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, filter_rows: int = FILTER_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, filter_rows: int = FILTER_ROWS, key: str | None = None) -> DataFrame:
     """(rid, doc_id, n_words, n_hit, items, spans) for every row of docs(doc_id, text) against items(item_id, text).
 
     items: the sorted distinct item_ids with a window in the document; n_hit:
-    the words inside any such window.
+    the words inside any such window.  key: a column with a number for each row,
+    which becomes rid; without one, rows are numbered in the written table.
     """
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -119,8 +129,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, filter_rows: int = FILTER_R
         known = spark.sparkContext.broadcast(np.sort(fps.toPandas()["fp"].to_numpy()))
     short = tuple(sorted(-r.k for r in index.filter("k < 0").select("k").distinct().collect()))  # of 1 to WINDOW - 1
     hit = "array<struct<fp:bigint,k:int,at:int,low:int,words:array<string>>>"
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_document_rows(short, known), f"doc_id bigint, n_words bigint, hits {hit}")
-    seen = staged(seen.withColumn("rid", F.monotonically_increasing_id()))
+    own = [F.col(f"`{key}`").alias("rid")] if key else []
+    seen = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    seen = seen.mapInArrow(_document_rows(short, known), f"{'rid bigint, ' if key else ''}doc_id bigint, n_words bigint, hits {hit}")
+    seen = staged(seen if key else seen.withColumn("rid", F.monotonically_increasing_id()))
     hits = seen.select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
     hits = hits.join(small(staged(index.select("fp", "k").distinct())), ["fp", "k"], "left_semi")
     # extend: every window of the item's length that holds the gram and lies in the document
