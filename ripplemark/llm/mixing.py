@@ -16,7 +16,8 @@ doc_ids are separate rows; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +68,12 @@ def _meet(a: tuple, b: tuple) -> tuple[list[tuple], tuple | None]:
     return settled, (lose[0], left, lose[2])
 
 
-def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _round_block(units: pa.Table) -> pa.Table:
     """A block's rows with copy: 0 or 1, or -1 for the residual, whose p is then the probability left."""
-    pdf = pdf.sort_values(["size", "u", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-    copies, left, goes = [0] * len(pdf), pdf["p"].tolist(), None
-    for unit in zip(range(len(pdf)), pdf["p"].tolist(), pdf["u"].tolist(), strict=True):
+    size, p, u, mixed = (units.column(c).to_numpy() for c in ("size", "p", "u", "mixed"))
+    order = np.lexsort((mixed, u, -size)).tolist()
+    copies, left, goes = [0] * len(p), p.tolist(), None
+    for unit in ((i, left[i], float(u[i])) for i in order):
         if unit[1] <= 1e-12:
             continue
         if goes is None:
@@ -82,26 +84,34 @@ def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
             copies[k] = c
     if goes is not None:
         copies[goes[0]], left[goes[0]] = -1, goes[1]
-    return pdf.assign(copy=pd.Series(copies, dtype="int32"), p=left)
+    at = units.schema.get_field_index("p")
+    return units.set_column(at, "p", pa.array(left, pa.float64())).append_column("copy", pa.array(copies, pa.int32()))
 
 
 def _rounded(units: DataFrame) -> DataFrame:
     """One level of the tree: a task rounds a block of (source_no, block) at a time; blocks are bounded, so no task grows with a source."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in units.schema.fields)}, copy int"
-    return units.groupBy("source_no", "block").applyInPandas(_round_block, schema)
+    return units.groupBy("source_no", "block").applyInArrow(_round_block, schema)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """(rid, doc_id, size, source_size, target, copies, taken) for every row of docs(doc_id, text, source)."""
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sizes = staged(sizes.withColumn("rid", F.monotonically_increasing_id()))
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 11, key: str | None = None) -> DataFrame:
+    """(rid, doc_id, size, source_size, target, copies, taken) for every row of docs(doc_id, text, source).
+
+    key: a column with a number for each row, which becomes rid; without one,
+    rows are numbered in the written table.
+    """
+    rid = F.col(f"`{key}`") if key else F.monotonically_increasing_id()
+    content = F.xxhash64("doc_id", "source", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(seed))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), content.alias("mixed"), rid.alias("rid"))
+    sizes = staged(sizes)
     by = staged(targets(sizes, weights, share, most).withColumn("source_no", F.coalesce(F.xxhash64("source"), F.lit(-1)) + F.when(F.col("source").isNull(), 1).otherwise(0)))
-    known = sizes.alias("d").join(small(by).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.rid", "d.doc_id", "d.size", "s.source_no", "s.source_size", "s.target", "s.n_docs")
+    known = sizes.alias("d").join(small(by).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.rid", "d.doc_id", "d.size", "d.mixed", "s.source_no", "s.source_size", "s.target", "s.n_docs")
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     known = known.withColumn("whole", F.floor(copies + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), copies - F.col("whole")))
-    # which block a row is in, and its random number, depend on its contents only; a repeated row differs by nothing, so it doesn't matter which is taken
-    mixed = F.xxhash64("doc_id", "size", "source_no", F.lit(seed))
-    known = known.withColumn("block", F.pmod(mixed, F.ceil(F.col("n_docs") / block)).cast("long")).withColumn("u", F.pmod(F.xxhash64(mixed, F.lit("u")), F.lit(1 << 30)) / float(1 << 30))
+    # which block a row is in, and its random number, depend on its contents only; of repeated rows it doesn't matter which is taken, and where they would fill blocks their numbers spread them
+    again = staged(sizes.groupBy("mixed").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, block // 8)).select("mixed", F.lit(True).alias("again")))
+    known = known.join(small(again), "mixed", "left").withColumn("unit", F.when(F.col("again"), F.xxhash64("mixed", "rid")).otherwise(F.col("mixed"))).drop("again")
+    known = known.withColumn("block", F.pmod("unit", F.ceil(F.col("n_docs") / block)).cast("long")).withColumn("u", F.pmod(F.xxhash64("unit", F.lit("u")), F.lit(1 << 30)) / float(1 << 30)).drop("unit")
     level = staged(_rounded(known.drop("n_docs")))
     done, parts = [level.filter("copy >= 0")], [level.filter("copy < 0")]
     blocks = -(-(by.agg(F.max("n_docs")).first()[0] or 0) // block)
