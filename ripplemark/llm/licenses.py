@@ -3,15 +3,21 @@
 Every template is a word sequence.  All rolling word bigrams of a document are
 hashed and joined to the bigrams' positions in the templates; a match votes for
 the diagonal (document position - template position).  Votes are summed by
-document, template and diagonal, neighbouring diagonals (a word more or less)
-are merged, and a span is verified by its share of the template's bigrams.
-
-Base phrases need every bigram on a single diagonal, which makes them exact
-places; longer templates, the operator's own, need SHARE of their bigrams.  The
-templates are constants of this module, so their broadcast is bounded.
-
-Defined results: null and empty texts have no words, no labels and score 0;
-equal doc_ids are separate rows; an empty table gives no rows.
+document, template and diagonal.  In the order of the diagonals, neighbours that
+are at most DRIFT apart (some words more or less) are merged: places on one
+diagonal are at most a template's length apart, so that stray bigrams elsewhere
+do not come between.  A span is verified by the share of the template's
+positions that have a vote in it.
+
+Base phrases need every position on a single diagonal, which makes them exact
+places; longer templates, the operator's own, need SHARE of their positions.
+Templates are constants of this module or a table (label, text), which is
+broadcast only while it is small.
+
+Defined results: null and empty texts have no words, no labels and score 0; a
+template of fewer than two words is never found; very long texts are whole, a row
+for each of their matches; equal doc_ids are separate rows; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, table
+from .common import columns, small, staged, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SHARE, GAP, DRIFT = 0.8, 40, 3
+SHARE, DRIFT = 0.8, 3
 
 # Base phrases with their labels, and passages of public licenses and of the usual notices that name them.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -41,45 +47,50 @@ TEMPLATES = (
 )
 
 
-def _templates(spark, base: tuple, more: tuple) -> DataFrame:
-    """(template, label, is_base, size, at, h): the bigrams of each template."""
-    rows = []
-    for n, (phrase, label) in enumerate((*base, *more)):
-        w = phrase.split()
-        rows += [(n, label, n < len(base), len(w) - 1, i, w[i], w[i + 1]) for i in range(len(w) - 1)]
-    df = spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, at int, a string, b string")
-    return df.select("template", "label", "is_base", "size", "at", F.xxhash64("a", "b").alias("h"))
+def _words(text) -> F.Column:
+    """A-Z folded; lower() makes an ASCII letter of one other character, the Kelvin sign, so a private one takes its place."""
+    text = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ue000")))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+#: The hash of each two consecutive words of the column w.
+GRAMS = "transform(slice(w, 2, size(w)), (x, i) -> xxhash64(w[i], x))"
 
 
-def scan(docs: DataFrame, base: tuple = BASE, templates: tuple = TEMPLATES, share: float = SHARE) -> DataFrame:
-    """(rid, doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) for every row of docs(doc_id, text)."""
+def _index(rows: DataFrame) -> DataFrame:
+    """(template, label, is_base, size, at, h): the bigrams of rows(template, label, is_base, w)."""
+    return rows.filter("size(w) > 1").select("template", "label", "is_base", (F.size("w") - 1).alias("size"), F.posexplode(F.expr(GRAMS)).alias("at", "h"))
+
+
+def scan(docs: DataFrame, base: tuple = BASE, templates: tuple | DataFrame = TEMPLATES, share: float = SHARE) -> DataFrame:
+    """(rid, doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs(doc_id, text); templates: (text, label) pairs, or a table with these columns."""
     spark = docs.sparkSession
-    grams = _templates(spark, base, templates)
-    # lower() makes an ASCII letter of one other character, the Kelvin sign; a private one takes its place, so that only A-Z are folded
-    text = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ue000")))
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
+    more = () if isinstance(templates, DataFrame) else templates
+    fixed = spark.createDataFrame([(str(n), label, n < len(base), text.split()) for n, (text, label) in enumerate((*base, *more))], "template string, label string, is_base boolean, w array<string>")
+    grams = F.broadcast(_index(fixed))
+    if isinstance(templates, DataFrame):
+        named = templates.select(F.concat(F.lit("t"), F.sha2("text", 256)).alias("template"), F.col("label").cast("string").alias("label"), F.lit(False).alias("is_base"), _words(F.col("text")).alias("w"))
+        grams = small(staged(_index(fixed.unionByName(named.dropDuplicates(["template", "label"])))))
+    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("w"))
     # the leading null stands for the document itself, so that one pass also counts the words
-    pairs = words.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), F.expr("transform(slice(w, 2, size(w)), (x, i) -> xxhash64(w[i], x))"))).alias("i", "h"))
-    found = pairs.join(F.broadcast(grams), "h", "left").filter("h IS NULL OR template IS NOT NULL")
-    votes = found.groupBy("rid", "doc_id", "n_words", "template", "label", "is_base", "size", (F.col("i") - 1 - F.col("at")).alias("diagonal"), F.when(F.col("is_base"), 0).otherwise(F.col("i") / 1000).cast("int").alias("stretch"))
-    votes = votes.agg(F.count("template").alias("votes"), F.min(F.col("i") - 1).alias("low"), F.max(F.col("i")).alias("high"))
-    # neighbouring diagonals of a longer template that lie close together make one span; a base phrase keeps its own
-    by = Window.partitionBy("rid", "doc_id", "template").orderBy("low", "diagonal")
-    apart = F.col("is_base") | (F.col("low") - F.lag("high").over(by) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > DRIFT)
+    pairs = words.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), F.expr(GRAMS))).alias("i", "h"))
+    found = pairs.join(grams, "h", "left").filter("h IS NULL OR template IS NOT NULL")
+    each = ["rid", "doc_id", "n_words", "template", "label", "is_base", "size"]
+    votes = found.groupBy(*each, (F.col("i") - 1 - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_list("at")).alias("at"))
+    # neighbouring diagonals of a longer template make one span; a base phrase keeps its own
+    by = Window.partitionBy("rid", "doc_id", "template", "label").orderBy("diagonal")
+    apart = F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT)
     spans = votes.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("rid", "doc_id", "n_words", "template", "label", "is_base", "size", "span").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    part = F.when(F.col("size") > 0, F.least(F.lit(1.0), F.col("votes") / F.col("size")))
-    kept = spans.withColumn("part", F.coalesce(part, F.lit(0.0))).withColumn("ok", F.coalesce(F.when(F.col("is_base"), F.col("votes") >= F.col("size")).otherwise(F.col("part") >= share), F.lit(False)))
+    spans = spans.groupBy(*each, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.min(F.col("diagonal") + F.element_at(F.col("at"), 1)).alias("low"))
+    part = F.when(F.col("size") > 0, F.col("votes") / F.col("size"))
+    kept = spans.withColumn("part", F.coalesce(part, F.lit(0.0))).withColumn("ok", F.coalesce(F.when(F.col("is_base"), F.col("votes") == F.col("size")).otherwise(F.col("part") >= share), F.lit(False)))
     based = F.col("ok") & F.col("is_base")
-    res = kept.groupBy("rid", "doc_id", "n_words").agg(
+    return kept.groupBy("rid", "doc_id", "n_words").agg(
         F.sum(F.when(based, 1).otherwise(0)).cast("long").alias("n_base"), F.min(F.when(based, F.col("low"))).cast("long").alias("first_word"), F.max(F.when(based, F.col("low"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(based, F.col("label")))), ",").alias("base_labels"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("label")))), ",").alias("labels"),
         F.max(F.when(F.col("ok") | ~F.col("is_base"), F.col("part")).otherwise(0.0)).alias("score"),
     )
-    return res
 
 
 def op10_diagonal_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(columns(table(spark, sf_dir, "documents"), doc_id="long", text="string")).drop("rid")
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, DRIFT, GAP, SHARE, TEMPLATES
+from .licenses import BASE, DRIFT, SHARE, TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,24 +52,38 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, sum(b
 """
 
 
+def _phrases() -> str:
+    """Places of the base phrases, each word compared where it stands."""
+    parts = []
+    for phrase, label in BASE:
+        w = phrase.split()
+        same = " AND ".join(f"w[i + {j + 1}] = '{x}'" for j, x in enumerate(w))
+        parts.append(f"SELECT doc_id, i, '{label}' AS label FROM d, unnest(range(0, len(w) - {len(w) - 1})) AS t(i) WHERE {same}")
+    return " UNION ALL ".join(parts)
+
+
 def _grams() -> str:
     rows = []
-    for n, (phrase, label) in enumerate((*BASE, *TEMPLATES)):
+    for n, (phrase, label) in enumerate(TEMPLATES):
         w = phrase.split()
-        rows += [f"({n}, '{label}', {n < len(BASE)}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(template, label, is_base, size, place, a, b)"
+        rows += [f"({n}, '{label}', {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(template, label, size, place, a, b)"
 
 
+# The score is 1 where a base phrase stands, else the best share of a longer template.
 OP10 = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_alnum("text")} AS w FROM documents),
+base AS MATERIALIZED ({_phrases()}),
 g AS ({_grams()}),
 pairs AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM d, unnest(range(0, len(w) - 1)) AS t(i)),
-votes AS (SELECT doc_id, template, label, is_base, size, i - place AS diagonal, count(*) AS votes, min(i) AS low, max(i) + 1 AS high FROM pairs JOIN g ON g.a = pairs.a AND g.b = pairs.b GROUP BY 1, 2, 3, 4, 5, 6, CASE WHEN is_base THEN 0 ELSE CAST(floor((i + 1) / 1000) AS BIGINT) END),
-marked AS (SELECT *, CASE WHEN NOT is_base AND low - lag(high) OVER o <= {GAP} AND abs(diagonal - lag(diagonal) OVER o) <= {DRIFT} THEN 0 ELSE 1 END AS new FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY low, diagonal)),
-spans AS (SELECT doc_id, template, label, is_base, size, span, sum(votes) AS votes, min(low) AS low FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY low, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked) GROUP BY 1, 2, 3, 4, 5, 6),
-kept AS (SELECT *, least(1.0, CAST(votes AS DOUBLE) / size) AS part, CASE WHEN is_base THEN votes >= size ELSE least(1.0, CAST(votes AS DOUBLE) / size) >= {SHARE} END AS ok FROM spans)
-SELECT d.doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(CASE WHEN ok AND is_base THEN 1 END) AS n_base, CAST(min(CASE WHEN ok AND is_base THEN low END) AS BIGINT) AS first_word, CAST(max(CASE WHEN ok AND is_base THEN low END) AS BIGINT) AS last_word,
-coalesce(string_agg(DISTINCT CASE WHEN ok AND is_base THEN label END, ',' ORDER BY CASE WHEN ok AND is_base THEN label END), '') AS base_labels, coalesce(string_agg(DISTINCT CASE WHEN ok THEN label END, ',' ORDER BY CASE WHEN ok THEN label END), '') AS labels,
-coalesce(max(CASE WHEN ok OR NOT is_base THEN part ELSE 0 END), 0) AS score
-FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id GROUP BY d.doc_id
+votes AS MATERIALIZED (SELECT doc_id, template, label, size, i - place AS diagonal, place FROM pairs JOIN g ON g.a = pairs.a AND g.b = pairs.b),
+marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {DRIFT} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes)),
+spans AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+parts AS (SELECT v.doc_id, v.label, count(DISTINCT v.place) / CAST(max(v.size) AS DOUBLE) AS part FROM votes v JOIN spans s ON s.doc_id = v.doc_id AND s.template = v.template AND s.diagonal = v.diagonal GROUP BY v.doc_id, v.template, v.label, s.span),
+names AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM parts WHERE part >= {SHARE}) GROUP BY 1),
+places AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
+best AS (SELECT doc_id, max(part) AS part FROM parts GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END AS score
+FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id
 """
