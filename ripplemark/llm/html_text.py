@@ -1,26 +1,36 @@
 """HTML main text by wrapper induction.
 
-A page is read into a small tree of its structural elements, in which equal
-siblings are one node.  For every host a reference tree is taken, each page's
-tree is aligned to it by simple tree matching, and per aligned node it is
-counted over all of the host's pages whether its text is constant (template) or
-varies (a slot).  A page's main text are the blocks in its slots, outside of
-elements whose tag or class names a menu, header, footer, sidebar, notice,
-advert, form or reader comments; where a page marks its article, only in there,
-and there no constant is dropped, since passages may be shared.
-
-A host's statistics are sums over (host, node) rows and its reference a least
-value, so that no task holds the pages of a host.
+A page is read into a tree of its structural elements, in which equal siblings
+are one node.  The trees of a host's pages are merged, by simple tree matching,
+into the host's tree, and every page's tree is aligned to that one.  Over the
+host's different pages it is counted at how many of those that have a node a
+block of text stands there: one that (nearly) all have is template, and the
+others fill a slot.  From the root down, the region that holds the main part of
+the text in slots is the host's content: a page's main text are the blocks in the
+slots of that region, and first headings.
+
+Menus, adverts and comments can vary from page to page, too.  So no slot counts
+where an element's tag or class names a menu, header, footer, sidebar, notice,
+advert, form or reader comments.  Article and main elements or classes decide
+only on hosts with fewer than PAGES different pages, and on pages that have
+nothing in their host's region.
+
+A host's statistics are sums over (host, node, block) rows, and trees are merged
+FANIN at a time, so that no task holds the pages of a host.  The merged tree has a
+node for each path of labels that the host's pages use.
 
 Defined results: null and empty pages give an empty text; a url without a host
-is a host of its own; equal page_ids are separate rows; an empty table gives no
-rows.
+is a host of its own; equal page_ids are separate rows, and equal pages count
+once for the template; very long, deep or broken pages take time in proportion
+to their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -32,8 +42,11 @@ from pyspark.sql import functions as F
 
 from .common import columns, small, staged, table
 
-#: From so many pages of a host on, a node whose text never varies is its template.
-PAGES = 3
+#: From so many different pages with a node on, a block that this share of them has there is template.
+PAGES, SHARE = 5, 0.9
+MAIN_PART = 0.5  # of the text in slots, what the content region holds at least
+FANIN = 64  # trees that a task merges at a time
+CACHED = 20_000  # characters of a tree up to which its alignment is remembered
 
 # Kinds of elements, and words of classes and ids that mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +63,9 @@ NOT_MAIN_WORDS = frozenset(
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main maintext content entry post story".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# The parts of these patterns never give back what they matched, so that they read a tag once.  Without quotes: for pages with quotes that do not close.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_TAG_WITHOUT_QUOTES = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -91,13 +106,62 @@ class Page(NamedTuple):
     blocks: list[tuple[int, str]]
 
 
+@lru_cache(64)
+def _closer(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+class Tokens:
+    """The text and the tags of a page, in order: (text, None) and ("", match)."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.end, self.last, self.tag = text, 0, len(text), text.rfind(">"), _TAG
+        self.open_ended: set[str] = set()
+
+    def __iter__(self) -> Iterator[tuple[str, re.Match | None]]:
+        text, begin = self.text, 0
+        while True:
+            p = text.find("<", max(begin, self.at))
+            if p < 0 or p > self.last:
+                yield text[self.at :], None
+                return
+            begin = p + 1
+            if text.startswith(("<!", "<?"), p):
+                opens, closes = next(x for x in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")) if text.startswith(x[0], p))
+                yield text[self.at : p], None
+                stop = text.find(closes, p + len(opens))
+                self.at = stop + len(closes) if stop >= 0 else self.end
+                continue
+            name = text[begin : begin + 2].lstrip("/")[:1]
+            if not (name.isascii() and name.isalpha()):
+                continue
+            m = self.tag.match(text, p)
+            if m is None and self.tag is _TAG:
+                self.tag = _TAG_WITHOUT_QUOTES
+                m = self.tag.match(text, p)
+            if m is not None:
+                yield text[self.at : p], None
+                self.at = m.end()
+                yield "", m
+
+    def skip(self, tag: str) -> None:
+        """Go behind the end of an element whose content is not read; where it has none, only scripts and styles reach to the end of the page."""
+        found = None if tag in self.open_ended else _closer(tag).search(self.text, self.at)
+        if found:
+            self.at = found.end()
+            return
+        self.open_ended.add(tag)
+        if tag in ("script", "style"):
+            self.at = self.end
+
+
 def parse(text: str | None) -> Page:
     """The structural tree of a page; siblings of one label are one node."""
-    text = text or ""
     root = Node("", "", None)
     nodes, index, blocks = [root], {id(root): 0}, []
     stack: list[tuple[str, Node]] = []
-    here, parts, at, n = root, [], 0, len(text)
+    opened: Counter[str] = Counter()
+    here, parts, tokens = root, [], Tokens(text or "")
 
     def flush() -> None:
         if parts:
@@ -106,22 +170,14 @@ def parse(text: str | None) -> Page:
             if words:
                 blocks.append((index[id(here)], " ".join(words)))
 
-    while at < n:
-        m = _TOKEN.search(text, at)
+    for between, m in tokens:
         if m is None:
-            parts.append(text[at:])
-            break
-        if m.start() > at:
-            parts.append(text[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+            parts.append(between)
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if tag in RAW and not m[1]:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-                at = end.end() if end else (n if tag in ("script", "style") else at)
+                tokens.skip(tag)
             parts.append(" ")
             continue
         if tag in INLINE:
@@ -132,26 +188,28 @@ def parse(text: str | None) -> Page:
         if tag in VOID or tag in RAW:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    here = stack[i][1].parent
-                    del stack[i:]
+            while opened[tag]:
+                name, node = stack.pop()
+                opened[name] -= 1
+                here = node.parent
+                if name == tag:
                     break
             continue
         closes = (*SELF_CLOSING.get(tag, ()), "p")
         while stack and stack[-1][0] in closes:
-            here = stack.pop()[1].parent
+            name, node = stack.pop()
+            opened[name] -= 1
+            here = node.parent
         node = Node(tag, m[3], here)
         known = here.children.get(node.label)
         if known is None:
             here.children[node.label] = known = node
             index[id(node)] = len(nodes)
             nodes.append(node)
-        here = known
         if not m[3].endswith("/"):
-            stack.append((tag, node if known is node else known))
-        else:
-            here = known.parent
+            here = known
+            stack.append((tag, known))
+            opened[tag] += 1
     flush()
     _judge(nodes, blocks)
     return Page(nodes, blocks)
@@ -183,97 +241,231 @@ def _tree(lines: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
-@lru_cache(4096)
-def align(lines: str, reference: str) -> tuple[int, ...]:
-    """Simple tree matching of two skeletons: for each line the reference's line, or -1."""
+def _chain(pairs: list[tuple[int, int, int]]) -> list[int]:
+    """Of pairs (i, j, weight), sorted by i and falling j, those (by their numbers) of a chain rising in both with the most weight."""
+    if len(pairs) < 2:
+        return list(range(len(pairs)))
+    js = sorted({j for _, j, _ in pairs})
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(js) + 1)  # a Fenwick tree of (weight, last pair)
+    before = []
+    for n, (_, j, w) in enumerate(pairs):
+        at, best = bisect_left(js, j), (0, -1)
+        k = at
+        while k > 0:
+            best = max(best, tree[k])
+            k -= k & -k
+        before.append(best[1])
+        k, now = at + 1, (best[0] + w, n)
+        while k < len(tree):
+            tree[k] = max(tree[k], now)
+            k += k & -k
+    k, best = len(js), (0, -1)
+    while k > 0:
+        best = max(best, tree[k])
+        k -= k & -k
+    out, n = [], best[1]
+    while n >= 0:
+        out.append(n)
+        n = before[n]
+    return out[::-1]
+
+
+def _matched(lines: str, reference: str) -> tuple[int, ...]:
+    """Simple tree matching: the order-preserving matching of equal labels, from the roots down, with the most nodes; only pairs of equal labels are looked at."""
     (la, ca), (lb, cb) = _tree(lines), _tree(reference)
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-
-    def weight(a: int, b: int) -> int:
-        if la[a] != lb[b]:
-            return 0
-        m = [[0] * (len(cb[b]) + 1) for _ in range(len(ca[a]) + 1)]
-        for i, x in enumerate(ca[a], 1):
-            for j, y in enumerate(cb[b], 1):
-                m[i][j] = max(m[i][j - 1], m[i - 1][j], m[i - 1][j - 1] + weight(x, y))
-        tables[a, b] = m
-        return m[-1][-1] + 1
-
     out = [-1] * len(la)
-    weight(0, 0)
-    todo = [(0, 0)]
+    if la[0] != lb[0]:
+        return tuple(out)
+    pairs, below, n = [(0, 0)], [], 0
+    while n < len(pairs):  # parents before children
+        a, b = pairs[n]
+        by: dict[str, list[int]] = {}
+        for j, y in enumerate(cb[b]):
+            by.setdefault(lb[y], []).append(j)
+        own = [(i, j) for i, x in enumerate(ca[a]) for j in reversed(by.get(la[x], ()))]
+        below.append((len(pairs), own))
+        pairs += [(ca[a][i], cb[b][j]) for i, j in own]
+        n += 1
+    weight, chosen = [1] * len(pairs), [[]] * len(pairs)
+    for n in range(len(pairs) - 1, -1, -1):
+        first, own = below[n]
+        kept = _chain([(i, j, weight[first + k]) for k, (i, j) in enumerate(own)])
+        weight[n], chosen[n] = 1 + sum(weight[first + k] for k in kept), [first + k for k in kept]
+    todo = [0]
     while todo:
-        a, b = todo.pop()
-        out[a] = b
-        m, i, j = tables[a, b], len(ca[a]), len(cb[b])
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((ca[a][i], cb[b][j]))
+        n = todo.pop()
+        out[pairs[n][0]] = pairs[n][1]
+        todo += chosen[n]
     return tuple(out)
 
 
-def _skeleton_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_remembered = lru_cache(4096)(_matched)
+
+
+def align(lines: str, reference: str) -> tuple[int, ...]:
+    """For each line of a skeleton the reference's line that it matches, or -1."""
+    return (_remembered if len(lines) + len(reference) <= CACHED else _matched)(lines, reference)
+
+
+def merge(reference: str, lines: str) -> str:
+    """The reference with the nodes of another skeleton that it lacks, behind their neighbours there."""
+    (labels, children), (more, below), found = _tree(reference), _tree(lines), list(align(lines, reference))
+    for a, own in enumerate(below):  # parents come first
+        to = children[found[a]] if found[a] >= 0 else None
+        if to is None:
+            continue
+        place = {y: i for i, y in enumerate(to)}
+        out, at = [], 0
+        for x in own:
+            if found[x] >= 0:
+                out += to[at : place[found[x]] + 1]
+                at = place[found[x]] + 1
+            else:
+                found[x] = len(labels)
+                labels.append(more[x])
+                children.append([])
+                out.append(found[x])
+        children[found[a]] = out + to[at:]
+    out, todo = [], [(0, 0)]
+    while todo:
+        n, depth = todo.pop()
+        out.append(f"{depth} {labels[n]}")
+        todo += [(c, depth + 1) for c in reversed(children[n])]
+    return "\n".join(out)
+
+
+def _hash(block: str) -> int:
+    return xxhash.xxh64_intdigest(block) >> 1
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shape, content, blocks): a page's skeleton, a hash of all it says, and its blocks by line with their sizes; one without a hash stands for the line itself."""
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("hash", pa.int64()), ("size", pa.int64())]))
     for batch in batches:
-        shapes, hashes = [], []
+        shapes, contents, blocks = [], [], []
         for v in batch.column("html"):
             page = parse(v.as_py())
             lines, order = skeleton(page)
-            own: dict[int, list[str]] = {}
-            for i, block in page.blocks:
-                own.setdefault(i, []).append(block)
+            place = {node: line for line, node in enumerate(order)}
+            own: dict[tuple, int] = {}
+            for i, x in page.blocks:
+                for key in ((place[i], _hash(x)), (place[i], None)):
+                    own[key] = own.get(key, 0) + (0 if page.nodes[i].off else len(x))
             shapes.append(lines)
-            hashes.append([xxhash.xxh64_intdigest("\n".join(own[i])) >> 1 if i in own else None for i in order])
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(shapes, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "host", "shape", "hashes"])
+            contents.append(_hash(f"{lines}\n{[(i, _hash(x)) for i, x in page.blocks]}"))
+            blocks.append([{"line": i, "hash": h, "size": n} for (i, h), n in own.items()])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shapes, pa.string()), pa.array(contents, pa.int64()), pa.array(blocks, kind)], names=["host", "shape", "content", "blocks"])
+
+
+def _merged_block(shapes: pa.Table) -> pa.Table:
+    """The trees (host, shape, n) of a block as one; the most frequent first."""
+    rows = sorted(zip(shapes.column("n").to_pylist(), shapes.column("shape").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    tree = rows[0][1]
+    for _, lines in rows[1:]:
+        tree = merge(tree, lines)
+    return pa.table({"host": shapes.column("host").slice(0, 1), "shape": pa.array([tree], pa.string()), "n": pa.array([sum(n for n, _ in rows)], pa.int64())})
+
+
+def host_trees(shapes: DataFrame, fanin: int = FANIN) -> DataFrame:
+    """(host, tree, pages): the merged skeletons of each host of shapes(host, shape, n), by a tree of merges of about `fanin` at a time."""
+    level, most = shapes, fanin + 1
+    while most > fanin:
+        sizes = level.groupBy("host").agg(F.count("*").alias("size"))
+        most = sizes.agg(F.max("size")).first()[0] or 0
+        dealt = level.join(sizes, "host").select("host", "shape", "n", F.pmod(F.xxhash64("shape"), F.ceil(F.col("size") / fanin)).alias("block"))
+        level = staged(dealt.groupBy("host", "block").applyInArrow(_merged_block, "host string, shape string, n bigint"))
+    return level.select("host", F.col("shape").alias("tree"), F.col("n").alias("pages"))
 
 
 def _aligned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, nodes, hashes = [], [], []
-        for host, shape, reference, own in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "reference", "hashes")), strict=True):
-            for i, h in zip(align(shape, reference), own, strict=True):
-                if i >= 0 and h is not None:
-                    hosts.append(host)
-                    nodes.append(i)
-                    hashes.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(hashes, pa.int64())], names=["host", "node", "hash"])
-
-
-def main_text(text: str | None, reference: str | None = None, constant: frozenset[int] = frozenset()) -> str:
-    """The main blocks of a page; constant: lines of its host's reference that are template."""
+        nodes = [align(shape, tree) for shape, tree in zip(batch.column("shape").to_pylist(), batch.column("tree").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(nodes, pa.list_(pa.int32()))], names=["host", "shape", "nodes"])
+
+
+def region(tree: str, sizes: dict[int, int], part: float = MAIN_PART) -> tuple[int, int] | None:
+    """The lines (from, past the last) of the deepest element around others that has `part` of all text in slots; sizes: that of each line."""
+    labels, children = _tree(tree)
+    total = [sizes.get(i, 0) for i in range(len(labels))]
+    last = list(range(1, len(labels) + 1))
+    for i in range(len(labels) - 1, -1, -1):
+        for c in children[i]:
+            total[i] += total[c]
+            last[i] = max(last[i], last[c])
+    if total[0] <= 0:
+        return None
+    at = 0
+    while True:
+        around = [c for c in children[at] if total[c] >= part * total[0] and any(total[x] > 0 for x in children[c])]
+        if not around:
+            return at, last[at]
+        at = max(around, key=lambda c: total[c])
+
+
+class Wrapper(NamedTuple):
+    """A host's tree, the constant blocks (line, hash) at its nodes, and the lines of its content."""
+
+    tree: str
+    constant: frozenset[tuple[int, int]]
+    content: tuple[int, int]
+
+
+def main_text(text: str | None, wrapper: Wrapper | None = None) -> str:
+    """The main blocks of a page, by its host's wrapper or, without one, by its marks."""
     page = parse(text)
-    fixed: set[int] = set()
-    if constant and reference:
+    if wrapper:
         lines, order = skeleton(page)
-        fixed = {i for i, b in zip(order, align(lines, reference), strict=True) if b in constant}
+        at = dict(zip(order, align(lines, wrapper.tree), strict=True))
+        place, number, (low, high) = [], {id(v): i for i, v in enumerate(page.nodes)}, wrapper.content
+        for i, v in enumerate(page.nodes):  # parents first: a node that the tree lacks is where its parent is
+            place.append(at[i] if at[i] >= 0 or v.parent is None else place[number[id(v.parent)]])
+        kept = [b for i, b in page.blocks if not page.nodes[i].off and (low <= place[i] < high or page.nodes[i].tag == "h1") and (at[i], _hash(b)) not in wrapper.constant]
+        if kept:
+            return "\n\n".join(kept)
     marked = any(page.nodes[i].main for i, _ in page.blocks)
-    kept = [b for i, b in page.blocks if (page.nodes[i].main if marked else not page.nodes[i].off and i not in fixed)]
-    if not kept and fixed:
-        kept = [b for i, b in page.blocks if not page.nodes[i].off]
-    return "\n\n".join(kept)
+    return "\n\n".join(b for i, b in page.blocks if (page.nodes[i].main if marked else not page.nodes[i].off))
+
+
+def _wrapper_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        content = [region(tree, {x["node"]: x["size"] for x in sizes or ()}) for tree, sizes in zip(batch.column("tree").to_pylist(), batch.column("sizes").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "tree", "constant")), pa.array(content, pa.list_(pa.int32()))], names=["host", "tree", "constant", "content"])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [main_text(v.as_py(), r, frozenset(c or ())) for v, r, c in zip(batch.column("html"), batch.column("reference").to_pylist(), batch.column("constant").to_pylist(), strict=True)]
+        out, known = [], {}  # the wrappers of the batch's hosts
+        for v, host, tree, constant, content in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("tree"), batch.column("constant"), batch.column("content"), strict=True):
+            if host not in known:
+                lines = content.as_py()
+                known[host] = lines and Wrapper(tree.as_py(), frozenset((c["node"], c["hash"]) for c in constant.as_py() or ()), tuple(lines))
+            out.append(main_text(v.as_py(), known[host]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
+def wrappers(rows: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    """(host, tree, constant, content): the wrapper of each host of rows(host, html) with `least` different pages."""
+    seen = staged(rows.select("host", "html").mapInArrow(_page_rows, "host string, shape string, content bigint, blocks array<struct<line:int,hash:bigint,size:bigint>>"))
+    once = staged(seen.dropDuplicates(["host", "content"]).drop("content"))
+    shapes = staged(once.groupBy("host", "shape").agg(F.count("*").alias("n")))
+    trees = host_trees(shapes)
+    aligned = staged(shapes.join(trees, "host").select("host", "shape", "tree").mapInArrow(_aligned_rows, "host string, shape string, nodes array<int>"))
+    nodes = once.join(aligned, ["host", "shape"]).select("host", "nodes", F.explode("blocks").alias("b")).select("host", F.element_at("nodes", F.col("b.line") + 1).alias("node"), "b.hash", "b.size")
+    counted = staged(nodes.filter("node >= 0").groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter((F.col("n") >= least) | F.col("hash").isNull()))
+    pages = counted.filter("hash IS NULL").select("host", "node", F.col("n").alias("pages"))
+    fixed = counted.filter("hash IS NOT NULL").join(pages, ["host", "node"]).filter(F.col("n") >= share * F.col("pages")).select("host", "node", "hash", "size")
+    slots = counted.filter("hash IS NULL").select("host", "node", "size").unionByName(fixed.select("host", "node", (-F.col("size")).alias("size"))).groupBy("host", "node").agg(F.sum("size").alias("size"))
+    sizes = slots.groupBy("host").agg(F.collect_list(F.struct("node", "size")).alias("sizes"))
+    constant = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constant"))
+    found = trees.filter(F.col("pages") >= least).join(sizes, "host", "left").join(constant, "host", "left")
+    return staged(found.mapInArrow(_wrapper_rows, "host string, tree string, constant array<struct<node:int,hash:bigint>>, content array<int>"))
+
+
+def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    shapes = staged(rows.select("page_id", "host", "html").mapInArrow(_skeleton_rows, "page_id bigint, host string, shape string, hashes array<bigint>"))
-    references = staged(shapes.groupBy("host").agg(F.min(F.struct("page_id", "shape")).alias("r")).select("host", F.col("r.shape").alias("reference")))
-    nodes = shapes.join(small(references), "host").select("host", "shape", "reference", "hashes").mapInArrow(_aligned_rows, "host string, node int, hash bigint")
-    counted = nodes.groupBy("host", "node").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-    constant = counted.groupBy("host").agg(F.collect_list(F.when((F.col("n") >= least) & (F.col("low") == F.col("high")), F.col("node"))).alias("constant"))
-    wrappers = staged(references.join(constant, "host", "left"))
-    return rows.join(small(wrappers), "host").mapInArrow(_text_rows, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.join(small(wrappers(rows, least, share)), "host", "left").mapInArrow(_text_rows, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op6_wrapper_html(spark, sf_dir: str) -> DataFrame:
