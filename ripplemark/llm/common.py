@@ -68,6 +68,6 @@ def packed(docs: DataFrame, *apart: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in apart], F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).cast("string").alias("none")]).alias("row"))
 
 
-def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of `like`, in its order, out of what packed() made."""
-    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.col(f"row.`{c}`").alias(c) for c in like.columns])
+def unpacked(df: DataFrame, like: DataFrame, *apart: str) -> DataFrame:
+    """The columns of `like`, in its order, out of what packed() made with the same columns `apart`."""
+    return df.select(*[F.col(f"`{c}`") if c in apart else F.col(f"row.`{c}`").alias(c) for c in like.columns])

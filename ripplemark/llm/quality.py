@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The rows of docs(doc_id, text, ...) that score `threshold` or more, learned from labels(doc_id, label)."""
     known = staged(chosen(labels, sample))
     rules = learn(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id")), known)
-    return unpacked(statistics(packed(docs, "doc_id", "text")).filter(rules.column() >= threshold), docs)
+    return unpacked(statistics(packed(docs, "doc_id", "text")).filter(rules.column() >= threshold), docs, "doc_id", "text")
 
 
 def op1_rule_quality(spark, sf_dir: str) -> DataFrame:
