@@ -1,9 +1,14 @@
 """From raw documents to a training mix, in stages that hand over written tables.
 
 Every stage takes the documents that its predecessor kept and returns the same
-columns; the last adds the copies that the mix takes.  Documents are read from a
-written table, whose rows come in the same order each time they are read, which
-row numbers within a stage rely on.
+columns; the last adds the copies that the mix takes.  A stage that picks rows
+first writes them with a number each, by which its decisions find them again,
+however often and wherever the table is read.
+
+Null and equal doc_ids are rows like others, as each stage's operator says; null
+and empty texts are judged by their statistics and, where kept, stand for one
+near-duplicate group; other columns are handed on whatever they are named; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,9 +23,12 @@ from ripplemark.llm.quality import keep_good
 from ripplemark.llm.simhash import cluster
 from ripplemark.llm.substring import dedup
 
+READ = ("doc_id", "text", "source")
+
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return packed(docs).withColumn("rid", F.monotonically_increasing_id())
+    """The columns that operators read, the others as one struct, and the number of each row, as a written table."""
+    return staged(packed(docs, *READ).withColumn("rid", F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +39,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id. Unrelated documents stay, whether their doc_ids are null or equal or not."""
-    groups = staged(cluster(docs))
+    rows = _numbered(docs)
+    groups = staged(cluster(rows, "rid"))
     kept = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
     dropped = staged(groups.select("rid").join(kept, "rid", "left_anti"))
-    return unpacked(_numbered(docs).join(small(dropped), "rid", "left_anti"), docs)
+    return unpacked(rows.join(small(dropped), "rid", "left_anti"), docs, *READ)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,22 +52,26 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.coalesce("rest", "text")
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return unpacked(out, docs)
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.when(F.col("n_removed") > 0, n_chars).otherwise(F.col("row.n_chars"))))
+    return unpacked(out, docs, "doc_id", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    found = decontaminate(docs, columns(table(spark, sf_dir, "benchmark"), item_id="string", text="string"))
+    rows = _numbered(docs)
+    found = decontaminate(rows, columns(table(spark, sf_dir, "benchmark"), item_id="string", text="string"), key="rid")
     hit = staged(found.filter("n_hit > 0").select("rid"))
-    return unpacked(_numbered(docs).join(small(hit), "rid", "left_anti"), docs)
+    return unpacked(rows.join(small(hit), "rid", "left_anti"), docs, *READ)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of copies and the words that these have."""
-    taken = mix(docs).filter("copies > 0").select("rid", "copies", "taken")
-    both = _numbered(docs).join(taken.withColumnsRenamed({"copies": "mix_copies", "taken": "mix_taken"}), "rid")
-    return both.select("row.*", "mix_copies", "mix_taken")
+    rows = _numbered(docs)
+    taken = mix(rows, key="rid").filter("copies > 0").select("rid", F.struct("copies", "taken").alias("mix"))
+    both = rows.join(taken, "rid")
+    own = [F.col(f"`{c}`") if c in READ else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return both.select(*own, F.col("mix.copies").alias("mix_copies"), F.col("mix.taken").alias("mix_taken"))
 
 
 STAGES = [
