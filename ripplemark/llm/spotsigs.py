@@ -8,13 +8,15 @@ Likeness is the Jaccard index of two sets.  Sets whose sizes differ too much for
 a wanted likeness need no comparison, which similar_pairs() uses: sets are
 partitioned by length, and of each only the rarest signatures are indexed.
 
-The query also compares each text to an edited one, whose tail is replaced by
-the head of the next document.  Documents are dealt to ranges of doc_id; the
-last document of a range meets a copy of the first of the next.
+The query compares given pairs at any likeness, so that lengths prune nothing
+there: each text with an edited one, whose tail is replaced by the head of the
+next document, and with that document.  Documents are dealt to ranges of doc_id;
+the last document of a range meets a copy of the first of the next.
 
 Defined results: null texts read as empty, and two empty texts are alike (1); a
-null doc_id counts as larger than all others; equal doc_ids follow each other in
-the order of their texts; with one document, it is its own next one; an empty
+null doc_id counts as larger than all others; equal doc_ids follow each other by
+falling hashes of their texts, then by falling texts; with one document, it is
+its own next one; very long texts are whole, one at a time in memory; an empty
 table gives no rows.
 """
 
@@ -32,7 +34,7 @@ from . import text as t
 from .common import columns, staged, table
 
 CHAIN, DISTANCE = 2, 1
-LAST = (1 << 63) - 1
+LEAST = 0.8
 RANGES = 4  # of doc_id, for each shuffle partition
 
 # Common words of English, German, French and Spanish that start signatures.
@@ -81,9 +83,13 @@ def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distanc
     return [np.unique(sig[by[i] : by[i + 1]]) if by[i] < by[i + 1] else whole[i : i + 1] for i in range(len(offsets) - 1)]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """The likeness of two sorted sets; 0 where it is below `least`, which their lengths alone may tell."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return 0.0
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+    likeness = common / (len(a) + len(b) - common)
+    return likeness if likeness >= least else 0.0
 
 
 def render(sig: np.ndarray) -> str:
@@ -121,28 +127,35 @@ def _compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def edited(docs: DataFrame) -> DataFrame:
     """Each row of docs(doc_id, text) compared with its edited text and with the next document, by descending doc_id."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"none": F.col("doc_id").isNull(), "h": F.xxhash64("text")})
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = RANGES * parts
-    bounds = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
-    # bucket 0 holds the largest doc_ids; a bucket holds (bound, next bound], so that equal doc_ids stay together
-    bucket = F.lit(len(bounds)) - F.coalesce(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (F.col("doc_id") > b).cast("int")), F.lit(0)) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # one for each bucket
-    if not heads:
-        return _compared(rows.withColumn("own", F.lit(True)))
-    # the head of each bucket, in a copy, also goes to the bucket before it, and the very first one to the last
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    where, top = (F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col("bucket")] for pairs in (before.items(), heads))
-    copies = F.when(F.col("doc_id") == top, F.array(F.struct(F.col("bucket"), F.lit(True).alias("own")), F.struct(where.alias("bucket"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(True).alias("own"))))
-    dealt = rows.select("doc_id", "text", F.explode(copies).alias("c")).select("c.bucket", "doc_id", "text", "c.own")
-    return _compared(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc("doc_id"), "text"))
+    known = F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
+    total, found = rows.agg(F.count("*"), known).first()
+    bounds = sorted(set(found or []))
+    # bucket 0 holds null doc_ids, bucket 1 the largest others; a bucket holds (bound, next bound], so that equal doc_ids stay together
+    above = F.coalesce(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (F.col("doc_id") > b).cast("int")), F.lit(0)) if bounds else F.lit(0)
+    bucket = F.when(F.col("none"), 0).otherwise(F.lit(len(bounds) + 1) - above).cast("long") * (1 << 20)
+    # a doc_id of more rows than a bucket should have, fewer than n of them, is cut by the hashes of its texts
+    share = max(1, total // n)
+    many = rows.groupBy("none", "doc_id").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * share)
+    many = F.broadcast(staged(many.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), F.least(F.lit(1 << 20), F.ceil(F.col("c") / share)).alias("cuts"))))
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(many, ["none", "id"], "left")
+    sub = F.floor((F.lit(0.5) - F.col("h") / float(1 << 64)) * F.coalesce("cuts", F.lit(1)))  # the largest hashes first
+    rows = rows.withColumn("bucket", bucket + F.least(sub, F.coalesce("cuts", F.lit(1)) - 1)).select("bucket", "doc_id", "none", "id", "h", "text")
+    # the first row of each bucket, in a copy, also goes to the bucket before it, and the very first one to the last
+    heads = staged(rows.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "none", "h", "text"), F.struct("none", "id", "h", "text")).alias("head")))
+    order = sorted(r.bucket for r in heads.select("bucket").collect())  # a number for each bucket
+    own = rows.select("bucket", "doc_id", "none", "h", "text", F.lit(True).alias("own"))
+    if order:
+        before = F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, order[i - 1])])[F.col("bucket")]
+        own = own.unionByName(heads.select(before.alias("bucket"), "head.*", F.lit(False).alias("own")))
+    return _compared(own.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc("none"), F.desc("doc_id"), F.desc("h"), F.desc("text")))
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    out = rows.select("bucket", "doc_id", "text", "own").mapInArrow(_compared_rows, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    return rows.select("bucket", "doc_id", "text", "own").mapInArrow(_compared_rows, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op5_spot_signatures(spark, sf_dir: str) -> DataFrame:
@@ -156,23 +169,47 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array([s.astype(np.int64) for s in sigs], pa.list_(pa.int64()))], names=["doc_id", "sigs"])
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) between classes of equal fingerprints, a and b their least doc_ids, with a likeness of `least` or more; docs(doc_id, text).
+def _alike_rows(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            near = np.array([jaccard(x[i].values.to_numpy(), y[i].values.to_numpy(), least) for i in range(len(x))])
+            keep = pa.array(near >= least, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.float64())], names=["a", "b", "likeness"]).filter(keep)
 
-    Classes are partitioned by set length: with the rarest signatures first, two
-    sets that are alike enough share one of the first n - ceil(least * n) + 1,
-    and their lengths differ by a factor of `least` at most.
-    """
+    return run
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(class, least, n, sigs): each distinct fingerprint of docs(doc_id, text) with its least doc_id and its number of rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_signature_rows, "doc_id bigint, sigs array<bigint>")
-    classes = staged(rows.groupBy("sigs").agg(F.min("doc_id").alias("id")))
-    often = classes.select("id", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
-    ranked = classes.select("id", F.size("sigs").alias("size"), F.explode("sigs").alias("sig")).join(often, "sig")
-    by = Window.partitionBy("id").orderBy("n", "sig")
-    index = ranked.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("sig", "id", "size")
-    a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size")))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets = classes.select("id", "sigs")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "sigs": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "sigs": "y"}), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("likeness")).filter(F.col("likeness") >= least)
+    return staged(rows.groupBy("sigs").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))).select(F.xxhash64("sigs").alias("class"), "least", "n", "sigs")
+
+
+def similar_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, a_class, b_class, likeness) between classes of equal fingerprints of docs(doc_id, text), a and b their least doc_ids, with a likeness of `least` or more.
+
+    Classes are partitioned by set length: each is in the band of its own length
+    and in the next, so that those alike enough meet in one of them.  With the
+    rarest signatures first, they share one of the first n - ceil(least * n) + 1.
+    Pairs meet by their signatures, so the work grows with the square of the
+    classes that share a rare one; copies are one class.
+    """
+    found = classes(docs)
+    often = found.select("class", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("often"))
+    ranked = found.select("class", F.size("sigs").alias("size"), F.explode("sigs").alias("sig")).join(often, "sig")
+    by = Window.partitionBy("class").orderBy("often", "sig")
+    index = ranked.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    band = F.floor(F.log("size") / F.log(F.lit(1 / least)) + 1e-9) if 0 < least < 1 else F.lit(0)
+    index = index.select("sig", "class", "size", F.posexplode(F.array(band, band + 1)).alias("up", "band"))
+    a, b = index.filter("up = 0").alias("a"), index.alias("b")
+    once = (F.col("b.up") == 1) | (F.col("a.class") < F.col("b.class"))
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.band") == F.col("b.band")) & once & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-9))
+    pairs = met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    sets = found.select("class", "sigs")
+    both = pairs.join(sets.withColumnsRenamed({"class": "a", "sigs": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "sigs": "y"}), "b")
+    alike = both.select("a", "b", "x", "y").mapInArrow(_alike_rows(least), "a bigint, b bigint, likeness double")
+    names = found.select("class", "least")
+    out = alike.join(names.withColumnsRenamed({"class": "a", "least": "x"}), "a").join(names.withColumnsRenamed({"class": "b", "least": "y"}), "b")
+    swap = F.col("y") < F.col("x")
+    return out.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a_class"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b_class"), "likeness")
