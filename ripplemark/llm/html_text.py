@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import columns, small, staged, table
 
 #: From so many different pages with a node on, a block that this share of them has there is template.
-PAGES, SHARE = 5, 0.9
+PAGES, SHARE = 10, 0.9
 MAIN_PART = 0.5  # of the text in slots, what the content region holds at least
 FANIN = 64  # trees that a task merges at a time
 CACHED = 20_000  # characters of a tree up to which its alignment is remembered
