@@ -323,9 +323,9 @@ def test_html_main_text(spark):
 
 def test_html_template_without_marks(spark):
     page = "<body><div><p>Always the same words</p></div><section><p>{0} story</p></section></body>"
-    rows = [(i, "http://a.example/", page.format(f"page{i}")) for i in range(4)]
+    rows = [(i, "http://a.example/", page.format(f"page{i}")) for i in range(12)]
     got = html_text.extract(frame(spark, rows, "page_id bigint, url string, html string")).collect()
-    assert sorted(r.text for r in got) == [f"page{i} story" for i in range(4)]
+    assert sorted(r.text for r in got) == sorted(f"page{i} story" for i in range(12))
 
 
 def test_tree_matching():
