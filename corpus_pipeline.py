@@ -28,7 +28,7 @@ READ = ("doc_id", "text", "source")
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The columns that operators read, the others as one struct, and the number of each row, as a written table."""
-    return staged(packed(docs, *READ).withColumn("rid", F.monotonically_increasing_id()))
+    return staged(packed(docs, *[c for c in READ if c in docs.columns]).withColumn("rid", F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
