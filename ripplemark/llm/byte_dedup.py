@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text as t
 from .common import columns, staged, table
-from .repeats import Span, Unit, anchors, cut, removal, repeats
+from .repeats import Span, Unit, anchors, cut, recurring, removal, repeats
 from .suffix_array import common, suffix_array
 
 LENGTH, K = 100, 40
@@ -75,11 +75,15 @@ def match(spans: list[Span], length: int = LENGTH, rows: list[int] | None = None
     rank[order] = np.arange(len(order))
     prefix, mine = t.BYTES.prefix(data), left[start]
     first = np.lexsort((place[start], row[start], doc[start]))  # symbols by the place of their text
+    first = first[(first > 0) & (left[start[first] - 1] == mine[first] + 1)]  # those with a symbol before them in their passage
+    before, room = stop[first - 1] - start[first - 1], mine[first]
     found = []
-    for s in range(1, int((stop - start).max(initial=0)) + 1):
+    for s in range(1, int(before.max(initial=0)) + 1):
         # windows that start s bytes before a symbol, in the one before it or where that begins
-        at = first[(first > 0) & (stop[first - 1] - start[first - 1] >= s)]
-        at = at[(mine[at] >= length - s) & (row[start[at] - s] == row[start[at]]) & (left[start[at] - s] == mine[at] + s)]
+        keep = before >= s
+        if not keep.all():
+            first, before, room = first[keep], before[keep], room[keep]
+        at = first[room >= length - s]
         if len(at) < 2:
             continue
         run = np.r_[0, np.cumsum(shared < length - s)][rank[at]].astype(np.uint64)
@@ -110,11 +114,11 @@ def _kept_rows(unit: Unit):
             for low, high, buf, offsets in t.chunks(batch.column("text")):
                 c = cut(unit, buf, offsets)
                 a = anchors(unit, c)
-                by = np.searchsorted(a.doc, np.arange(high - low + 1))
+                by, twice = np.searchsorted(a.doc, np.arange(high - low + 1)), recurring(unit, a, high - low).tolist()
                 for i in range(high - low):
                     k, s = known[low + i].values, spans[low + i].values
-                    s = np.column_stack([s.field(0).to_numpy(), s.field(1).to_numpy()]) if s is not None else np.zeros((0, 2), np.int64)
-                    start, end = removal(unit, c, a, i, slice(by[i], by[i + 1]), k.to_numpy() if k is not None else np.zeros(0, np.int64), s)
+                    s = np.column_stack([s.field(0).to_numpy(), s.field(1).to_numpy()]) if s is not None else None
+                    start, end = removal(unit, c, a, i, slice(by[i], by[i + 1]), k.to_numpy() if k is not None else None, s, twice[i])
                     own = buf[offsets[i] : offsets[i + 1]]
                     keep = b"".join(own[x:y].tobytes() for x, y in zip([0, *end.tolist()], [*start.tolist(), len(own)], strict=True))
                     sizes.append(len(own))

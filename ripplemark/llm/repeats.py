@@ -85,8 +85,8 @@ def cut(unit: Unit, buf: np.ndarray, offsets: np.ndarray) -> Cut:
 
 
 def anchors(unit: Unit, c: Cut) -> Anchors:
-    grams = c.roller.grams(c.prefix, unit.k)
-    _, at = t.winnow(grams, t.left_in_document(c.first, unit.k)[: len(grams)], unit.length - unit.k + 1)
+    grams, w = c.roller.grams(c.prefix, unit.k), unit.length - unit.k + 1
+    _, at = t.winnow(grams, np.where(t.inside(c.first, unit.length), w, 0)[: len(grams)], w)
     at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
     doc = np.searchsorted(c.first, at, "right") - 1
     low, high = np.maximum(c.first[doc], at - (unit.length - unit.k)), np.minimum(c.first[doc + 1], at + unit.length)
@@ -315,14 +315,30 @@ def _again(unit: Unit, c: Cut, a: Anchors, part: slice) -> np.ndarray:
     return np.sort(p[order[np.r_[False, (h[1:] == h[:-1]) & (g[1:] == g[:-1])]]])
 
 
-def removal(unit: Unit, c: Cut, a: Anchors, i: int, part: slice, known: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint spans of a document's symbols to remove: `known` contexts, `spans` rows (start, end), and what it has before itself."""
+def recurring(unit: Unit, a: Anchors, docs: int) -> np.ndarray:
+    """For each document of a piece whether it may hold a window twice: equal windows have equal anchors."""
+    out = np.zeros(docs, bool)
+    if unit.within and len(a.at):
+        order = np.lexsort((a.anchor, a.doc))
+        doc, anchor = a.doc[order], a.anchor[order]
+        out[doc[1:][(doc[1:] == doc[:-1]) & (anchor[1:] == anchor[:-1])]] = True
+    return out
+
+
+NONE = np.zeros(0, np.int64)
+
+
+def removal(unit: Unit, c: Cut, a: Anchors, i: int, part: slice, known: np.ndarray | None, spans: np.ndarray | None, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint spans of a document's symbols to remove: `known` contexts, `spans` rows (start, end), and, `within`, what it has before itself."""
+    if known is None and spans is None and not within:
+        return NONE, NONE
+    spans = np.zeros((0, 2), np.int64) if spans is None else spans
     ctx = a.context[part]
-    hit = _find(ctx, np.sort(known)) >= 0
-    if unit.within and len(ctx):
+    hit = _find(ctx, np.sort(known)) >= 0 if known is not None else np.zeros(len(ctx), bool)
+    if within and len(ctx):
         order = np.argsort(ctx, kind="stable")
         hit[order[np.r_[False, ctx[order][1:] == ctx[order][:-1]]]] = True
-    again = _again(unit, c, a, part) if unit.within else np.zeros(0, np.int64)
+    again = _again(unit, c, a, part) if within else NONE
     base = int(c.first[i])
     low, high = np.r_[a.low[part][hit], again] - base, np.r_[a.high[part][hit], again + unit.length] - base
     return t.merge_spans(np.r_[low, spans[:, 0]], np.r_[high, spans[:, 1]])

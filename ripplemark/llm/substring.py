@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import text as t
 from .automaton import SuffixAutomaton
 from .common import columns, packed, staged, table
-from .repeats import Span, Unit, anchors, cut, removal, repeats
+from .repeats import Span, Unit, anchors, cut, recurring, removal, repeats
 
 WINDOW, K = 50, 20
 UNIT = Unit(words=True, length=WINDOW, k=K, within=False)
@@ -52,13 +52,13 @@ def _kept_rows(unit: Unit):
             for low, high, buf, offsets in t.chunks(batch.column("text")):
                 c = cut(unit, buf, offsets)
                 a = anchors(unit, c)
-                by = np.searchsorted(a.doc, np.arange(high - low + 1))
+                by, twice = np.searchsorted(a.doc, np.arange(high - low + 1)), recurring(unit, a, high - low).tolist()
                 raw = buf.tobytes()
                 for i in range(high - low):
                     k, s = known[low + i].values, spans[low + i].values
-                    s = np.column_stack([s.field(0).to_numpy(), s.field(1).to_numpy()]) if s is not None else np.zeros((0, 2), np.int64)
+                    s = np.column_stack([s.field(0).to_numpy(), s.field(1).to_numpy()]) if s is not None else None
                     first, words = int(c.first[i]), int(c.first[i + 1] - c.first[i])
-                    start, end = removal(unit, c, a, i, slice(by[i], by[i + 1]), k.to_numpy() if k is not None else np.zeros(0, np.int64), s)
+                    start, end = removal(unit, c, a, i, slice(by[i], by[i + 1]), k.to_numpy() if k is not None else None, s, twice[i])
                     parts, last = [], 0
                     for x, y in [*zip(start.tolist(), end.tolist(), strict=True), (words, words)]:
                         if x > last:

@@ -152,6 +152,14 @@ def left_in_document(first: np.ndarray, k: int) -> np.ndarray:
     return np.maximum(0, last - np.arange(n) - k + 1)
 
 
+def inside(first: np.ndarray, length: int) -> np.ndarray:
+    """For each symbol, whether `length` symbols from it on are in its document."""
+    ok = np.ones(int(first[-1]), np.bool_)
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        ok[max(low, high - length + 1) : high] = False
+    return ok
+
+
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of half-open spans as disjoint sorted ones; touching spans join."""
     if not len(start):
