@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; where that is unset, on one machine, into a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def _ready(spark: SparkSession) -> None:
+    """Sets spark.checkpoint.dir; where that is unset, on one machine, to a temporary folder."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         known = sc.getConf().get("spark.checkpoint.dir")
         if not known and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="ripplemark-"))
-    return df.checkpoint()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table written in the folder that driver and executors share, and read again: Spark knows its size, and lost executors cost nothing."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder's path in the one that driver and executors share."""
+    _ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
