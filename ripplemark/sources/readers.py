@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 UNIVERSE = "ent string, name string, sector string, country string"
 SEED_EDGES = "src string, dst string, rel string, w double"
@@ -13,13 +14,32 @@ FILINGS = "filing_id bigint, ent string, filed_at timestamp_ntz, form string, te
 KEYWORDS = "keyword string, category string, weight decimal(9,4)"
 
 
-def _csv(spark: SparkSession, schema: str, **options) -> object:
-    return spark.read.schema(schema).options(header=True, escape='"', mode="PERMISSIVE", **options)
+CORRUPT = "_corrupt_record"
+
+
+def _csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """The schema's columns by their names in the header, and what could not be read; columns that the files lack are null.
+
+    Files of one path have one order of columns: a file with another one raises.
+    """
+    options = {"header": True, "escape": '"', "mode": "PERMISSIVE", **options}
+    contract = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+    head = spark.read.options(**options).csv(path).columns
+    found = StructType([StructField(c, contract.get(c, StringType())) for c in head] + [StructField(CORRUPT, StringType())])
+    rows = spark.read.schema(found).options(enforceSchema=False, columnNameOfCorruptRecord=CORRUPT, **options).csv(path)
+    return rows.select(*[F.col(f"`{c}`") if c in head else F.lit(None).cast(t).alias(c) for c, t in contract.items()], CORRUPT)
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.drop(CORRUPT)
 
 
 def read_universe(spark: SparkSession, glob: str) -> DataFrame:
     """All files of the glob, one row for each ent: the first by file name. Columns are matched by name."""
-    rows = _csv(spark, UNIVERSE, enforceSchema=False).csv(glob).withColumn("_file", F.col("_metadata.file_name"))
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(glob).select("path").collect())  # one for each source of the universe
+    rows = spark.createDataFrame([], f"{UNIVERSE}, _file string")
+    for path in files:  # each with its own order of columns
+        rows = rows.unionByName(_whole(_csv(spark, path, UNIVERSE)).withColumn("_file", F.lit(path.rpartition("/")[2])))
     first = Window.partitionBy("ent").orderBy("_file", "name", "sector", "country")
     return rows.filter("ent IS NOT NULL").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "_file")
 
@@ -34,27 +54,27 @@ def restrict(df: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def read_seed_edges(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, SEED_EDGES).csv(path)
+    return _whole(_csv(spark, path, SEED_EDGES))
 
 
 def read_articles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Articles with quoted multi-line text, and the rows that could not be read, kept aside in _corrupt_record."""
-    rows = _csv(spark, f"{ARTICLES}, _corrupt_record string", multiLine=True, columnNameOfCorruptRecord="_corrupt_record").csv(path)
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), rows.filter("_corrupt_record IS NOT NULL")
+    rows = _csv(spark, path, ARTICLES, multiLine=True)
+    return _whole(rows.filter(F.col(CORRUPT).isNull())), rows.filter(F.col(CORRUPT).isNotNull())
 
 
 def read_prices(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     if kind == "parquet":
         return spark.read.schema(PRICES).parquet(path)
-    return _csv(spark, PRICES).csv(path)
+    return _whole(_csv(spark, path, PRICES))
 
 
 def read_filings(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    return spark.read.schema(FILINGS).json(path) if kind == "json" else _csv(spark, FILINGS, multiLine=True).csv(path)
+    return spark.read.schema(FILINGS).json(path) if kind == "json" else _whole(_csv(spark, path, FILINGS, multiLine=True))
 
 
 def read_risk_keywords(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    return spark.read.schema(KEYWORDS).json(path) if kind == "json" else _csv(spark, KEYWORDS).csv(path)
+    return spark.read.schema(KEYWORDS).json(path) if kind == "json" else _whole(_csv(spark, path, KEYWORDS))
 
 
 def conform(df: DataFrame, contract: dict[str, str], names: dict[str, str] | None = None) -> DataFrame:
