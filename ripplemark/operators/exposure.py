@@ -21,6 +21,8 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame
     for k in range(1, max_hops + 1):
         step = front.select("event_id", F.col("node").alias("src")).join(e, "src").select("event_id", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["event_id", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -28,10 +30,13 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame
 def weighted_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(event_id, node, cost): least sum of -ln(w) over paths of at most max_hops edges."""
     e = edges.select("src", "dst", (-F.log("w")).alias("c"))
-    dist = seeds.select("event_id", "node").distinct().withColumn("cost", F.lit(0.0))
+    dist, now = seeds.select("event_id", "node").distinct().withColumn("cost", F.lit(0.0)), None
     for _ in range(max_hops):
         step = dist.join(e, dist.node == e.src).select("event_id", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
         dist = cut(dist.union(step).groupBy("event_id", "node").agg(F.min("cost").alias("cost")))
+        before, now = now, dist.agg(F.count("*"), F.bit_xor(F.xxhash64("event_id", "node", "cost"))).first()
+        if now == before:  # no path got shorter
+            break
     return dist
 
 
@@ -54,18 +59,25 @@ def distance_exposure(dist: DataFrame, lam: float = 0.5, by: str = "hops") -> Da
     return dist.groupBy("event_id", "node").agg(F.max(score).alias("score"))
 
 
-def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every: int = 5) -> DataFrame:
+def checked(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Hint a broadcast of a (written) side only where it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every: int = 5, tol: float | None = None) -> DataFrame:
     """Random walk with restart for all events at once: r <- (1 - c) P'r + c e; mass at dead ends returns to e.
 
     seeds(event_id, node, w) sum to 1 by event.  One aggregation a step; the
     restart term joins as rows, and a checkpoint every few steps cuts the lineage.
+    With `tol`, these steps also measure by how much any event's scores change in
+    a step, summed over nodes, and stop below it; `iters` is then the most.
     """
-    e = p.select("src", "dst", "p")
+    e = checked(p.select("src", "dst", "p"))
     restart = seeds.select("event_id", "node", "w")
     dead = seeds.select("node").union(e.select("dst")).distinct().join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     dead = cut(dead)
     has_dead = dead.limit(1).count() > 0
-    r = restart.select("event_id", "node", F.col("w").alias("score"))
+    r, before = restart.select("event_id", "node", F.col("w").alias("score")), None
     for i in range(iters):
         moved = r.join(e, r.node == e.src).select("event_id", F.col("dst").alias("node"), ((1 - c) * F.col("score") * F.col("p")).alias("score"))
         parts = moved.union(restart.select("event_id", "node", c * F.col("w")))
@@ -73,27 +85,31 @@ def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every:
             lost = r.join(dead, "node").groupBy("event_id").agg(((1 - c) * F.sum("score")).alias("lost"))
             parts = parts.union(restart.join(lost, "event_id").select("event_id", "node", F.col("w") * F.col("lost")))
         r = parts.groupBy("event_id", "node").agg(F.sum("score").alias("score"))
+        if tol is not None and (i + 2) % every == 0:
+            before = r = cut(r)
         if (i + 1) % every == 0 or i + 1 == iters:
             r = cut(r)
+            if tol is not None and before is not None:
+                both = r.unionByName(before.withColumn("score", -F.col("score"))).groupBy("event_id", "node").agg(F.sum("score").alias("d"))
+                if (both.groupBy("event_id").agg(F.sum(F.abs("d")).alias("d")).agg(F.max("d")).first()[0] or 0.0) < tol:
+                    break
     return r
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
     """In, out, total and weighted degree; total also by the number of other nodes."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"), F.sum("w").alias("out_w"))
-    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"), F.sum("w").alias("in_w"))
-    both = out.join(into, "node", "full_outer").na.fill(0)
-    n = both.agg(F.count("*").alias("_n"))
-    both = both.withColumn("degree", F.col("out_degree") + F.col("in_degree")).withColumn("weighted", F.col("out_w") + F.col("in_w"))
-    return both.crossJoin(F.broadcast(n)).withColumn("normalised", F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1))).select("node", "in_degree", "out_degree", "degree", "weighted", "normalised")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), "w"), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), "w"))).alias("x")).select("x.*")
+    both = cut(ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"), F.sum("w").alias("weighted")))
+    n = both.count()
+    return both.withColumn("normalised", F.col("degree") / (n - 1) if n > 1 else F.lit(None).cast("double"))
 
 
-def pagerank(p: DataFrame, d: float = 0.85, iters: int = 15) -> DataFrame:
+def pagerank(p: DataFrame, d: float = 0.85, iters: int = 15, tol: float | None = None) -> DataFrame:
     """r <- d P'r + (1 - d) / n, with the share of dead ends spread over all: a walk that restarts anywhere."""
     nodes = p.select(F.col("src").alias("node")).union(p.select("dst")).distinct()
     n = nodes.count()
     seeds = nodes.select(F.lit("all").alias("event_id"), "node", F.lit(1.0 / max(1, n)).alias("w"))
-    return rwr(p, cut(seeds), 1 - d, iters).select("node", "score")
+    return rwr(p, cut(seeds), 1 - d, iters, tol=tol).select("node", "score")
 
 
 def closeness(edges: DataFrame, pivots: DataFrame, max_hops: int) -> DataFrame:
@@ -108,10 +124,16 @@ def closeness(edges: DataFrame, pivots: DataFrame, max_hops: int) -> DataFrame:
     return rows.select("node", F.when(others > 0, F.coalesce("s", F.lit(0.0)) / others).otherwise(0.0).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, max_hops: int) -> DataFrame:
-    """Dependency accumulation over shortest paths from the pivots: counts forward by level, then sums backward."""
+def betweenness(edges: DataFrame, pivots: DataFrame, max_hops: int, symmetric: bool = False, scaled: bool = True) -> DataFrame:
+    """Dependency accumulation over shortest paths from the pivots: counts forward by level, then sums backward.
+
+    On symmetric edges each path counts once, not in both directions; `scaled`
+    multiplies what the pivots give by nodes / pivots, as an estimate for all.
+    """
     e = edges.select("src", "dst").distinct()
-    hops = cut(hop_distance(e, pivots.select(F.col("node").alias("event_id"), "node").distinct(), max_hops))
+    starts = pivots.select(F.col("node").alias("event_id"), "node").distinct()
+    hops = cut(hop_distance(e, starts, max_hops))
+    max_hops = max(1, min(max_hops, hops.agg(F.max("hops")).first()[0] or 0))
     levels = [hops.filter("hops = 0").select("event_id", "node", F.lit(1.0).alias("sigma"))]
     for k in range(1, max_hops + 1):
         at = hops.filter(F.col("hops") == k).select("event_id", F.col("node").alias("dst"))
@@ -130,7 +152,8 @@ def betweenness(edges: DataFrame, pivots: DataFrame, max_hops: int) -> DataFrame
     for s in sums[1:]:
         total = total.union(s)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return nodes.join(total.groupBy("node").agg(F.sum("delta").alias("d")), "node", "left").select("node", F.coalesce("d", F.lit(0.0)).alias("betweenness"))
+    factor = (0.5 if symmetric else 1.0) * (nodes.count() / max(1, starts.count()) if scaled else 1.0)
+    return nodes.join(total.groupBy("node").agg(F.sum("delta").alias("d")), "node", "left").select("node", (factor * F.coalesce("d", F.lit(0.0))).alias("betweenness"))
 
 
 def eigenvector(edges: DataFrame, iters: int = 10) -> DataFrame:
@@ -161,15 +184,22 @@ def exposure_baseline(scores: DataFrame, measures: list[str]) -> DataFrame:
     return scores.groupBy("event_id", "node").pivot("measure", measures).agg(F.max("score")).na.fill(0.0, measures)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): the least node id reachable, by spreading minima until nothing changes."""
-    e = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    state = cut(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(max_rounds):
-        sent = state.join(e, state.node == e.src).select(F.col("dst").alias("node"), "component")
-        new = cut(state.select("node", "component").union(sent).groupBy("node").agg(F.min("component").alias("component")))
-        moved = new.join(state.withColumnRenamed("component", "before"), "node").filter("component <> before").limit(1).count()
-        state = new
-        if not moved:
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node id reachable, however long the paths.
+
+    A round links the neighbours of each node, first those above it and then it
+    and those below it, to the least of them, until no edge changes; paths
+    shorten by a constant factor a round.
+    """
+    nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    e, now = cut(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct()), None
+    while True:
+        both = e.union(e.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        above = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = above.groupBy("a").agg(F.min("b").alias("m"))
+        e = cut(above.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        before, now = now, e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
             break
-    return state
+    return nodes.join(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))

@@ -32,9 +32,9 @@ def tag_entities(articles: DataFrame, alias: DataFrame) -> DataFrame:
 
 def score_risk(articles: DataFrame, keywords: DataFrame, categories: list[str]) -> DataFrame:
     """Per article the weight of keyword occurrences by category, their total, and hits per 1000 tokens; sums stay decimal."""
-    words = articles.select("article_id", F.explode(tokens(F.col("text"))).alias("keyword"))
-    per = words.join(keywords, "keyword").groupBy("article_id").agg(*[F.sum(F.when(F.col("category") == c, F.col("weight"))).alias(c) for c in categories], F.sum("weight").alias("total"), F.count("*").alias("hits"))
-    out = articles.select("article_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens")).join(per, "article_id", "left")
+    words = articles.select("article_id", F.explode_outer(tokens(F.col("text"))).alias("keyword")).join(keywords, "keyword", "left")
+    sums = [F.sum(F.when(F.col("category") == c, F.col("weight"))).alias(c) for c in categories]
+    out = words.groupBy("article_id").agg(F.count("keyword").alias("n_tokens"), *sums, F.sum("weight").alias("total"), F.count("weight").alias("hits"))
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(19,4)")) for c in [*categories, "total"]}).withColumn("hits", F.coalesce("hits", F.lit(0)))
     return out.withColumn("per_1000", F.when(F.col("n_tokens") > 0, F.col("hits") * 1000.0 / F.col("n_tokens")).otherwise(0.0))
 

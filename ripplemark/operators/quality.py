@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Per column rows, non-null, distinct, and for numbers min, max, mean and sd: one pass, then unpivoted."""
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Per column rows, non-null, distinct (approximate, or `exact` at the price of a shuffle by values), and for numbers min, max, mean and sd: one pass, then unpivoted."""
+    distinct, name = (F.count_distinct, "distinct") if exact else (F.approx_count_distinct, "approx_distinct")
     aggs, cells = [F.count("*").alias("rows")], []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         number = f.dataType.typeName() in ("integer", "long", "double", "float", "decimal", "short")
-        aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
+        aggs += [F.count(c).alias(f"n{i}"), distinct(c).alias(f"d{i}")]
         aggs += [(fn(c.cast("double")) if number else F.lit(None).cast("double")).alias(f"{k}{i}") for k, fn in (("a", F.min), ("b", F.max), ("m", F.avg), ("s", F.stddev_samp))]
-        cells.append(F.struct(F.lit(f.name).alias("column_name"), F.col("rows"), F.col(f"n{i}").alias("non_null"), F.col(f"d{i}").alias("approx_distinct"), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd")))
+        cells.append(F.struct(F.lit(f.name).alias("column_name"), F.col("rows"), F.col(f"n{i}").alias("non_null"), F.col(f"d{i}").alias(name), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd")))
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
@@ -57,6 +58,11 @@ def referential(child: DataFrame, parent: DataFrame, on: str, parent_on: str) ->
     return child.join(keys, child[on] == F.col("_k"), "left").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("_has").isNull(), 1).otherwise(0)).alias("orphans")).withColumn("orphan_ratio", F.when(F.col("rows") > 0, F.col("orphans") / F.col("rows")))
 
 
+def orphans(child: DataFrame, parent: DataFrame, on: str, parent_on: str) -> DataFrame:
+    """The child rows whose key no parent has, a null key among them."""
+    return child.join(parent.select(F.col(parent_on).alias("_k")).distinct(), F.col(on) == F.col("_k"), "left_anti")
+
+
 def coverage(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per entity bars present and expected between its first and last bar, and the longest gap, by calendar numbers."""
     days = calendar.select("dt").distinct().withColumn("i", F.row_number().over(Window.orderBy("dt")))
@@ -106,12 +112,18 @@ def stale_runs(prices: DataFrame, k: int = 3) -> DataFrame:
 
 
 def data_quality_report(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """metrics(table_name, column_name, metric, value) against thresholds(metric, warn, fail); a lower value is worse."""
+    """metrics(table_name, column_name, metric, value) against thresholds(metric, warn, fail); a lower value is worse, a missing one fails, and without thresholds it is unchecked."""
     out = metrics.join(F.broadcast(thresholds), "metric", "left")
-    return out.withColumn("verdict", F.when(F.col("value") < F.col("fail"), "fail").when(F.col("value") < F.col("warn"), "warn").otherwise("pass")).select("table_name", "column_name", "metric", "value", "warn", "fail", "verdict")
+    return out.withColumn("verdict", F.when(F.col("warn").isNull() & F.col("fail").isNull(), "unchecked").when(F.col("value").isNull() | F.isnan("value") | (F.col("value") < F.col("fail")), "fail").when(F.col("value") < F.col("warn"), "warn").otherwise("pass")).select("table_name", "column_name", "metric", "value", "warn", "fail", "verdict")
 
 
 def quality_gate(report: DataFrame) -> DataFrame:
     """Per table the worst verdict."""
-    rank = F.when(F.col("verdict") == "fail", 2).when(F.col("verdict") == "warn", 1).otherwise(0)
-    return report.groupBy("table_name").agg(F.max(rank).alias("r"), F.count("*").alias("checks")).select("table_name", F.element_at(F.array(F.lit("pass"), F.lit("warn"), F.lit("fail")), F.col("r") + 1).alias("verdict"), "checks")
+    levels = F.array(*[F.lit(v) for v in ("pass", "unchecked", "warn", "fail")])
+    return report.groupBy("table_name").agg(F.max(F.array_position(levels, F.col("verdict"))).alias("r"), F.count("*").alias("checks")).select("table_name", F.element_at(levels, F.col("r").cast("int")).alias("verdict"), "checks")
+
+
+def routed(df: DataFrame, name: str, gate: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table's rows where the gate lets it pass, and aside where it fails: one of the two is empty. A table that no check names passes."""
+    fails = F.broadcast(gate.filter((F.col("table_name") == name) & (F.col("verdict") == "fail")).select(F.lit(True).alias("_fails")).limit(1))
+    return df.join(fails, F.lit(True), "left_anti"), df.join(fails, F.lit(True), "left_semi")
