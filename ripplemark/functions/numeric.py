@@ -20,5 +20,5 @@ def mid_rank(rank: Column, ties: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of the letters a to z."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]", " "), " "), lambda w: w != "")
+    """Lower-case words of the letters of any script."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]", " "), " "), lambda w: w != "")

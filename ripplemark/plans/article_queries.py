@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplemark.functions.numeric import quantised, rounded
+from ripplemark.functions.lineage import cut, folder
+from ripplemark.functions.numeric import rounded
 from ripplemark.operators import ingest
 from ripplemark.operators import quality as qc
 from ripplemark.plans import fixtures as fx
@@ -86,9 +87,9 @@ def _(s, d):
 
 # ---- quality
 
-@query("qc_profile", f"SELECT c AS column_name, n AS rows, nn AS non_null, lo AS low, hi AS high, {q('m')} AS mean, {q('sd')} AS sd FROM (SELECT 'event_id' AS c, count(*) AS n, count(event_id) AS nn, CAST(min(event_id) AS DOUBLE) AS lo, CAST(max(event_id) AS DOUBLE) AS hi, avg(CAST(event_id AS DOUBLE)) AS m, stddev_samp(CAST(event_id AS DOUBLE)) AS sd FROM events UNION ALL SELECT 'event_type', count(*), count(event_type), NULL, NULL, NULL, NULL FROM events UNION ALL SELECT 'value', count(*), count(value), min(value), max(value), avg(value), stddev_samp(value) FROM events)")
+@query("qc_profile", f"SELECT c AS column_name, n AS rows, nn AS non_null, dn AS distinct, lo AS low, hi AS high, {q('m')} AS mean, {q('sd')} AS sd FROM (SELECT 'event_id' AS c, count(*) AS n, count(event_id) AS nn, count(DISTINCT event_id) AS dn, CAST(min(event_id) AS DOUBLE) AS lo, CAST(max(event_id) AS DOUBLE) AS hi, avg(CAST(event_id AS DOUBLE)) AS m, stddev_samp(CAST(event_id AS DOUBLE)) AS sd FROM events UNION ALL SELECT 'event_type', count(*), count(event_type), count(DISTINCT event_type), NULL, NULL, NULL, NULL FROM events UNION ALL SELECT 'value', count(*), count(value), count(DISTINCT value), min(value), max(value), avg(value), stddev_samp(value) FROM events)")
 def _(s, d):
-    return rounded(qc.profile(fx.table(s, d, "events").select("event_id", "event_type", "value")).drop("approx_distinct"), "mean", "sd")
+    return rounded(qc.profile(fx.table(s, d, "events").select("event_id", "event_type", "value"), exact=True), "mean", "sd")
 
 
 @query("qc_completeness", f"SELECT 'text' AS column_name, {q('''avg(CASE WHEN trim(text) <> '' THEN 1.0 ELSE 0.0 END)''')} AS completeness FROM documents UNION ALL SELECT 'source', {q('''avg(CASE WHEN trim(source) <> '' THEN 1.0 ELSE 0.0 END)''')} FROM documents")
@@ -122,6 +123,11 @@ def _(s, d):
     return rounded(qc.referential(fx.table(s, d, "customer"), fx.table(s, d, "orders"), "c_custkey", "o_custkey"), "orphan_ratio")
 
 
+@query("qc_orphans", "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _(s, d):
+    return qc.orphans(fx.table(s, d, "customer"), fx.table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_nationkey")
+
+
 @query("qc_coverage", sql(f"SELECT ent, count(*) AS present, max(i) - min(i) + 1 AS expected, coalesce(max(i - before - 1), 0) AS longest_gap, {q('count(*) / CAST(max(i) - min(i) + 1 AS DOUBLE)')} AS coverage FROM (SELECT p.ent, c.i, lag(c.i) OVER (PARTITION BY p.ent ORDER BY c.i) AS before FROM prices p JOIN (SELECT dt, row_number() OVER (ORDER BY dt) AS i FROM (SELECT DISTINCT dt FROM prices)) c ON c.dt = p.dt) GROUP BY ent", "prices"))
 def _(s, d):
     p = fx.prices(s, d)
@@ -166,7 +172,7 @@ def quality_report(s: SparkSession, d: str) -> DataFrame:
     return qc.data_quality_report(m, t)
 
 
-REPORT = f"SELECT *, CASE WHEN value < fail THEN 'fail' WHEN value < warn THEN 'warn' ELSE 'pass' END AS verdict FROM (SELECT 'documents' AS table_name, 'text' AS column_name, 'completeness' AS metric, {q('''avg(CASE WHEN trim(text) <> '' THEN 1.0 ELSE 0.0 END)''')} AS value, CAST(0.99 AS DOUBLE) AS warn, CAST(0.9 AS DOUBLE) AS fail FROM documents UNION ALL SELECT 'documents', 'source', 'completeness', {q('''avg(CASE WHEN trim(source) <> '' THEN 1.0 ELSE 0.0 END)''')}, 0.99, 0.9 FROM documents UNION ALL SELECT 'lineitem', 'l_orderkey', 'uniqueness', {q('sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / CAST(sum(n) AS DOUBLE)')}, 0.999, 0.9 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber))"
+REPORT = f"SELECT *, CASE WHEN value IS NULL OR value < fail THEN 'fail' WHEN value < warn THEN 'warn' ELSE 'pass' END AS verdict FROM (SELECT 'documents' AS table_name, 'text' AS column_name, 'completeness' AS metric, {q('''avg(CASE WHEN trim(text) <> '' THEN 1.0 ELSE 0.0 END)''')} AS value, CAST(0.99 AS DOUBLE) AS warn, CAST(0.9 AS DOUBLE) AS fail FROM documents UNION ALL SELECT 'documents', 'source', 'completeness', {q('''avg(CASE WHEN trim(source) <> '' THEN 1.0 ELSE 0.0 END)''')}, 0.99, 0.9 FROM documents UNION ALL SELECT 'lineitem', 'l_orderkey', 'uniqueness', {q('sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / CAST(sum(n) AS DOUBLE)')}, 0.999, 0.9 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber))"
 
 
 @query("qc_report", REPORT)
@@ -179,6 +185,91 @@ def _(s, d):
     return qc.quality_gate(quality_report(s, d))
 
 
+GATE = f"SELECT table_name, max(CASE WHEN verdict = 'fail' THEN 1 ELSE 0 END) AS f FROM ({REPORT}) GROUP BY 1"
+
+
+@query("qc_route", " UNION ALL ".join(f"SELECT '{t}' AS table_name, CASE WHEN f = 1 THEN 'aside' ELSE 'passed' END AS part, (SELECT count(*) FROM {t}) AS n FROM ({GATE}) WHERE table_name = '{t}'" for t in ("documents", "lineitem")))
+def _(s, d):
+    gate, out = cut(qc.quality_gate(quality_report(s, d))), None
+    for name in ("documents", "lineitem"):
+        for part, rows in zip(("passed", "aside"), qc.routed(fx.table(s, d, name), name, gate), strict=True):
+            n = rows.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(name).alias("table_name"), F.lit(part).alias("part"), "n")
+            out = n if out is None else out.unionByName(n)
+    return out
+
+
+# ---- files: what readers make of files written from the given tables
+
+def written(df: DataFrame, kind: str = "csv", **options) -> str:
+    path = folder(df.sparkSession)
+    df.write.format(kind).options(**({"header": True, "escape": '"'} if kind == "csv" else {}), **options).save(path)
+    return path
+
+
+@query("src_universe", sql("SELECT CAST(ent AS VARCHAR) AS ent, name, sector, country FROM universe", "universe"))
+def _(s, d):
+    u = fx.universe(s, d).withColumn("ent", F.col("ent").cast("string"))
+    base = folder(s)
+    u.filter("ent % 2 = 0").select("country", "name", "ent", "sector").coalesce(1).write.csv(f"{base}/a_combined.csv", header=True, escape='"')
+    u.coalesce(1).write.csv(f"{base}/b_combined.csv", header=True, escape='"')
+    return readers.read_universe(s, f"{base}/*_combined.csv/*.csv")
+
+
+@query("src_tickers", "SELECT upper(trim(s_name)) AS ent, s_suppkey FROM supplier WHERE s_suppkey % 3 = 0")
+def _(s, d):
+    supplier = fx.table(s, d, "supplier")
+    path = written(supplier.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("  "), F.lower("s_name"), F.lit(" ")).alias("value")), "text")
+    return readers.restrict(supplier.select(F.upper(F.trim("s_name")).alias("ent"), "s_suppkey"), readers.read_tickers(s, path))
+
+
+@query("src_seed_edges", sql(f"SELECT src, dst, rel, {q('w')} AS w FROM edges0", "edges0"))
+def _(s, d):
+    return rounded(readers.read_seed_edges(s, written(fx.seed_edges(s, d).select("w", "rel", "dst", "src"))), "w")
+
+
+@query("src_articles", "SELECT doc_id AS article_id, md5(coalesce(text, '')) AS text_md5, source AS domain FROM documents")
+def _(s, d):
+    a = fx.articles(s, d).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    good, _ = readers.read_articles(s, written(a.select("text", "article_id", "published_at", "url", "domain", "lang", "title")))
+    return good.select("article_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "domain")
+
+
+@query("src_prices", sql(f"SELECT CAST(ent AS VARCHAR) AS ent, dt, {q('px')} AS px, vol FROM prices", "prices"))
+def _(s, d):
+    p = fx.prices(s, d).withColumn("ent", F.col("ent").cast("string"))
+    return rounded(readers.read_prices(s, written(p, "parquet"), "parquet"), "px")
+
+
+FILED = "SELECT l_orderkey AS filing_id, CAST(min(l_suppkey) AS VARCHAR) AS ent, min(l_shipdate) AS filed_at, max(l_returnflag) AS form FROM lineitem GROUP BY 1"
+
+
+@query("src_filings", FILED)
+def _(s, d):
+    f = fx.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("filing_id")).agg(F.min("l_suppkey").cast("string").alias("ent"), F.min("l_shipdate").alias("filed_at"), F.max("l_returnflag").alias("form"))
+    return readers.read_filings(s, written(f.withColumn("text", F.lit("a\nb")), "json")).select("filing_id", "ent", "filed_at", "form")
+
+
+@query("src_risk_keywords", "SELECT p_name AS keyword, min(p_brand) AS category, CAST(max(p_size) AS DOUBLE) AS weight FROM part GROUP BY 1")
+def _(s, d):
+    k = fx.table(s, d, "part").groupBy(F.col("p_name").alias("keyword")).agg(F.max("p_size").alias("weight"), F.min("p_brand").alias("category"))
+    return readers.read_risk_keywords(s, written(k)).select("keyword", "category", F.col("weight").cast("double").alias("weight"))
+
+
+@query("snk_processed", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    path, rows = folder(s), fx.table(s, d, "lineitem").select("l_orderkey", "l_linestatus", "l_returnflag")
+    readers.write_processed(rows, path, ["l_returnflag"])
+    readers.write_processed(rows.filter("l_returnflag = 'R'"), path, ["l_returnflag"])  # again: replaces its own partition only
+    return s.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("snk_report_tables", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    path = folder(s)
+    readers.write_report_tables({"by_type": fx.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))}, path)
+    return s.read.schema("event_type string, n bigint").json(f"{path}/by_type")
+
+
 # ---- windows over the event stream, on the batch side of the same code
 
 @query("x_tumbling_risk", f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, {q('sum(value)')} AS total FROM events GROUP BY 1, 2")

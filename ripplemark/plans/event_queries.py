@@ -84,22 +84,24 @@ def _(s, d):
 
 # ---- event study
 
-def aligned(s: SparkSession, d: str) -> DataFrame:
-    return es.align_events(fx.spikes(s, d), fx.panel(s, d))
+def aligned(s: SparkSession, d: str, weekly: DataFrame | None = None, panel: DataFrame | None = None) -> DataFrame:
+    weekly = weekly or fx.bars(s, d)
+    return es.align_events(fx.spikes(s, d, weekly), panel or fx.panel(s, d, weekly))
 
 
-def windows(s: SparkSession, d: str) -> DataFrame:
-    rets = fx.returns(s, d)
-    return es.event_windows(aligned(s, d), rets, ingest.market_return(rets))
+def windows(s: SparkSession, d: str, weekly: DataFrame | None = None) -> DataFrame:
+    weekly = weekly or fx.bars(s, d)
+    rets = cut(fx.returns(s, d, weekly=weekly))
+    return es.event_windows(aligned(s, d, weekly, rets), rets, ingest.market_return(rets))
 
 
-def abnormal(s: SparkSession, d: str) -> DataFrame:
-    w = cut(windows(s, d))
+def abnormal(s: SparkSession, d: str, weekly: DataFrame | None = None) -> DataFrame:
+    w = cut(windows(s, d, weekly))
     return es.abnormal_returns(w, es.fit_market_model(w))
 
 
-def cars(s: SparkSession, d: str) -> DataFrame:
-    return es.car(abnormal(s, d), WINDOWS)
+def cars(s: SparkSession, d: str, weekly: DataFrame | None = None) -> DataFrame:
+    return es.car(abnormal(s, d, weekly), WINDOWS)
 
 
 @query("es_align_events", sql("SELECT event_id, ent, bar_dt, bar FROM aligned", "aligned"))
@@ -163,7 +165,7 @@ EXPOSURE = f"SELECT c.event_id, c.ent, c.t1, c.t2, c.car, 'weighted_degree' AS m
 
 
 def degrees(s: SparkSession, d: str) -> DataFrame:
-    return gx.degree_centrality(kg.symmetrise(kg.kg_edges(fx.seed_edges(s, d))))
+    return gx.degree_centrality(kg.symmetrise(cut(kg.kg_edges(fx.seed_edges(s, d)))))
 
 
 def exposed(s: SparkSession, d: str, c: DataFrame) -> DataFrame:
@@ -206,22 +208,24 @@ VIEWS.update(
 )
 
 
-def signal(s: SparkSession, d: str) -> DataFrame:
-    p = fx.panel(s, d)
+def signal(s: SparkSession, d: str, panel: DataFrame | None = None) -> DataFrame:
+    p = panel or fx.panel(s, d)
     return bt.lag_signal(p.withColumn("score", F.col("px") / F.lag("px", 4).over(Window.partitionBy("ent").orderBy("bar")) - 1), 1)
 
 
-def weighted(s: SparkSession, d: str, how: str = "equal") -> DataFrame:
-    return bt.weights(bt.bucket(signal(s, d)), how)
+def weighted(s: SparkSession, d: str, how: str = "equal", panel: DataFrame | None = None) -> DataFrame:
+    return bt.weights(bt.bucket(signal(s, d, panel)), how)
 
 
 def gross(s: SparkSession, d: str) -> DataFrame:
-    return bt.portfolio_returns(weighted(s, d), fx.returns(s, d, "simple"))
+    p = cut(fx.panel(s, d))
+    return bt.portfolio_returns(weighted(s, d, panel=p), ingest.returns(p, "simple"))
 
 
-def net(s: SparkSession, d: str) -> DataFrame:
-    w = cut(weighted(s, d))
-    return bt.net_returns(bt.portfolio_returns(w, fx.returns(s, d, "simple")), bt.turnover(w))
+def net(s: SparkSession, d: str, panel: DataFrame | None = None) -> DataFrame:
+    p = panel or cut(fx.panel(s, d))
+    w = cut(weighted(s, d, panel=p))
+    return bt.net_returns(bt.portfolio_returns(w, ingest.returns(p, "simple")), bt.turnover(w))
 
 
 @query("bt_lag_signal", sql(f"SELECT ent, dt, {q('score')} AS score FROM signal WHERE score IS NOT NULL", "signal"))
@@ -292,8 +296,9 @@ def _(s, d):
 
 @query("bt_vs_benchmark", sql(f"SELECT bucket, n, {q('my - sxy / sxx * mx')} AS alpha, {q('sxy / sxx')} AS beta, {q('active')} AS active, {q('sd * sqrt(52.0)')} AS tracking_error, {q('active / sd * sqrt(52.0)')} AS information_ratio FROM (SELECT bucket, count(*) AS n, avg(net) AS my, avg(mret) AS mx, regr_sxx(net, mret) AS sxx, regr_sxy(net, mret) AS sxy, avg(net - mret) AS active, stddev_samp(net - mret) AS sd FROM net JOIN (SELECT dt, avg(ret) AS mret FROM simple GROUP BY dt) m USING (dt) WHERE mret IS NOT NULL GROUP BY bucket)", "net", "simple"))
 def _(s, d):
-    m = ingest.market_return(fx.returns(s, d, "simple"))
-    return rounded(bt.vs_benchmark(net(s, d), m), "alpha", "beta", "active", "tracking_error", "information_ratio")
+    p = cut(fx.panel(s, d))
+    m = ingest.market_return(ingest.returns(p, "simple"))
+    return rounded(bt.vs_benchmark(net(s, d, p), m), "alpha", "beta", "active", "tracking_error", "information_ratio")
 
 
 IC = f"SELECT dt, count(*) AS n, regr_sxy(a, b) / sqrt(regr_sxx(a, b) * regr_syy(a, b)) AS ic, regr_sxx(a, b) AS sxx, regr_syy(a, b) AS syy FROM (SELECT dt, rank() OVER (PARTITION BY dt ORDER BY score) + (count(*) OVER (PARTITION BY dt, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY dt ORDER BY ret) + (count(*) OVER (PARTITION BY dt, ret) - 1) / 2.0 AS b FROM (SELECT g.ent, g.dt, {q('g.score')} AS score, {q('r.ret')} AS ret FROM signal g JOIN simple r ON r.ent = g.ent AND r.dt = g.dt WHERE g.score IS NOT NULL AND r.ret IS NOT NULL)) GROUP BY dt"
@@ -301,24 +306,28 @@ IC = f"SELECT dt, count(*) AS n, regr_sxy(a, b) / sqrt(regr_sxx(a, b) * regr_syy
 
 @query("bt_information_coefficient", sql(f"SELECT dt, n, CASE WHEN sxx > 0 AND syy > 0 THEN {q('ic')} END AS ic FROM ({IC})", "signal", "simple"))
 def _(s, d):
-    return rounded(bt.information_coefficient(signal(s, d), fx.returns(s, d, "simple")), "ic")
+    p = cut(fx.panel(s, d))
+    return rounded(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple")), "ic")
 
 
 @query("bt_ic_summary", sql(f"SELECT count(ic) AS n_dates, {q('avg(ic)')} AS mean, {q('stddev_samp(ic)')} AS sd, {q('avg(ic) / stddev_samp(ic) * sqrt(count(ic))')} AS t FROM (SELECT CASE WHEN sxx > 0 AND syy > 0 THEN ic END AS ic FROM ({IC}))", "signal", "simple"))
 def _(s, d):
-    return rounded(bt.ic_summary(bt.information_coefficient(signal(s, d), fx.returns(s, d, "simple"))), "mean", "sd", "t")
+    p = cut(fx.panel(s, d))
+    return rounded(bt.ic_summary(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple"))), "mean", "sd", "t")
 
 
 @query("x_overlapping_portfolios", sql(f"SELECT dt, bucket, {q('avg(r)')} AS gross, count(*) AS cohorts FROM (SELECT r.dt, w.bucket, r.bar - w.bar AS age, sum(w.weight * r.ret) AS r FROM weights w JOIN simple r ON r.ent = w.ent AND r.bar BETWEEN w.bar AND w.bar + 3 WHERE r.ret IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2", "weights", "simple"))
 def _(s, d):
-    return rounded(bt.overlapping_portfolios(weighted(s, d), fx.returns(s, d, "simple"), 4), "gross")
+    p = cut(fx.panel(s, d))
+    return rounded(bt.overlapping_portfolios(weighted(s, d, panel=p), ingest.returns(p, "simple"), 4), "gross")
 
 
 # ---- reports
 
 @query("rp_stage_summary", sql("SELECT 'bars' AS stage, count(*) AS rows, count(DISTINCT ent) AS entities, min(dt) AS first, max(dt) AS last, 'pass' AS verdict FROM prices UNION ALL SELECT 'panel', count(*), count(DISTINCT ent), min(dt), max(dt), 'pass' FROM panel UNION ALL SELECT 'events', count(*), count(DISTINCT ent), min(dt), max(dt), 'pass' FROM spikes", "prices", "panel", "spikes"))
 def _(s, d):
-    return report.stage_summary({"bars": (fx.prices(s, d), "ent", "dt"), "panel": (fx.panel(s, d), "ent", "dt"), "events": (fx.spikes(s, d), "ent", "dt")})
+    w = fx.bars(s, d)
+    return report.stage_summary({"bars": (fx.prices(s, d, w), "ent", "dt"), "panel": (fx.panel(s, d, w), "ent", "dt"), "events": (fx.spikes(s, d, w), "ent", "dt")})
 
 
 @query("rp_top_exposed", sql(f"SELECT e.event_id, e.ent, e.score, e.rnk, {q('c.car')} AS car FROM (SELECT * FROM (SELECT country AS event_id, ent, score, row_number() OVER (PARTITION BY country ORDER BY score DESC, ent) AS rnk FROM universe u JOIN (SELECT src, {q('sum(w)')} AS score FROM sym GROUP BY src) g ON g.src = 'S' || u.ent) WHERE rnk <= 3) e LEFT JOIN (SELECT ent, avg(car) AS car FROM car WHERE t1 = -1 GROUP BY ent) c ON c.ent = e.ent", "universe", "sym", "car"))
@@ -331,5 +340,6 @@ def _(s, d):
 
 @query("rp_rollup", sql(f"SELECT sector, year, {q('avg(car)')} AS mean_car, count(*) AS n, CAST(GROUPING(sector) * 2 + GROUPING(year) AS INTEGER) AS level FROM (SELECT u.sector, CAST(year(a.bar_dt) AS INTEGER) AS year, c.car FROM car c JOIN aligned a ON a.event_id = c.event_id AND a.ent = c.ent JOIN universe u ON u.ent = c.ent WHERE c.t1 = -1) GROUP BY ROLLUP (sector, year)", "car", "aligned", "universe"))
 def _(s, d):
-    c = cars(s, d).filter("t1 = -1").join(aligned(s, d).select("event_id", "ent", F.col("bar_dt").alias("dt")), ["event_id", "ent"])
+    weekly = fx.bars(s, d)
+    c = cars(s, d, weekly).filter("t1 = -1").join(aligned(s, d, weekly).select("event_id", "ent", F.col("bar_dt").alias("dt")), ["event_id", "ent"])
     return rounded(report.rollup_report(c, fx.universe(s, d)), "mean_car")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplemark.functions.lineage import cut
 from ripplemark.functions.numeric import tokens
 from ripplemark.operators import ingest
 
@@ -15,27 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars: an entity is a supplier, its price what a unit cost on average."""
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars: an entity is a supplier, its price what a unit cost on average; `back` is the quantity returned. Written once, so that all that derives from them scans lineitem once."""
     week = F.date_trunc("week", "l_shipdate").cast("date")
     paid = F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ent"), week.alias("dt")).agg((paid / F.sum("l_quantity")).alias("px"), F.sum("l_quantity").alias("vol"))
+    back = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0))
+    return cut(table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ent"), week.alias("dt")).agg((paid / F.sum("l_quantity")).alias("px"), F.sum("l_quantity").alias("vol"), back.alias("back")))
+
+
+def prices(spark: SparkSession, sf_dir: str, weekly: DataFrame | None = None) -> DataFrame:
+    return (weekly or bars(spark, sf_dir)).select("ent", "dt", "px", "vol")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.price_panel(prices(spark, sf_dir))
+def panel(spark: SparkSession, sf_dir: str, weekly: DataFrame | None = None) -> DataFrame:
+    return ingest.price_panel(prices(spark, sf_dir, weekly))
 
 
-def returns(spark: SparkSession, sf_dir: str, kind: str = "log") -> DataFrame:
-    return ingest.returns(panel(spark, sf_dir), kind)
+def returns(spark: SparkSession, sf_dir: str, kind: str = "log", weekly: DataFrame | None = None) -> DataFrame:
+    return ingest.returns(panel(spark, sf_dir, weekly), kind)
 
 
-def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spikes(spark: SparkSession, sf_dir: str, weekly: DataFrame | None = None) -> DataFrame:
     """Events: weeks in which over 0.8 of an entity's quantity, of 100 or more, was returned."""
-    week = F.date_trunc("week", "l_shipdate").cast("date")
-    back = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0))
-    by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ent"), week.alias("dt")).agg(F.sum("l_quantity").alias("qty"), back.alias("back"))
-    return by.filter((F.col("qty") >= 100) & (F.col("back") > 0.8 * F.col("qty"))).select(F.concat_ws("-", "ent", F.date_format("dt", "yyyyMMdd")).alias("event_id"), "ent", "dt")
+    by = (weekly or bars(spark, sf_dir)).filter((F.col("vol") >= 100) & (F.col("back") > 0.8 * F.col("vol")))
+    return by.select(F.concat_ws("-", "ent", F.date_format("dt", "yyyyMMdd")).alias("event_id"), "ent", "dt")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +97,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "market": (("rets",), "SELECT dt, avg(ret) AS mret FROM rets GROUP BY dt"),
     "spikes": ((), "SELECT CAST(ent AS VARCHAR) || '-' || strftime(dt, '%Y%m%d') AS event_id, ent, dt FROM (SELECT l_suppkey AS ent, CAST(date_trunc('week', l_shipdate) AS DATE) AS dt, sum(l_quantity) AS qty, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS back FROM lineitem GROUP BY 1, 2) WHERE qty >= 100 AND back > 0.8 * qty"),
     "articles": ((), "SELECT doc_id AS article_id, DATE '1995-01-02' + CAST(doc_id * 37 % 2400 AS INTEGER) AS published_at, 'http://' || source || '.example/' || CAST(doc_id AS VARCHAR) AS url, source AS domain, lang, split_part(text, chr(10), 1) AS title, text FROM documents"),
-    "tok": ((), "SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), ' '), lambda w: w <> '')) AS w FROM documents"),
+    "tok": ((), "SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{M}]', ' ', 'g'), ' '), lambda w: w <> '')) AS w FROM documents"),
     "keywords": ((), "SELECT * FROM (VALUES ('worthless', 'abuse', CAST(1.0 AS DECIMAL(9,4))), ('disgusting', 'abuse', CAST(0.8 AS DECIMAL(9,4))), ('pathetic', 'abuse', CAST(0.5 AS DECIMAL(9,4)))) AS k(keyword, category, weight)"),
     "alias": (("tok", "keywords"), "SELECT w AS alias, row_number() OVER (ORDER BY n DESC, w) AS ent FROM (SELECT w, count(DISTINCT doc_id) AS n FROM tok WHERE length(w) >= 9 AND w NOT IN (SELECT keyword FROM keywords) GROUP BY w HAVING count(DISTINCT doc_id) BETWEEN 2 AND 50) QUALIFY row_number() OVER (ORDER BY n DESC, w) <= (SELECT count(*) FROM supplier)"),
     "tagged": (("tok", "alias"), "SELECT doc_id AS article_id, ent, count(*) AS hits FROM tok JOIN alias ON w = alias GROUP BY 1, 2"),

@@ -12,7 +12,8 @@ from ripplemark.operators import kg
 from ripplemark.plans import fixtures as fx
 from ripplemark.plans.fixtures import VIEWS, sql
 
-HOPS, STEPS, PIVOT_HOPS = 4, 8, 6
+HOPS, STEPS, PIVOT_HOPS = 4, 15, 6
+TOL, MOST = 1e-3, 50  # on this graph the change of a step is 2 * 0.85 ** k, below TOL from step 47 on; it is measured every 5 steps
 Q: dict[str, tuple] = {}
 
 
@@ -156,9 +157,17 @@ def _(s, d):
     return rounded(walk(s, d), "score")
 
 
+FULL = WALK + [(f"r{k}", WALK[-1][1].replace(f"r{STEPS - 1} r", f"r{k - 1} r")) for k in range(STEPS + 1, MOST + 1)]
+
+
+@query("gx_rwr_converged", loop(f"SELECT event_id, node, {q('score')} AS score FROM r{MOST}", ("trans", "seeds"), FULL))
+def _(s, d):
+    return rounded(gx.rwr(graph(s, d), nation_seeds(s, d), 0.15, 10 * MOST, tol=TOL), "score")
+
+
 @query("gx_degree_centrality", sql(f"SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree, {q('sum(w)')} AS weighted, {q('sum(i + o) / CAST(count(*) OVER () - 1 AS DOUBLE)')} AS normalised FROM (SELECT src AS node, 0 AS i, 1 AS o, w FROM edges UNION ALL SELECT dst, 1, 0, w FROM edges) GROUP BY node", "edges"))
 def _(s, d):
-    return rounded(gx.degree_centrality(edges(s, d)), "weighted", "normalised")
+    return rounded(gx.degree_centrality(cut(edges(s, d))), "weighted", "normalised")
 
 
 RANK = [("n1", "SELECT node, 1.0 / count(*) OVER () AS w FROM nodes"), ("k0", "SELECT node, w AS score FROM n1")] + [
@@ -190,9 +199,9 @@ BETWEEN += [(f"d{PIVOT_HOPS}", f"SELECT event_id, node, sigma, CAST(0 AS DOUBLE)
 ]
 
 
-@query("gx_betweenness", loop(f"SELECT n.node, {q('coalesce(sum(x.delta), 0)')} AS betweenness FROM nodes n LEFT JOIN ({' UNION ALL '.join(f'SELECT node, delta FROM d{k}' for k in range(1, PIVOT_HOPS + 1))}) x ON x.node = n.node GROUP BY 1", ("sym", "nodes"), PIVOT + BETWEEN))
+@query("gx_betweenness", loop(f"SELECT n.node, {q('coalesce(sum(x.delta), 0) * 0.5 * (SELECT count(*) FROM nodes) / 5.0')} AS betweenness FROM nodes n LEFT JOIN ({' UNION ALL '.join(f'SELECT node, delta FROM d{k}' for k in range(1, PIVOT_HOPS + 1))}) x ON x.node = n.node GROUP BY 1", ("sym", "nodes"), PIVOT + BETWEEN))
 def _(s, d):
-    return rounded(gx.betweenness(graph(s, d), region_pivots(s, d), PIVOT_HOPS), "betweenness")
+    return rounded(gx.betweenness(graph(s, d), region_pivots(s, d), PIVOT_HOPS, symmetric=True), "betweenness")
 
 
 EIGEN = [("x0", "SELECT node, 1 / sqrt(count(*) OVER ()) AS x FROM nodes")] + [
