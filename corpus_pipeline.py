@@ -2,8 +2,9 @@
 
 Every stage takes the documents that its predecessor kept and returns the same
 columns; the last adds the copies that the mix takes.  A stage that picks rows
-first writes them with a number each, by which its decisions find them again,
-however often and wherever the table is read.
+gives each a number, by which its decisions find them again, however often and
+wherever the table is read: the row's place in the Parquet files of the table,
+or where docs is no such table, a number in a written copy.
 
 Null and equal doc_ids are rows like others, as each stage's operator says; null
 and empty texts are judged by their statistics and, where kept, stand for one
@@ -13,7 +14,8 @@ empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplemark.llm.common import columns, packed, small, staged, table, unpacked
@@ -26,9 +28,36 @@ from ripplemark.llm.substring import dedup
 READ = ("doc_id", "text", "source")
 
 
+#: So many files of a table, of so many characters in the paths (small()), are numbered in a broadcast table; more are joined by a shuffle.
+FILES = 400_000
+
+#: A number holds a file's number above so many bits of the row's place in it.
+PLACES = 40
+
+
+def _places(docs: DataFrame) -> tuple[F.Column, F.Column] | None:
+    """The file of each row and its place there, where docs is a table of Parquet files as written; None where rows come of anything else, such as a join, which could repeat them."""
+    plan = getattr(docs, "_jdf", None)
+    if plan is None or not plan.queryExecution().analyzed().children().isEmpty():
+        return None
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_path"], meta["row_index"])
+    except AnalysisException:
+        return None
+    return meta["file_path"], meta["row_index"]
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The columns that operators read, the others as one struct, and the number of each row, as a written table."""
-    return staged(packed(docs, *[c for c in READ if c in docs.columns]).withColumn("rid", F.monotonically_increasing_id()))
+    """The columns that operators read, the others as one struct, and the number of each row, the same on every read."""
+    rows, places = packed(docs, *[c for c in READ if c in docs.columns]), _places(docs)
+    if places is None:
+        return staged(rows.withColumn("rid", F.monotonically_increasing_id()))
+    path, at = places
+    files = staged(docs.select(path.alias("path")).distinct())
+    files = files.select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("file"))  # one row a file
+    placed = rows.select("*", path.alias("path"), at.alias("at")).join(small(staged(files), FILES), "path")
+    return placed.select(*rows.columns, F.shiftleft("file", PLACES).bitwiseOR(F.col("at")).alias("rid"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
