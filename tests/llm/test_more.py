@@ -469,6 +469,30 @@ def test_pipeline_runs_whole_and_on_nothing(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_numbers_of_rows(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "lang AS _metadata", "lang AS path", "doc_id AS rid", "doc_id AS at")
+    docs.repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert corpus_pipeline._places(docs) is not None
+    split = [("spark.sql.files.maxPartitionBytes", "128m"), ("spark.sql.files.maxPartitionBytes", "2k")]
+    numbers = []
+    for k, v in split:  # however the files are split between tasks
+        spark.conf.set(k, v)
+        try:
+            numbers.append({r.rid: (r.doc_id, r.text) for r in corpus_pipeline._numbered(docs).collect()})
+        finally:
+            spark.conf.unset(k)
+    assert numbers[0] == numbers[1] and len(numbers[0]) == docs.count()
+    # rows of a join, a union or no files have no places: they are numbered in a written copy
+    for other in (docs.unionAll(docs), docs.join(docs.select("source").distinct(), "source"), docs.filter("doc_id > 3"), spark.createDataFrame(docs.collect(), docs.schema)):
+        assert corpus_pipeline._places(other) is None
+        got = corpus_pipeline._numbered(other)
+        assert got.select("rid").distinct().count() == got.count() == other.count()
+    assert spark.read.parquet(f"{tmp_path}/docs").filter("1 = 0").count() == corpus_pipeline._numbered(docs.limit(0)).count() == 0
+
+
 def test_stages_hand_on_columns_of_any_name(spark, folder):
     import corpus_pipeline
 
