@@ -87,3 +87,42 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
 coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END AS score
 FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id
 """
+
+
+def _field(column: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({column} AS VARCHAR))) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _crc32(column: str) -> str:
+    """CRC-32 (IEEE) of an integer's decimal digits, bit by bit: DuckDB has no such function."""
+    digits = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda ch: ascii(ch))"
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END"
+    byte = f"list_reduce(range(8), lambda a, b: {bit}, xor(c, CAST(x AS BIGINT)))"
+    return f"xor(list_reduce({digits}, lambda c, x: {byte}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+# Trees level by level; a leaf's fold and the siblings it meets go up its language's tree (part 0), then the top one (part 1).
+OP11 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_crc32("doc_id")} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS other FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+groups AS MATERIALIZED (SELECT lang, n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT lang, count(*) AS n FROM d GROUP BY 1)),
+low(g, level, i, h, n) AS (SELECT g, 0, i, leaf, groups.n FROM placed JOIN groups ON placed.lang IS NOT DISTINCT FROM groups.lang
+  UNION ALL SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), CAST(ceil(max(n) / 2.0) AS BIGINT) FROM low WHERE n > 1 GROUP BY g, level, i // 2),
+lows AS MATERIALIZED (SELECT * FROM low),
+subroots AS MATERIALIZED (SELECT g, h FROM lows WHERE n = 1),
+high(level, i, h, n) AS (SELECT 0, g, h, count(*) OVER () FROM subroots
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), CAST(ceil(max(n) / 2.0) AS BIGINT) FROM high WHERE n > 1 GROUP BY level, i // 2),
+highs AS MATERIALIZED (SELECT * FROM high),
+depth AS MATERIALIZED (SELECT g, max(level) AS m FROM lows GROUP BY 1),
+nodes AS MATERIALIZED (SELECT g, level, i, h FROM lows WHERE n > 1 UNION ALL SELECT depth.g, depth.m + highs.level, highs.i, highs.h FROM depth, highs WHERE highs.n > 1),
+walk(r, g, level, i, h, proof) AS (SELECT row_number() OVER (ORDER BY g, placed.i), g, 0, placed.i, other, '' FROM placed JOIN groups ON placed.lang IS NOT DISTINCT FROM groups.lang
+  UNION ALL SELECT w.r, w.g, w.level + 1, CASE WHEN w.level + 1 = m THEN w.g ELSE w.i // 2 END, sha256(CASE WHEN w.i % 2 = 1 THEN coalesce(s.h, '') || w.h ELSE w.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+  FROM (SELECT w.r, w.g, w.level, CASE WHEN w.level = m THEN w.g ELSE w.i END AS i, w.h, w.proof, m FROM walk w JOIN depth USING (g)) w JOIN nodes own ON own.g = w.g AND own.level = w.level AND own.i = w.i LEFT JOIN nodes s ON s.g = w.g AND s.level = w.level AND s.i = xor(w.i, 1)),
+ends AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM walk GROUP BY 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM (SELECT placed.*, g, row_number() OVER (ORDER BY g, i) AS r FROM placed JOIN groups ON placed.lang IS NOT DISTINCT FROM groups.lang) p JOIN ends e ON e.r = p.r JOIN subroots s ON s.g = p.g, (SELECT h FROM highs WHERE n = 1) t
+"""
