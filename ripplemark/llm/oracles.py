@@ -126,3 +126,23 @@ ends AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM w
 SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
 FROM (SELECT placed.*, g, row_number() OVER (ORDER BY g, i) AS r FROM placed JOIN groups ON placed.lang IS NOT DISTINCT FROM groups.lang) p JOIN ends e ON e.r = p.r JOIN subroots s ON s.g = p.g, (SELECT h FROM highs WHERE n = 1) t
 """
+
+
+# A node is named by the digest of its turns' digests; every node counts for all of its prefixes.
+OP12 = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS pos, code, size FROM (SELECT conv_id, turn, sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS code, octet_length(encode(coalesce(text, ''))) AS size FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id")} % 9 AS h, count(*) AS n FROM t GROUP BY conv_id),
+m AS MATERIALIZED (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS m, c.n FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS MATERIALIZED (SELECT m.conv_id, t.pos, t.code, t.size FROM m JOIN t ON t.conv_id = m.base AND t.pos <= m.m UNION ALL SELECT m.conv_id, t.pos - m.h + m.m, t.code, t.size FROM m JOIN t ON t.conv_id = m.conv_id AND t.pos > m.h),
+p(conv_id, depth, key, up, size) AS (SELECT conv_id, CAST(0 AS BIGINT), sha256(''), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM m UNION ALL SELECT p.conv_id, p.depth + 1, sha256(p.key || r.code), p.key, r.size FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos = p.depth + 1),
+walks AS MATERIALIZED (SELECT * FROM p),
+node AS MATERIALIZED (SELECT key, up, depth, max(size) AS size, count(*) AS n, min(conv_id) AS conv FROM walks GROUP BY 1, 2, 3),
+kids AS MATERIALIZED (SELECT up AS key, count(*) AS k FROM node WHERE up IS NOT NULL GROUP BY 1),
+own AS MATERIALIZED (SELECT node.key, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * size AS saved FROM node LEFT JOIN kids ON kids.key = node.key),
+above(key, anc) AS (SELECT key, key FROM node UNION ALL SELECT above.key, node.up FROM above JOIN node ON node.key = above.anc WHERE node.up IS NOT NULL),
+sums AS MATERIALIZED (SELECT anc, sum(leaf) AS leaves, sum(saved) AS saved FROM above JOIN own ON own.key = above.key GROUP BY 1),
+lens AS (SELECT conv_id, max(depth) AS len FROM walks GROUP BY 1),
+ends AS (SELECT key, string_agg(CAST(walks.conv_id AS VARCHAR), ',' ORDER BY walks.conv_id) AS ids FROM walks JOIN lens ON lens.conv_id = walks.conv_id AND walks.depth = len GROUP BY 1)
+SELECT node.conv AS conv_id, node.depth, u.conv AS parent_conv_id, node.n AS n_convs, CAST(coalesce(k, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN node u ON u.key = node.up LEFT JOIN kids ON kids.key = node.key JOIN sums ON sums.anc = node.key LEFT JOIN ends ON ends.key = node.key
+"""

@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
     from .licenses import op10_diagonal_licenses
     from .merkle import op11_interval_merkle
     from .mixing import op8_pivotal_mix
+    from .prefix_trie import op12_ternary_trie
     from .quality import op1_rule_quality
     from .simhash import op7_pivot_simhash
     from .spotsigs import op5_spot_signatures
@@ -30,11 +31,12 @@ def queries() -> dict[str, Callable]:
         "op9_suffix_array_bytes": op9_suffix_array_bytes,
         "op10_diagonal_licenses": op10_diagonal_licenses,
         "op11_interval_merkle": op11_interval_merkle,
+        "op12_ternary_trie": op12_ternary_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are learned, random, or rest on hashes and trees that SQL lacks; tests hold them against brute force or held-out labels."""
-    from .oracles import OP2, OP4, OP9, OP10, OP11
+    from .oracles import OP2, OP4, OP9, OP10, OP11, OP12
 
-    return {"op2_winnow_decontaminate": OP2, "op4_automaton_substrings": OP4, "op9_suffix_array_bytes": OP9, "op10_diagonal_licenses": OP10, "op11_interval_merkle": OP11}
+    return {"op2_winnow_decontaminate": OP2, "op4_automaton_substrings": OP4, "op9_suffix_array_bytes": OP9, "op10_diagonal_licenses": OP10, "op11_interval_merkle": OP11, "op12_ternary_trie": OP12}
