@@ -146,3 +146,18 @@ ends AS (SELECT key, string_agg(CAST(walks.conv_id AS VARCHAR), ',' ORDER BY wal
 SELECT node.conv AS conv_id, node.depth, u.conv AS parent_conv_id, node.n AS n_convs, CAST(coalesce(k, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM node LEFT JOIN node u ON u.key = node.up LEFT JOIN kids ON kids.key = node.key JOIN sums ON sums.anc = node.key LEFT JOIN ends ON ends.key = node.key
 """
+
+
+# All pairs that share a shingle are counted; labels then go to neighbours until each has its least.
+OP13 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[j : j + 2], ' ') END AS s FROM d, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS t(j) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT a, a FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
+"""

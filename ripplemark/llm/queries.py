@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable]:
     from .simhash import op7_pivot_simhash
     from .spotsigs import op5_spot_signatures
     from .substring import op4_automaton_substrings
+    from .superminhash import op13_super_minhash
     from .toxicity import op3_lexicon_toxicity
 
     return {
@@ -32,11 +33,12 @@ def queries() -> dict[str, Callable]:
         "op10_diagonal_licenses": op10_diagonal_licenses,
         "op11_interval_merkle": op11_interval_merkle,
         "op12_ternary_trie": op12_ternary_trie,
+        "op13_super_minhash": op13_super_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are learned, random, or rest on hashes and trees that SQL lacks; tests hold them against brute force or held-out labels."""
-    from .oracles import OP2, OP4, OP9, OP10, OP11, OP12
+    from .oracles import OP2, OP4, OP9, OP10, OP11, OP12, OP13
 
-    return {"op2_winnow_decontaminate": OP2, "op4_automaton_substrings": OP4, "op9_suffix_array_bytes": OP9, "op10_diagonal_licenses": OP10, "op11_interval_merkle": OP11, "op12_ternary_trie": OP12}
+    return {"op2_winnow_decontaminate": OP2, "op4_automaton_substrings": OP4, "op9_suffix_array_bytes": OP9, "op10_diagonal_licenses": OP10, "op11_interval_merkle": OP11, "op12_ternary_trie": OP12, "op13_super_minhash": OP13}
