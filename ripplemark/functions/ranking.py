@@ -81,7 +81,7 @@ def running(df: DataFrame, by: list[str], pos: str, value: str, before: str, tot
     if (sums.agg(F.max("_block")).first()[0] or 0) == 0:
         upper = sums.select(*by, "_block", F.lit(0).alias("_lower"), F.col("_sum").alias("_total"))
     else:
-        upper = running(sums, by, "_block", "_sum", "_lower", "_total", block).select(*by, "_block", "_lower", "_total")
+        upper = running(sums.withColumnRenamed("_block", "_place"), by, "_place", "_sum", "_lower", "_total", block).select(*by, F.col("_place").alias("_block"), "_lower", "_total")
     upper = cut(upper)
     names = {c: f"_u{i}" for i, c in enumerate([*by, "_block"])}
     right = few(upper.withColumnsRenamed(names))

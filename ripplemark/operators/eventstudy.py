@@ -5,31 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.functions.lineage import cut
 from ripplemark.functions.numeric import mid_rank
+from ripplemark.functions.ranges import binned, range_join
+from ripplemark.functions.ranking import ntiles
 
 ESTIMATION, EVENT, LEAST = (-60, -11), (-5, 5), 50
 
 
 def align_events(events: DataFrame, panel: DataFrame, most_days: int = 14) -> DataFrame:
-    """The first bar on or after each event's date, at most most_days later."""
-    p = panel.select("ent", F.col("dt").alias("bar_dt"), "bar")
-    near = (F.col("bar_dt") >= F.col("dt")) & (F.col("bar_dt") <= F.date_add("dt", most_days))
-    return events.join(p, "ent").filter(near).groupBy("event_id", "ent", "dt").agg(F.min("bar_dt").alias("bar_dt"), F.min("bar").alias("bar"))
+    """The first bar on or after each event's date, at most most_days later; bars and events meet in bins of days."""
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    p = panel.select("ent", F.col("dt").alias("bar_dt"), "bar", day("dt").alias("_day"))
+    e = events.withColumns({"_low": day("dt"), "_high": day("dt") + most_days})
+    return range_join(p, ["ent"], "_day", e, "_low", "_high", most_days + 1).groupBy("event_id", "ent", "dt").agg(F.min("bar_dt").alias("bar_dt"), F.min("bar").alias("bar"))
 
 
 def event_windows(aligned: DataFrame, rets: DataFrame, market: DataFrame, low: int = ESTIMATION[0], high: int = EVENT[1]) -> DataFrame:
-    """Rows (event_id, ent, tau, ret, mret); the join is on ent, and the bars around an event follow from a filter."""
+    """Rows (event_id, ent, tau, ret, mret): the bars from low to high around each event, met in bins of bars."""
     r = rets.filter("ret IS NOT NULL").select("ent", F.col("dt").alias("_d"), F.col("bar").alias("_b"), "ret")
-    rows = aligned.select("event_id", "ent", "bar").join(r, "ent").filter((F.col("_b") >= F.col("bar") + low) & (F.col("_b") <= F.col("bar") + high))
+    e = aligned.select("event_id", "ent", "bar", (F.col("bar") + low).alias("_low"), (F.col("bar") + high).alias("_high"))
+    rows = range_join(r, ["ent"], "_b", e, "_low", "_high", high - low + 1)
     return rows.join(market.select(F.col("dt").alias("_d"), "mret"), "_d").select("event_id", "ent", (F.col("_b") - F.col("bar")).alias("tau"), "ret", "mret")
 
 
-def drop_overlaps(aligned: DataFrame, gap: int = 5) -> DataFrame:
-    """Per entity in order of bars, an event within `gap` bars of the last one kept goes."""
-    bars = aligned.groupBy("ent").agg(F.array_sort(F.collect_set("bar")).alias("bars"))
-    empty = F.array().cast("array<bigint>")
-    kept = F.aggregate("bars", empty, lambda acc, b: F.when((F.size(acc) == 0) | (b - F.element_at(acc, -1) > gap), F.concat(acc, F.array(b))).otherwise(acc))
-    return aligned.join(bars.select("ent", F.explode(kept).alias("bar")), ["ent", "bar"], "left_semi")
+def drop_overlaps(aligned: DataFrame, gap: int = 5, width: int = 4096) -> DataFrame:
+    """Per entity in order of bars, an event within `gap` bars of the last one kept goes.
+
+    A bar with none in the `gap` bars before it is kept.  From a kept bar the
+    first one over `gap` later is kept too: if it is over 2 * gap later, the one
+    before is more than `gap` away and it is kept anyway, so that a pointer looks
+    no farther.  What the pointers reach from the first kind is found by
+    doubling them.  Bars are cut into bins of `width` bars that overlap by the
+    pointers' reach, so that an entity with many events is many tasks.
+    """
+    if gap < 1:
+        return aligned
+    reach, width = 2 * gap, max(width, 4 * gap)
+    bars = aligned.select("ent", F.col("bar").cast("long").alias("bar")).distinct()
+    _, own = binned(bars, "bar", bars, F.col("bar") - reach, F.col("bar") + reach, width)
+    by = Window.partitionBy("ent", "_bin").orderBy("bar")
+    first = F.max("bar").over(by.rangeBetween(-gap, -1)).isNull()
+    behind = F.min("bar").over(by.rangeBetween(gap + 1, reach))
+    links = cut(own.withColumns({"first": first, "next": behind}).filter(F.floor(F.col("bar") / width) == F.col("_bin")).select("ent", "bar", "first", "next"))
+    kept, jump = links.filter("first").select("ent", "bar"), links.filter("next IS NOT NULL").select("ent", "bar", "next")
+    while not jump.isEmpty():
+        step = kept.join(jump, ["ent", "bar"]).select("ent", F.col("next").alias("bar"))
+        kept = cut(kept.union(step).distinct())
+        far = jump.select("ent", F.col("bar").alias("next"), F.col("next").alias("_far"))
+        jump = cut(jump.join(far, ["ent", "next"]).select("ent", "bar", F.col("_far").alias("next")))
+    return aligned.join(kept, ["ent", "bar"], "left_semi")
 
 
 def fit_market_model(windows: DataFrame, low: int = ESTIMATION[0], high: int = ESTIMATION[1], least: int = LEAST) -> DataFrame:
@@ -87,8 +112,8 @@ def rank_test(windows: DataFrame, fit: DataFrame, low: int = ESTIMATION[0], high
 
 def car_by_exposure(cars: DataFrame, exposure: DataFrame, q: int = 5) -> DataFrame:
     """Mean CAR by bucket of exposure; exposure(event_id, ent, measure, score)."""
-    rows = cars.join(exposure, ["event_id", "ent"])
-    rows = rows.withColumn("bucket", F.ntile(q).over(Window.partitionBy("measure", "t1", "t2").orderBy("score", "event_id", "ent")))
+    rows = cut(cars.join(exposure, ["event_id", "ent"]))
+    rows = ntiles(rows, ["measure", "t1", "t2"], ["score", "event_id", "ent"], q)
     by = rows.groupBy("measure", "t1", "t2", "bucket").agg(F.avg("car").alias("mean_car"), F.count("*").alias("n"), F.stddev_samp("car").alias("sd"))
     return by.withColumn("t", F.when(F.col("sd") > 0, F.col("mean_car") / (F.col("sd") / F.sqrt("n")))).drop("sd")
 

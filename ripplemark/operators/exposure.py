@@ -1,25 +1,31 @@
 """Exposure over the graph: distances, random walks, centralities.
 
-Loops run a fixed number of steps, each one Spark job over (event, node) rows;
-a checkpoint cuts the lineage.  Edge tables stay joinable by shuffle; Spark
-broadcasts them while they are small.
+Loops are steps of (event, node) rows along the edges, and written tables cut
+their lineage.  A small edge table is broadcast; in a larger one the edges of
+nodes that have very many are cut into parts, and what stands at such a node is
+copied to each part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from math import ceil, floor, log, log2
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemark.functions.hubs import parted
 from ripplemark.functions.lineage import cut
+from ripplemark.functions.ranking import few, positions, ranked_values
 
 
 def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(event_id, node, hops): least hops from any of an event's seeds(event_id, node); unreached nodes are absent."""
-    e = edges.select("src", "dst").distinct()
+    e = parted(edges.select("src", "dst").distinct())
     seen = cut(seeds.select("event_id", "node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for k in range(1, max_hops + 1):
-        step = front.select("event_id", F.col("node").alias("src")).join(e, "src").select("event_id", F.col("dst").alias("node")).distinct()
+        step = e.step(front.select("event_id", "node")).select("event_id", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["event_id", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
@@ -28,16 +34,23 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame
 
 
 def weighted_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """(event_id, node, cost): least sum of -ln(w) over paths of at most max_hops edges."""
-    e = edges.select("src", "dst", (-F.log("w")).alias("c"))
-    dist, now = seeds.select("event_id", "node").distinct().withColumn("cost", F.lit(0.0)), None
+    """(event_id, node, cost): least sum of -ln(w) over paths of at most max_hops edges.
+
+    A turn goes on only from the pairs that the turn before made cheaper, and
+    writes only those that it makes cheaper; the least of all is a pair's cost.
+    """
+    e = parted(edges.select("src", "dst", (-F.log("w")).alias("c")))
+    front = cut(seeds.select("event_id", "node").distinct().withColumn("cost", F.lit(0.0)))
+    dist = front
     for _ in range(max_hops):
-        step = dist.join(e, dist.node == e.src).select("event_id", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
-        dist = cut(dist.union(step).groupBy("event_id", "node").agg(F.min("cost").alias("cost")))
-        before, now = now, dist.agg(F.count("*"), F.bit_xor(F.xxhash64("event_id", "node", "cost"))).first()
-        if now == before:  # no path got shorter
+        step = e.step(front).select("event_id", F.col("dst").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("cost") + F.col("c")).alias("new"))
+        known = dist.select("event_id", "node", F.col("cost").alias("old"), F.lit(None).cast("double").alias("new"))
+        both = known.union(step).groupBy("event_id", "node").agg(F.min("old").alias("old"), F.min("new").alias("cost"))
+        front = cut(both.filter("cost IS NOT NULL AND (old IS NULL OR cost < old)").select("event_id", "node", "cost"))
+        if front.isEmpty():
             break
-    return dist
+        dist = dist.unionByName(front)
+    return dist.groupBy("event_id", "node").agg(F.min("cost").alias("cost"))
 
 
 def shortest_path(hops: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
@@ -59,9 +72,9 @@ def distance_exposure(dist: DataFrame, lam: float = 0.5, by: str = "hops") -> Da
     return dist.groupBy("event_id", "node").agg(F.max(score).alias("score"))
 
 
-def checked(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast of a (written) side only where it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def dead_ends(p: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The nodes that a walk can reach but not leave."""
+    return seeds.select("node").union(p.select("dst")).distinct().join(p.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
 def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every: int = 5, tol: float | None = None) -> DataFrame:
@@ -72,14 +85,13 @@ def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every:
     With `tol`, these steps also measure by how much any event's scores change in
     a step, summed over nodes, and stop below it; `iters` is then the most.
     """
-    e = checked(p.select("src", "dst", "p"))
+    e = parted(p.select("src", "dst", "p"))
     restart = seeds.select("event_id", "node", "w")
-    dead = seeds.select("node").union(e.select("dst")).distinct().join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    dead = cut(dead)
+    dead = cut(dead_ends(p, seeds))
     has_dead = dead.limit(1).count() > 0
     r, before = restart.select("event_id", "node", F.col("w").alias("score")), None
     for i in range(iters):
-        moved = r.join(e, r.node == e.src).select("event_id", F.col("dst").alias("node"), ((1 - c) * F.col("score") * F.col("p")).alias("score"))
+        moved = e.step(r).select("event_id", F.col("dst").alias("node"), ((1 - c) * F.col("score") * F.col("p")).alias("score"))
         parts = moved.union(restart.select("event_id", "node", c * F.col("w")))
         if has_dead:
             lost = r.join(dead, "node").groupBy("event_id").agg(((1 - c) * F.sum("score")).alias("lost"))
@@ -96,6 +108,39 @@ def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every:
     return r
 
 
+def forward_push(p: DataFrame, seeds: DataFrame, c: float = 0.15, eps: float = 1e-3, every: int = 2) -> DataFrame:
+    """(event_id, node, score): the walk's scores by forward push, with only the pairs that mass reaches.
+
+    A pair's residual is mass that has arrived and not moved yet.  Where it is
+    over eps times the node's share of the greatest weighted degree, it moves: c
+    of it stays as score, the rest goes along the edges (from a dead end: back
+    to the seeds); a turn moves all such pairs, and joins no others with edges.
+    On symmetric edges a score falls short of the settled walk's by less than
+    eps times that share, so by less than eps.  p(src, dst, w, p).
+    """
+    e = parted(p.select("src", "dst", "p"))
+    restart = seeds.groupBy("event_id", "node").agg(F.sum("w").alias("w"))
+    weight = p.groupBy(F.col("src").alias("_n")).agg(F.sum("w").alias("_w"))
+    most = weight.agg(F.max("_w")).first()[0] or 1.0
+    least = few(cut(weight.select("_n", (eps * F.col("_w") / most).alias("least"))))
+    dead = cut(dead_ends(p, seeds))
+    has_dead = dead.limit(1).count() > 0
+    state = cut(restart.select("event_id", "node", F.lit(0.0).alias("score"), F.col("w").alias("rest")).join(least, F.col("node") == F.col("_n"), "left").drop("_n"))
+    while not state.filter(F.col("rest") > F.coalesce("least", F.lit(eps))).isEmpty():
+        for _ in range(every):
+            moves = F.col("rest") > F.coalesce("least", F.lit(eps))
+            going = state.filter(moves)
+            stay = state.select("event_id", "node", (F.col("score") + F.when(moves, c * F.col("rest")).otherwise(0.0)).alias("score"), F.when(moves, 0.0).otherwise(F.col("rest")).alias("rest"))
+            parts = stay.unionByName(e.step(going).select("event_id", F.col("dst").alias("node"), F.lit(0.0).alias("score"), ((1 - c) * F.col("rest") * F.col("p")).alias("rest")))
+            if has_dead:
+                lost = going.join(dead, "node").groupBy("event_id").agg(((1 - c) * F.sum("rest")).alias("lost"))
+                parts = parts.unionByName(restart.join(lost, "event_id").select("event_id", "node", F.lit(0.0).alias("score"), (F.col("w") * F.col("lost")).alias("rest")))
+            state = parts.groupBy("event_id", "node").agg(F.sum("score").alias("score"), F.sum("rest").alias("rest"))
+            state = state.join(least, F.col("node") == F.col("_n"), "left").drop("_n")
+        state = cut(state)
+    return state.filter("score > 0").select("event_id", "node", "score")
+
+
 def degree_centrality(edges: DataFrame) -> DataFrame:
     """In, out, total and weighted degree; total also by the number of other nodes."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), "w"), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), "w"))).alias("x")).select("x.*")
@@ -124,21 +169,51 @@ def closeness(edges: DataFrame, pivots: DataFrame, max_hops: int) -> DataFrame:
     return rows.select("node", F.when(others > 0, F.coalesce("s", F.lit(0.0)) / others).otherwise(0.0).alias("closeness"))
 
 
+def closeness_sketched(edges: DataFrame, max_hops: int, lg_k: int = 12) -> DataFrame:
+    """Harmonic closeness of all nodes: the mean of 1 / distance to the other nodes within max_hops, unreached ones counting 0.
+
+    A node's sketch counts the distinct nodes within k hops; a turn unites a
+    node's with those of the nodes it has edges to, so that all nodes are
+    measured in max_hops turns.  A count is off by about 1.04 / 2 ** (lg_k / 2).
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    back = parted(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    now = cut(nodes.groupBy("node").agg(F.hll_sketch_agg("node", lg_k).alias("s")).withColumns({"size": F.lit(1.0), "sum": F.lit(0.0)}))
+    n = now.count()
+    for k in range(1, max_hops + 1):
+        sent = back.step(now.select("node", "s")).select(F.col("dst").alias("node"), "s")
+        united = sent.unionByName(now.select("node", "s")).groupBy("node").agg(F.hll_union_agg("s").alias("t"))
+        grown = united.join(now.drop("s"), "node").withColumn("more", F.greatest(F.lit(0.0), F.hll_sketch_estimate("t") - F.col("size")))
+        now = cut(grown.select("node", F.col("t").alias("s"), (F.col("size") + F.col("more")).alias("size"), (F.col("sum") + F.col("more") / k).alias("sum"), "more"))
+        if now.filter("more > 0").isEmpty():
+            break
+        now = now.drop("more")
+    return now.select("node", (F.least(F.col("sum"), F.lit(float(max(0, n - 1)))) / max(1, n - 1)).alias("closeness"))
+
+
+def _path_counts(e: DataFrame, starts: DataFrame, max_hops: int) -> list[DataFrame]:
+    """For each distance from 0 on, at least two: (event_id, node, sigma), the number of shortest paths from the event's start."""
+    hops = cut(hop_distance(e, starts, max_hops))
+    most = max(1, min(max_hops, hops.agg(F.max("hops")).first()[0] or 0))
+    along, levels = parted(e), [hops.filter("hops = 0").select("event_id", "node", F.lit(1.0).alias("sigma"))]
+    for k in range(1, most + 1):
+        at = hops.filter(F.col("hops") == k).select("event_id", F.col("node").alias("dst"))
+        step = along.step(levels[-1]).select("event_id", "dst", "sigma").join(at, ["event_id", "dst"])
+        levels.append(cut(step.groupBy("event_id", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))))
+    return levels
+
+
 def betweenness(edges: DataFrame, pivots: DataFrame, max_hops: int, symmetric: bool = False, scaled: bool = True) -> DataFrame:
     """Dependency accumulation over shortest paths from the pivots: counts forward by level, then sums backward.
 
     On symmetric edges each path counts once, not in both directions; `scaled`
     multiplies what the pivots give by nodes / pivots, as an estimate for all.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     starts = pivots.select(F.col("node").alias("event_id"), "node").distinct()
-    hops = cut(hop_distance(e, starts, max_hops))
-    max_hops = max(1, min(max_hops, hops.agg(F.max("hops")).first()[0] or 0))
-    levels = [hops.filter("hops = 0").select("event_id", "node", F.lit(1.0).alias("sigma"))]
-    for k in range(1, max_hops + 1):
-        at = hops.filter(F.col("hops") == k).select("event_id", F.col("node").alias("dst"))
-        step = levels[-1].select("event_id", F.col("node").alias("src"), "sigma").join(e, "src").join(at, ["event_id", "dst"])
-        levels.append(cut(step.groupBy("event_id", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))))
+    levels = _path_counts(e, starts, max_hops)
+    max_hops = len(levels) - 1
     below, sums = None, []
     for k in range(max_hops, 0, -1):
         delta = levels[k].withColumn("delta", F.lit(0.0))
@@ -156,14 +231,62 @@ def betweenness(edges: DataFrame, pivots: DataFrame, max_hops: int, symmetric: b
     return nodes.join(total.groupBy("node").agg(F.sum("delta").alias("d")), "node", "left").select("node", (factor * F.coalesce("d", F.lit(0.0))).alias("betweenness"))
 
 
+def path_samples(edges: DataFrame, eps: float, delta: float) -> int:
+    """Shortest paths to draw so that, with a chance of 1 - delta, no node's share of paths is off by over eps.
+
+    That number grows with the logarithm of the nodes on a longest shortest path
+    of symmetric edges, which twice the farthest distance from one node of a
+    component bounds; the greatest of all components counts.
+    """
+    e = edges.select("src", "dst").distinct()
+    from_each = connected_components(e).select("component").distinct().select(F.col("component").alias("event_id"), F.col("component").alias("node"))
+    far = hop_distance(e, from_each, 1 << 30).agg(F.max("hops")).first()[0] or 0
+    longest = 2 * far + 1  # nodes on it
+    return ceil(0.5 / eps**2 * (floor(log2(max(1, longest - 2))) + 1 + log(1 / delta)))
+
+
+def betweenness_sampled(edges: DataFrame, eps: float = 0.05, delta: float = 0.1, seed: int = 1, samples: int | None = None) -> DataFrame:
+    """(node, betweenness): the share of ordered pairs of nodes whose drawn shortest path has the node inside, for symmetric edges.
+
+    Pairs are drawn at random, and for each one of its shortest paths, all alike
+    likely: back from the target, a predecessor is taken as often as paths lead
+    to it.  path_samples() sets the number of draws before the first one, so the
+    error is at most eps for all nodes with a chance of 1 - delta.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    r = samples or path_samples(e, eps, delta)
+    nodes = cut(positions(cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()), [], ["node"], "no"))
+    n = nodes.count()
+    if n < 2:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    draw = lambda k, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(m))
+    pairs = e.sparkSession.range(r).select(F.col("id").cast("string").alias("event_id"), draw(1, n).alias("s"), draw(2, n - 1).alias("t"))
+    pairs = pairs.withColumn("t", F.col("t") + (F.col("t") >= F.col("s")).cast("long"))  # another node than s
+    pairs = pairs.join(nodes.withColumnsRenamed({"node": "a", "no": "s"}), "s").join(nodes.withColumnsRenamed({"node": "b", "no": "t"}), "t")
+    pairs = cut(pairs.select("event_id", "a", "b"))
+    levels = _path_counts(e, pairs.select("event_id", F.col("a").alias("node")), 1 << 30)
+    target, at, inner = pairs.select("event_id", F.col("b").alias("node")), None, []
+    back = parted(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    for k in range(len(levels) - 1, 1, -1):
+        here = levels[k].select("event_id", "node").join(target, ["event_id", "node"], "left_semi")
+        at = here if at is None else here.unionByName(at)
+        before = back.step(at).select("event_id", F.col("dst").alias("node")).join(levels[k - 1], ["event_id", "node"])
+        luck = -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(3), "event_id", "node"), F.lit(1 << 40)) + 0.5) / float(1 << 40)) / F.col("sigma")
+        at = cut(before.groupBy("event_id").agg(F.min_by("node", luck).alias("node")))
+        inner.append(at)
+    hits = reduce(lambda x, y: x.unionByName(y), inner, nodes.limit(0).select(F.lit("").alias("event_id"), "node"))
+    share = hits.groupBy(F.col("node").alias("_n")).agg((F.count("*") / r).alias("share"))
+    return nodes.join(share, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("share", F.lit(0.0)).alias("betweenness"))
+
+
 def eigenvector(edges: DataFrame, iters: int = 10) -> DataFrame:
     """Power iteration on A + I, scaled to length 1 at each step."""
-    e = edges.select("src", "dst", "w")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    e = parted(edges.select("src", "dst", "w"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     n = nodes.count()
     x = cut(nodes.withColumn("x", F.lit(1.0 / max(1, n) ** 0.5)))
     for _ in range(iters):
-        moved = x.join(e, x.node == e.src).select(F.col("dst").alias("node"), (F.col("x") * F.col("w")).alias("x"))
+        moved = e.step(x).select(F.col("dst").alias("node"), (F.col("x") * F.col("w")).alias("x"))
         y = moved.union(x.select("node", "x")).groupBy("node").agg(F.sum("x").alias("x"))
         norm = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
         x = cut(y.crossJoin(F.broadcast(norm)).select("node", (F.col("x") / F.col("_n")).alias("x")))
@@ -171,12 +294,24 @@ def eigenvector(edges: DataFrame, iters: int = 10) -> DataFrame:
 
 
 def rank_exposure(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """Per (event_id, measure): dense and percent rank, min-max scaled score, and if wanted the k first."""
-    by = Window.partitionBy("event_id", "measure")
-    order = by.orderBy(F.desc("score"))
-    low, high = F.min("score").over(by), F.max("score").over(by)
-    out = scores.withColumns({"rnk": F.dense_rank().over(order), "pct": F.percent_rank().over(order), "scaled": F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(0.0), "_r": F.row_number().over(by.orderBy(F.desc("score"), "node"))})
-    return (out.filter(F.col("_r") <= k) if k else out).drop("_r")
+    """Per (event_id, measure): dense and percent rank, min-max scaled score, and if wanted the k first.
+
+    Ranks are of distinct scores, and places of ranges of rows, so that an event
+    that has scores of all nodes is no task of its own.
+    """
+    by = ["event_id", "measure"]
+    rows = cut(scores)
+    values = ranked_values(rows, by, "score", descending=True)
+    if k is not None:
+        values = values.filter(F.col("rnk") <= k)
+    spread = few(cut(rows.groupBy(*[F.col(b).alias(f"_s{b}") for b in by]).agg(F.min("score").alias("low"), F.max("score").alias("high"))))
+    values = cut(values.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("score").alias("_score"), "rnk", "dense", "total"))
+    same = lambda mark, cols: reduce(lambda on, c: on & F.col(c).eqNullSafe(F.col(f"{mark}{c}")), cols, F.lit(True))
+    both = rows.join(few(values), same("_", [*by, "score"])).join(spread, same("_s", by))
+    pct = F.when(F.col("total") > 1, (F.col("rnk") - 1) / (F.col("total") - 1)).otherwise(0.0)
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    out = both.select(*[F.col(c) for c in scores.columns], F.col("dense").alias("rnk"), pct.alias("pct"), scaled.alias("scaled"))
+    return out if k is None else positions(cut(out), by, [F.desc("score"), "node"], "_pos").filter(F.col("_pos") < k).drop("_pos")
 
 
 def exposure_baseline(scores: DataFrame, measures: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.functions.lineage import cut
+from ripplemark.functions.quantiles import exact_quantiles
+
 #: The type of a relation's source and target nodes.
 SIDES = {"LOCATED_IN": ("supplier", "nation"), "IN_REGION": ("nation", "region"), "SUPPLIES": ("supplier", "brand"), "BUYS_FROM": ("customer", "supplier")}
 
@@ -55,7 +58,8 @@ def kg_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by_type = nodes.groupBy("ntype").agg(F.count("*").cast("double").alias("value")).select(F.lit("nodes").alias("kind"), F.col("ntype").alias("name"), "value")
     by_rel = edges.groupBy("rel").agg(F.count("*").cast("double").alias("value")).select(F.lit("edges"), "rel", "value")
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
-    degree = ends.groupBy("node").agg(F.count("*").alias("d"))
-    qs = degree.agg(F.percentile("d", [0.5, 0.9, 1.0]).alias("q")).select(F.explode(F.arrays_zip(F.array(F.lit("p50"), F.lit("p90"), F.lit("p100")).alias("name"), F.col("q").alias("value"))).alias("z")).select(F.lit("degree"), "z.name", "z.value")
+    degree = cut(ends.groupBy("node").agg(F.count("*").alias("d")))
+    label = F.create_map(*[F.lit(v) for q, n in ((0.5, "p50"), (0.9, "p90"), (1.0, "p100")) for v in (q, n)])
+    qs = exact_quantiles(degree, "d", [0.5, 0.9, 1.0], []).select(F.lit("degree"), label[F.col("q")], "value")
     alone = nodes.join(degree, "node", "left_anti").agg(F.count("*").cast("double").alias("value")).select(F.lit("isolated"), F.lit("nodes"), "value")
     return by_type.union(by_rel).union(qs).union(alone)

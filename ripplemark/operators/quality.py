@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.functions.lineage import cut
+from ripplemark.functions.quantiles import exact_quantiles
+from ripplemark.functions.ranking import few
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column rows, non-null, distinct (approximate, or `exact` at the price of a shuffle by values), and for numbers min, max, mean and sd: one pass, then unpivoted."""
@@ -76,12 +79,19 @@ def freshness(df: DataFrame, ts: str, as_of: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.min(F.to_date(ts)).alias("first"), F.max(F.to_date(ts)).alias("last")).withColumn("lag_days", F.datediff(F.lit(as_of).cast("date"), "last"))
 
 
+def _joined(rows: DataFrame, by: list[str], values: DataFrame, name: str) -> DataFrame:
+    """rows with the groups' one value each, null groups among them."""
+    names = {b: f"_g{i}" for i, b in enumerate(by)}
+    right, on = few(values.select(*[F.col(b).alias(n) for b, n in names.items()], F.col("value").alias(name))), F.lit(True)
+    for b, n in names.items():
+        on = on & F.col(b).eqNullSafe(F.col(n))
+    return rows.join(right, on).drop(*names.values())
+
+
 def outliers(df: DataFrame, col: str, by: list[str], k: float = 5.0) -> DataFrame:
     """Rows farther than k * 1.4826 * MAD from their group's median; no flag where the MAD is 0."""
-    mid = df.groupBy(*by).agg(F.median(col).alias("median"))
-    rows = df.join(mid, by).withColumn("off", F.abs(F.col(col) - F.col("median")))
-    mad = rows.groupBy(*by).agg(F.median("off").alias("mad"))
-    return rows.join(mad, by).filter((F.col("mad") > 0) & (F.col("off") > k * 1.4826 * F.col("mad")))
+    rows = _joined(df, by, cut(exact_quantiles(df, col, [0.5], by)), "median").withColumn("off", F.abs(F.col(col) - F.col("median")))
+    return _joined(rows, by, cut(exact_quantiles(rows, "off", [0.5], by)), "mad").filter((F.col("mad") > 0) & (F.col("off") > k * 1.4826 * F.col("mad")))
 
 
 def cardinality(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -92,8 +102,12 @@ def cardinality(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def quantiles(df: DataFrame, col: str, qs: list[float], by: list[str]) -> DataFrame:
     """Exact interpolated and approximate quantiles per group."""
-    got = df.groupBy(*by).agg(F.percentile(col, qs).alias("e"), F.percentile_approx(col, qs).alias("a"))
-    return got.select(*by, F.posexplode(F.arrays_zip("e", "a")).alias("i", "z")).select(*by, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("i") + 1).alias("q"), F.col("z.e").alias("exact"), F.col("z.a").alias("approximate"))
+    near = df.groupBy(*by).agg(F.percentile_approx(col, qs).alias("a")).select(*by, F.posexplode("a").alias("i", "approximate"))
+    near = near.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("i") + 1).alias("_q"), "approximate")
+    exact, on = exact_quantiles(df, col, qs, by), F.col("q") == F.col("_q")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    return exact.join(near, on).select(*by, "q", F.col("value").alias("exact"), "approximate")
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
