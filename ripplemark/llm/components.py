@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b), where component is the least node reachable.
 
     Each step joins a node's neighbours to its least neighbour, so that paths
@@ -18,7 +18,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     state = edges
-    for _ in range(limit):
+    while True:
         # large star: every neighbour above a node goes to the least of the node and its neighbours
         both = state.union(state.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -31,6 +31,4 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         state = new
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {limit} rounds")
     return nodes.join(state.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -122,10 +122,15 @@ class Tokens:
         text, begin = self.text, 0
         while True:
             p = text.find("<", max(begin, self.at))
-            if p < 0 or p > self.last:
+            if p < 0:
                 yield text[self.at :], None
                 return
             begin = p + 1
+            if p > self.last:  # no tag ends any more; one that begins is cut off with the page
+                if text.startswith(("!", "?"), begin) or re.match(r"/?[A-Za-z]", text[begin : begin + 2]):
+                    yield text[self.at : p], None
+                    return
+                continue
             if text.startswith(("<!", "<?"), p):
                 opens, closes = next(x for x in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")) if text.startswith(x[0], p))
                 yield text[self.at : p], None

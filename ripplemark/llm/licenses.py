@@ -3,11 +3,12 @@
 Every template is a word sequence.  All rolling word bigrams of a document are
 hashed and joined to the bigrams' positions in the templates; a match votes for
 the diagonal (document position - template position).  Votes are summed by
-document, template and diagonal.  In the order of the diagonals, neighbours that
-are at most DRIFT apart (some words more or less) are merged: places on one
-diagonal are at most a template's length apart, so that stray bigrams elsewhere
-do not come between.  A span is verified by the share of the template's
-positions that have a vote in it.
+document, template and diagonal.  From each diagonal on, those at most DRIFT
+farther (some words more) are merged to a span, whose places are thus about a
+template's length wide.  A span is verified by the longest row of its votes in
+which the positions in the template and the places in the document both rise:
+the share of the template's positions in it counts, so that the same words in
+another order, or scattered, do not make a license.
 
 Base phrases need every position on a single diagonal, which makes them exact
 places; longer templates, the operator's own, need SHARE of their positions.
@@ -57,6 +58,11 @@ def _words(text) -> F.Column:
 GRAMS = "transform(slice(w, 2, size(w)), (x, i) -> xxhash64(w[i], x))"
 
 
+#: For each vote of the column near, in the document's order, the longest row that ends with it.
+RISING = """aggregate(array_sort(near), cast(array() AS array<struct<i:bigint,at:int,n:int>>), (done, v) -> concat(done, array(named_struct(
+    'i', v.i, 'at', v.at, 'n', 1 + coalesce(array_max(transform(filter(done, x -> x.i < v.i AND x.at < v.at), x -> x.n)), 0)))))"""
+
+
 def _index(rows: DataFrame) -> DataFrame:
     """(template, label, is_base, size, at, h): the bigrams of rows(template, label, is_base, w)."""
     return rows.filter("size(w) > 1").select("template", "label", "is_base", (F.size("w") - 1).alias("size"), F.posexplode(F.expr(GRAMS)).alias("at", "h"))
@@ -77,11 +83,12 @@ def scan(docs: DataFrame, base: tuple = BASE, templates: tuple | DataFrame = TEM
     found = pairs.join(grams, "h", "left").filter("h IS NULL OR template IS NOT NULL")
     each = ["rid", "doc_id", "n_words", "template", "label", "is_base", "size"]
     votes = found.groupBy(*each, (F.col("i") - 1 - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_list("at")).alias("at"))
-    # neighbouring diagonals of a longer template make one span; a base phrase keeps its own
-    by = Window.partitionBy("rid", "doc_id", "template", "label").orderBy("diagonal")
-    apart = F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT)
-    spans = votes.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy(*each, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.min(F.col("diagonal") + F.element_at(F.col("at"), 1)).alias("low"))
+    # a longer template's span holds the diagonals that begin at most DRIFT behind its own; a base phrase keeps its own
+    by = Window.partitionBy("rid", "doc_id", "template", "label").orderBy("diagonal").rangeBetween(0, DRIFT)
+    own = votes.withColumn("own", F.when(~F.col("is_base"), F.transform("at", lambda a: F.struct((F.col("diagonal") + a).alias("i"), a.alias("at")))))
+    near = own.withColumn("near", F.flatten(F.collect_list("own").over(by)))
+    rising = F.coalesce(F.array_max(F.transform(F.expr(RISING), lambda x: x["n"])), F.lit(0))
+    spans = near.select(*each, F.when(F.col("is_base"), F.size("at")).otherwise(rising).alias("votes"), (F.col("diagonal") + F.element_at(F.col("at"), 1)).alias("low"))
     part = F.when(F.col("size") > 0, F.col("votes") / F.col("size"))
     kept = spans.withColumn("part", F.coalesce(part, F.lit(0.0))).withColumn("ok", F.coalesce(F.when(F.col("is_base"), F.col("votes") == F.col("size")).otherwise(F.col("part") >= share), F.lit(False)))
     based = F.col("ok") & F.col("is_base")

@@ -11,7 +11,9 @@ and the residuals meet in a tree of further blocks until one is left.
 
 Defined results: a null or empty text has size 0 (it is rounded like any other
 and takes 0 words); a null source is a source of its own, last in order; equal
-doc_ids are separate rows; an empty table gives no rows.
+doc_ids are separate rows, equal rows are numbered among themselves, so that
+another reading or splitting of the table gives the same rows; very long texts
+are counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.functions.ranking import positions
+
 from .common import columns, small, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,10 +112,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     known = sizes.alias("d").join(small(by).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.rid", "d.doc_id", "d.size", "d.mixed", "s.source_no", "s.source_size", "s.target", "s.n_docs")
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     known = known.withColumn("whole", F.floor(copies + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), copies - F.col("whole")))
-    # which block a row is in, and its random number, depend on its contents only; of repeated rows it doesn't matter which is taken, and where they would fill blocks their numbers spread them
-    again = staged(sizes.groupBy("mixed").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, block // 8)).select("mixed", F.lit(True).alias("again")))
-    known = known.join(small(again), "mixed", "left").withColumn("unit", F.when(F.col("again"), F.xxhash64("mixed", "rid")).otherwise(F.col("mixed"))).drop("again")
-    known = known.withColumn("block", F.pmod("unit", F.ceil(F.col("n_docs") / block)).cast("long")).withColumn("u", F.pmod(F.xxhash64("unit", F.lit("u")), F.lit(1 << 30)) / float(1 << 30)).drop("unit")
+    # which block a row is in, and its random number, depend on its contents, and where rows are equal on a number among them; which of these gets which doesn't matter
+    again = small(staged(sizes.groupBy("mixed").agg(F.count("*").alias("n")).filter("n > 1").select("mixed")))
+    equal = positions(staged(sizes.select("mixed", "rid").join(again, "mixed", "left_semi")), ["mixed"], [], "no")
+    known = known.join(small(staged(equal.select("rid", "no"))), "rid", "left").withColumn("mixed", F.xxhash64("mixed", F.coalesce("no", F.lit(0)))).drop("no")
+    known = known.withColumn("block", F.pmod("mixed", F.ceil(F.col("n_docs") / block)).cast("long")).withColumn("u", F.pmod(F.xxhash64("mixed", F.lit("u")), F.lit(1 << 30)) / float(1 << 30))
     level = staged(_rounded(known.drop("n_docs")))
     done, parts = [level.filter("copy >= 0")], [level.filter("copy < 0")]
     blocks = -(-(by.agg(F.max("n_docs")).first()[0] or 0) // block)

@@ -72,14 +72,14 @@ def _grams() -> str:
 
 # The score is 1 where a base phrase stands, else the best share of a longer template.
 OP10 = f"""
-WITH d AS MATERIALIZED (SELECT doc_id, {_alnum("text")} AS w FROM documents),
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_alnum("text")} AS w FROM documents),
 base AS MATERIALIZED ({_phrases()}),
 g AS ({_grams()}),
 pairs AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM d, unnest(range(0, len(w) - 1)) AS t(i)),
 votes AS MATERIALIZED (SELECT doc_id, template, label, size, i - place AS diagonal, place FROM pairs JOIN g ON g.a = pairs.a AND g.b = pairs.b),
-marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {DRIFT} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes)),
-spans AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
-parts AS (SELECT v.doc_id, v.label, count(DISTINCT v.place) / CAST(max(v.size) AS DOUBLE) AS part FROM votes v JOIN spans s ON s.doc_id = v.doc_id AND s.template = v.template AND s.diagonal = v.diagonal GROUP BY v.doc_id, v.template, v.label, s.span),
+spans AS MATERIALIZED (SELECT DISTINCT v.doc_id, v.template, v.label, v.size, d.diagonal, v.diagonal + v.place AS i, v.place FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes) d JOIN votes v ON v.doc_id = d.doc_id AND v.template = d.template AND v.diagonal BETWEEN d.diagonal AND d.diagonal + {DRIFT}),
+rising(doc_id, template, diagonal, i, place, n) AS (SELECT doc_id, template, diagonal, i, place, 1 FROM spans UNION SELECT r.doc_id, r.template, r.diagonal, s.i, s.place, r.n + 1 FROM rising r JOIN spans s ON s.doc_id = r.doc_id AND s.template = r.template AND s.diagonal = r.diagonal AND s.i > r.i AND s.place > r.place),
+parts AS (SELECT s.doc_id, s.label, r.n / CAST(s.size AS DOUBLE) AS part FROM (SELECT doc_id, template, diagonal, max(n) AS n FROM rising GROUP BY 1, 2, 3) r JOIN (SELECT DISTINCT doc_id, template, diagonal, label, size FROM spans) s ON s.doc_id = r.doc_id AND s.template = r.template AND s.diagonal = r.diagonal),
 names AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM parts WHERE part >= {SHARE}) GROUP BY 1),
 places AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
 best AS (SELECT doc_id, max(part) AS part FROM parts GROUP BY 1)

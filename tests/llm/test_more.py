@@ -7,11 +7,13 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from ripplemark.llm import decontamination, html_text, licenses, mixing, quality, simhash, spotsigs, substring, toxicity
 from ripplemark.llm import text as t
+from ripplemark.llm.oracles import OP10
 from tests.llm.test_llm import DOCS, WORDS, frame, prose
 
 BIG = (1 << 63) - 1
@@ -84,6 +86,16 @@ def test_repeated_rows_do_not_fill_a_block(spark, monkeypatch):
         assert math.floor(expected) <= sum(r.copies for r in own) <= math.ceil(expected)
 
 
+def test_equal_rows_fare_alike_however_the_table_is_split(spark):
+    rng = random.Random(36)
+    rows = [(1, "the same words", "a")] * 20_000 + [(i, prose(rng, i % 9), "ab"[i % 2]) for i in range(6000)] + [(7, "twice", "b")] * 2
+    docs, results = frame(spark, rows, f"{DOCS}, source string").cache(), set()
+    for parts in (1, 3, 7, 11):
+        got = mixing.mix(docs.repartition(parts)).groupBy("doc_id", "size", "copies").count().collect()
+        results.add(tuple(sorted(map(tuple, got))))
+    assert len(results) == 1
+
+
 def test_copies_add_up_in_every_source(spark):
     """Dependent rounding keeps a source's number of copies at its expectation, rounded down or up."""
     rng = random.Random(33)
@@ -116,19 +128,42 @@ def brute_labels(words: list[str]) -> tuple[int, set[str], float]:
             for at in range(len(w) - 1):
                 if words[i : i + 2] == w[at : at + 2]:
                     votes.setdefault(i - at, set()).add(at)
-        diagonals, span, spans = sorted(votes), set(), []
-        for k, d in enumerate(diagonals):
-            if k and d - diagonals[k - 1] > licenses.DRIFT:
-                spans.append(span)
-                span = set()
-            span = span | votes[d]
-        for s in [*spans, span]:
-            best = max(best, len(s) / (len(w) - 1))
-            if len(s) / (len(w) - 1) >= licenses.SHARE:
+        for d in votes:
+            own = sorted((e + at, at) for e in range(d, d + licenses.DRIFT + 1) for at in votes.get(e, ()))
+            length: list[int] = []
+            for k, (i, at) in enumerate(own):
+                length.append(1 + max((length[m] for m in range(k) if own[m][0] < i and own[m][1] < at), default=0))
+            best = max(best, max(length) / (len(w) - 1))
+            if max(length) / (len(w) - 1) >= licenses.SHARE:
                 labels.add(label)
     return n, labels, best
 
 
+def test_words_in_another_order_are_no_license(spark):
+    rng = random.Random(35)
+    rows = [(0, "mit license the mit under the released under"), (1, "released under the mit license")]
+    for text, _ in licenses.TEMPLATES:
+        w = text.split()
+        grams = [w[i : i + 2] for i in range(len(w) - 1)]
+        rows.append((len(rows), " ".join(" ".join(g) for g in reversed(grams))))
+        rows.append((len(rows), " ".join(" ".join([*g, *prose(rng, 4).split()]) for g in grams)))  # scattered
+        rng.shuffle(grams)
+        rows.append((len(rows), " ".join(" ".join(g) for g in grams)))
+        rows.append((len(rows), " ".join([*grams[0] * 40, *w, *grams[-1] * 40])))  # whole, among repeated bigrams
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for d, x in rows:
+        n, labels, best = brute_labels(x.split())
+        assert (got[d].n_base, got[d].labels) == (n, ",".join(sorted(labels)))
+        assert got[d].score == pytest.approx(best)
+    assert got[0].labels == "" and got[0].score <= 0.5 and got[1].labels == "mit"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    twin = con.execute(f"SELECT doc_id, labels, score FROM ({OP10})").fetchall()
+    assert {d: x for d, x, _ in twin} == {d: r.labels for d, r in got.items()}
+    assert {d: x for d, _, x in twin} == pytest.approx({d: r.score for d, r in got.items()})
+
+
 def test_licenses_against_brute_force(spark):
     rng = random.Random(34)
     rows = []
@@ -497,12 +532,14 @@ def test_stages_hand_on_columns_of_any_name(spark, folder):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
-    odd = docs.selectExpr("*", "doc_id AS rid", "lang AS row", "source AS fp", "lang AS known", "n_chars AS size", "lang AS spans", "n_chars AS rest", "lang AS mix")
+    odd = docs.selectExpr("*", "doc_id AS rid", "lang AS row", "source AS fp", "lang AS known", "n_chars AS size", "lang AS spans", "n_chars AS rest", "lang AS mix", "lang AS mix_copies", "lang AS Mix_Taken")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, folder)
         assert out.columns[: len(odd.columns)] == odd.columns, name
         for r in out.collect():
-            assert (r.rid, r.row, r.fp, r.known) == (r.doc_id, r.lang, r.source, r.lang), name
+            assert (r.rid, r.row, r.fp, r.known, r.mix_copies) == (r.doc_id, r.lang, r.source, r.lang, r.lang), name
+    assert out.columns[-2:] == ["_mix_copies", "_mix_taken"]
+    assert corpus_pipeline.mixing(spark, docs.drop("source"), folder).columns[-2:] == ["mix_copies", "mix_taken"]
 
 
 def test_long_texts_of_every_operator(spark):
@@ -515,3 +552,10 @@ def test_long_texts_of_every_operator(spark):
     assert got[1].fingerprint == got[3].fingerprint and got[1].n_chars == len(long)
     page = f"<body><nav>menu</nav><article><p>{long}</p></article>"
     assert html_text.main_text(page) == long
+
+
+def test_pages_cut_inside_a_tag_leave_no_markup():
+    assert html_text.main_text("<p>hello world <a href='x") == "hello world"
+    assert html_text.main_text("<p>hello <b>world</b> <!-- note") == "hello world"
+    assert html_text.main_text("<p>hello</p").strip() == "hello"
+    assert html_text.main_text("<p>1 < 2 and 3 <4") == "1 < 2 and 3 <4"
