@@ -95,12 +95,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of copies and the words that these have."""
+    """Documents that the mix takes, with the number of copies and the words that these have: mix_copies and mix_taken, or where documents have such columns these names with more underscores in front. Without a source, all are of one that is null."""
     rows = _numbered(docs)
+    rows = rows if "source" in docs.columns else rows.withColumn("source", F.lit(None).cast("string"))
     taken = mix(rows, key="rid").filter("copies > 0").select("rid", F.struct("copies", "taken").alias("mix"))
     both = rows.join(taken, "rid")
     own = [F.col(f"`{c}`") if c in READ else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return both.select(*own, F.col("mix.copies").alias("mix_copies"), F.col("mix.taken").alias("mix_taken"))
+    return both.select(*own, F.col("mix.copies").alias(_free("mix_copies", docs)), F.col("mix.taken").alias(_free("mix_taken", docs)))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
 STAGES = [
