@@ -290,3 +290,44 @@ def _(s, d):
 @query("x_dedup_intake", "SELECT count(*) AS n FROM (SELECT DISTINCT regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') FROM documents)")
 def _(s, d):
     return intake.dedup_intake(fx.articles(s, d)).agg(F.count("*").alias("n"))
+
+
+# ---- the same over streams of files: slices land one after the other, and each run goes on from the checkpoint of the one before
+
+SLICES = 3
+
+
+def slices(df: DataFrame, at: str) -> list[DataFrame]:
+    """df by equal spans of a time column, in order; rows without a time come first."""
+    low, high = df.agg(F.min(at), F.max(at)).select(*[F.unix_micros(F.col(c).cast("timestamp")) for c in (f"min({at})", f"max({at})")]).first()
+    number = F.coalesce(F.floor((F.unix_micros(F.col(at).cast("timestamp")) - F.lit(low)) * F.lit(SLICES) / F.lit((high or 0) - (low or 0) + 1)), F.lit(0))
+    return [df.filter(number == i) for i in range(SLICES)]
+
+
+def streamed(df: DataFrame, at: str, run) -> str:
+    """The folder that run(stream, path, checkpoint) has filled, called once for each slice."""
+    s, base = df.sparkSession, folder(df.sparkSession)
+    for part in slices(df, at):
+        part.write.mode("append").parquet(f"{base}/landed")
+        run(intake.read_stream(s, f"{base}/landed", part.schema, 1 << 20), f"{base}/out", f"{base}/checkpoint")
+    return f"{base}/out"
+
+
+@query("x_tumbling_stream", Q["x_tumbling_risk"][1])
+def _(s, d):
+    events = fx.table(s, d, "events").select("ts", "event_type", "value")
+    path = streamed(events, "ts", lambda stream, out, done: intake.upserts(intake.tumbling(stream), out, done))
+    return rounded(intake.latest(s, path, ["start", "event_type"]), "total").withColumn("start", F.col("start").cast(events.schema["ts"].dataType))
+
+
+@query("x_sliding_stream", Q["x_sliding_risk"][1])
+def _(s, d):
+    events = fx.table(s, d, "events").select("ts", "event_type")
+    path = streamed(events, "ts", lambda stream, out, done: intake.upserts(intake.sliding(stream), out, done))
+    return intake.latest(s, path, ["start", "event_type"]).withColumn("start", F.col("start").cast(events.schema["ts"].dataType))
+
+
+@query("x_dedup_stream", sql("SELECT article_id, published_at FROM once", "once"))
+def _(s, d):
+    articles = fx.articles(s, d).select("article_id", "published_at", "text")
+    return s.read.parquet(streamed(articles, "published_at", intake.intake)).select("article_id", "published_at")
