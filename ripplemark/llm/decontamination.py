@@ -11,6 +11,8 @@ Documents' hashes that no item has are dropped while the text is read, as long
 as the items' hashes number at most FILTER_ROWS; beyond that all kept hashes go
 to the join.
 
+Very long texts are whole: each hit is a row, and a task holds ROWS of them.
+
 Defined results: null and empty texts have no words and no hits; a repeated
 item_id counts once; a null item_id reads as the empty string; equal doc_ids
 are separate rows; an empty benchmark leaves every document clean.
@@ -31,7 +33,7 @@ from .common import columns, small, staged, table
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
 FILTER_ROWS = 2_000_000
-ROWS = 10_000  # of item windows that a task holds at a time
+ROWS = 10_000  # of item windows, or of hits of documents, that a task holds at a time
 
 HIT = pa.struct([("fp", pa.int64()), ("k", pa.int32()), ("at", pa.int32()), ("low", pa.int32()), ("words", pa.list_(pa.string()))])
 
@@ -85,17 +87,18 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_rows(short: tuple[int, ...], known):
-    """A row for each document: its number of words, and its fingerprints with the words around them."""
+    """A row for each document with its number of words, and one for each of its fingerprints with the words around it, ROWS at a time; a text with very many takes no more memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if known is None else known.value
         for batch in batches:
-            ids = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            rids, ids = batch.column("rid"), batch.column("doc_id")
             for low, high, raw, offsets in t.chunks(batch.column("text")):
                 buf = _folded(raw)
                 start, end, first = t.words(buf, offsets, t.ALNUM)
-                hits: list[list[dict]] = [[] for _ in range(high - low)]
-                hashes = t.word_hashes(buf, start, end)
+                n = high - low
+                yield pa.RecordBatch.from_arrays([rids.slice(low, n), ids.slice(low, n), pa.array(np.diff(first), pa.int64()), *(pa.nulls(n, f.type) for f in HIT)], names=["rid", "doc_id", "n_words", *HIT.names])
+                hashes, numbers = t.word_hashes(buf, start, end), rids.slice(low, n).to_numpy(zero_copy_only=False)
                 for k, at, fps in _fingerprints(hashes, first, short):
                     fps = fps.astype(np.int64)
                     if wanted is not None:
@@ -103,12 +106,15 @@ def _document_rows(short: tuple[int, ...], known):
                         keep = wanted[np.minimum(found, len(wanted) - 1)] == fps if len(wanted) else np.zeros(len(fps), np.bool_)
                         at, fps = at[keep], fps[keep]
                     doc = np.searchsorted(first, at, "right") - 1
-                    n, reach = abs(k), WINDOW - K if k > 0 else 0
-                    for p, fp, d in zip(at.tolist(), fps.tolist(), doc.tolist(), strict=True):
-                        a, b = max(int(first[d]), p - reach), min(int(first[d + 1]), p + n + reach)
-                        around = [buf[x:y].tobytes().decode() for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
-                        hits[d].append({"fp": fp, "k": k, "at": p - int(first[d]), "low": a - int(first[d]), "words": around})
-                yield pa.RecordBatch.from_pydict({**{c: v.slice(low, high - low) for c, v in ids.items()}, "n_words": pa.array(np.diff(first), pa.int64()), "hits": pa.array(hits, pa.list_(HIT))})
+                    begin = first[doc]
+                    reach = WINDOW - K if k > 0 else 0
+                    a, b = np.maximum(begin, at - reach), np.minimum(first[doc + 1], at + abs(k) + reach)
+                    for s in range(0, len(at), ROWS):
+                        part = slice(s, s + ROWS)
+                        words = [[buf[v:w].tobytes().decode() for v, w in zip(start[y:z].tolist(), end[y:z].tolist(), strict=True)] for y, z in zip(a[part].tolist(), b[part].tolist(), strict=True)]
+                        m = len(words)
+                        columns = [pa.array(numbers[doc[part]], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(fps[part]), pa.array(np.full(m, k), pa.int32()), pa.array(at[part] - begin[part], pa.int32()), pa.array(a[part] - begin[part], pa.int32()), pa.array(words, pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "n_words", *HIT.names])
 
     return run
 
@@ -128,20 +134,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, filter_rows: int = FILTER_R
     if fps.limit(filter_rows + 1).count() <= filter_rows:
         known = spark.sparkContext.broadcast(np.sort(fps.toPandas()["fp"].to_numpy()))
     short = tuple(sorted(-r.k for r in index.filter("k < 0").select("k").distinct().collect()))  # of 1 to WINDOW - 1
-    hit = "array<struct<fp:bigint,k:int,at:int,low:int,words:array<string>>>"
-    own = [F.col(f"`{key}`").alias("rid")] if key else []
-    seen = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = seen.mapInArrow(_document_rows(short, known), f"{'rid bigint, ' if key else ''}doc_id bigint, n_words bigint, hits {hit}")
-    seen = staged(seen if key else seen.withColumn("rid", F.monotonically_increasing_id()))
-    hits = seen.select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
+    rid = F.col(f"`{key}`") if key else F.monotonically_increasing_id()
+    read = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    both = staged(read.mapInArrow(_document_rows(short, known), "rid bigint, doc_id bigint, n_words bigint, fp bigint, k int, at int, low int, words array<string>"))
+    seen, hits = both.filter("n_words IS NOT NULL"), both.filter("n_words IS NULL")
     hits = hits.join(small(staged(index.select("fp", "k").distinct())), ["fp", "k"], "left_semi")
     # extend: every window of the item's length that holds the gram and lies in the document
     n = F.when(F.col("k") > 0, WINDOW).otherwise(-F.col("k"))
     windows = hits.withColumn("n", n).filter("size(words) >= n").select("rid", "n", "low", "words", F.explode(F.expr("sequence(0, size(words) - n)")).alias("i"))
     windows = windows.select("rid", (F.col("low") + F.col("i")).alias("start"), "n", F.expr("array_join(slice(words, i + 1, n), ' ')").alias("window")).distinct()
-    spans = staged(windows.join(small(staged(index.select("window", "item_id").distinct())), "window"))
+    # a window meets the set of its items, not each item; equal sets are one
+    sets = staged(index.select("window", "item_id").distinct().groupBy("window").agg(F.sort_array(F.collect_list("item_id")).alias("items")).withColumn("set", F.sha2(F.to_json("items"), 256)))
+    spans = staged(windows.join(small(sets.select("window", "set")), "window").select("rid", "start", "n", "set"))
     covered = spans.select("rid", "start", "n").distinct().select("rid", F.explode(F.expr("sequence(start, start + n - 1)")).alias("w")).groupBy("rid").agg(F.countDistinct("w").alias("n_hit"))
-    by_item = spans.groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    named = small(staged(sets.groupBy("set").agg(F.any_value("items").alias("items"))))
+    by_item = spans.select("rid", "set").distinct().join(named, "set").groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     out = seen.select("rid", "doc_id", "n_words").join(covered.join(by_item, "rid"), "rid", "left")
     return out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 

@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, small, staged, table
 
-#: From so many different pages with a node on, a block that this share of them has there is template.
-PAGES, SHARE = 10, 0.9
+#: A host of so many different pages has a wrapper; a block that so many of those with a node have there, and this share of them, is template.
+PAGES, REPEATED, SHARE = 2, 10, 0.9
 MAIN_PART = 0.5  # of the text in slots, what the content region holds at least
 FANIN = 64  # trees that a task merges at a time
 CACHED = 20_000  # characters of a tree up to which its alignment is remembered
@@ -448,7 +448,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def wrappers(rows: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+def wrappers(rows: DataFrame, least: int = PAGES, share: float = SHARE, repeated: int = REPEATED) -> DataFrame:
     """(host, tree, constant, content): the wrapper of each host of rows(host, html) with `least` different pages."""
     seen = staged(rows.select("host", "html").mapInArrow(_page_rows, "host string, shape string, content bigint, blocks array<struct<line:int,hash:bigint,size:bigint>>"))
     once = staged(seen.dropDuplicates(["host", "content"]).drop("content"))
@@ -456,7 +456,7 @@ def wrappers(rows: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     trees = host_trees(shapes)
     aligned = staged(shapes.join(trees, "host").select("host", "shape", "tree").mapInArrow(_aligned_rows, "host string, shape string, nodes array<int>"))
     nodes = once.join(aligned, ["host", "shape"]).select("host", "nodes", F.explode("blocks").alias("b")).select("host", F.element_at("nodes", F.col("b.line") + 1).alias("node"), "b.hash", "b.size")
-    counted = staged(nodes.filter("node >= 0").groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter((F.col("n") >= least) | F.col("hash").isNull()))
+    counted = staged(nodes.filter("node >= 0").groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter((F.col("n") >= repeated) | F.col("hash").isNull()))
     pages = counted.filter("hash IS NULL").select("host", "node", F.col("n").alias("pages"))
     fixed = counted.filter("hash IS NOT NULL").join(pages, ["host", "node"]).filter(F.col("n") >= share * F.col("pages")).select("host", "node", "hash", "size")
     slots = counted.filter("hash IS NULL").select("host", "node", "size").unionByName(fixed.select("host", "node", (-F.col("size")).alias("size"))).groupBy("host", "node").agg(F.sum("size").alias("size"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ripplemark.llm import decontamination, html_text, licenses, mixing, quality, simhash, spotsigs, substring, toxicity
@@ -52,6 +53,26 @@ def test_dedup_and_decontamination_do_not_depend_on_pieces(spark, monkeypatch):
     assert all(n >= 90 for d, n in want[0] if d) and all(n >= 90 for _, n in want[1])
 
 
+def test_hits_of_a_long_text_come_in_batches_of_bounded_size(spark):
+    text = "common " * 60_000
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array([4, 5], pa.int64()), "doc_id": pa.array([7, None], pa.int64()), "text": pa.array([text, None])})
+    rows = list(decontamination._document_rows((1,), None)(iter([batch])))
+    assert max(b.num_rows for b in rows) <= decontamination.ROWS
+    assert sum(b.num_rows for b in rows) >= 60_002
+    assert max(b.nbytes for b in rows) < 4 << 20
+    items = frame(spark, [("one", "common"), ("two", "common"), ("three", "common common")], "item_id string, text string")
+    got = decontamination.decontaminate(frame(spark, [(7, text), (8, "clean")]), items).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == [(7, 60_000, 60_000, ("one", "three", "two")), (8, 1, 0, ())]
+
+
+def test_a_prompt_of_very_many_items(spark):
+    rng = random.Random(37)
+    prompt = prose(rng, 12)
+    items = frame(spark, [(f"i{k:04}", f"{prompt} {prose(rng, 4)}") for k in range(400)], "item_id string, text string")
+    got = decontamination.decontaminate(frame(spark, [(d, f"{prose(rng, 5)} {prompt} {prose(rng, 5)}") for d in range(50)]), items).collect()
+    assert all(list(r["items"]) == [f"i{k:04}" for k in range(400)] and r.n_hit >= 12 for r in got)
+
+
 # ---- identity of rows
 
 
@@ -559,3 +580,30 @@ def test_pages_cut_inside_a_tag_leave_no_markup():
     assert html_text.main_text("<p>hello <b>world</b> <!-- note") == "hello world"
     assert html_text.main_text("<p>hello</p").strip() == "hello"
     assert html_text.main_text("<p>1 < 2 and 3 <4") == "1 < 2 and 3 <4"
+
+
+def site(rng: random.Random, host: str, n: int, marked: bool) -> tuple[list[tuple], dict[str, str]]:
+    """Pages of one layout, and the text that each was made from."""
+    pages, truth = [], {}
+    line = " ".join(prose(rng, 6).split())
+    for i in range(n):
+        blocks = [" ".join(prose(rng, rng.randint(12, 60)).split()) for _ in range(rng.randint(1, 5))]
+        url = f"http://{host}/{i}"
+        inner = "".join(f"<p>{b}</p>" for b in blocks)
+        body = f"<article>{inner}</article>" if marked else f"<div id='c7'><div>{inner}</div></div>"
+        pages.append((url, f"<html><head><title>t {i}</title><style>p {{}}</style></head><body><div class='nav'><a href='/'>home</a> <a>{line}</a></div>{body}<script>var a = {i};</script><div class='footer'>{line} {i}</div></body></html>"))
+        truth[url] = "\n\n".join(blocks)
+    return pages, truth
+
+
+def test_texts_of_pages_whose_content_is_known(spark):
+    rng, pages, truth = random.Random(38), [], {}
+    for n in (1, 2, 3, 5, 12):
+        for marked in (True, False):
+            if n > 1 or marked:
+                own, texts = site(rng, f"h{n}{marked}.example", n, marked)
+                pages, truth = [*pages, *own], truth | texts
+    rows = frame(spark, [(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    assert {r.url: r.text for r in html_text.extract(rows).collect()} == truth
+    hosts = {r.host for r in html_text.wrappers(rows.selectExpr("parse_url(url, 'HOST') AS host", "html")).collect()}
+    assert hosts == {u.split("/")[2] for u in truth if not u.startswith("http://h1True")}
