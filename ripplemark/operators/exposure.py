@@ -193,14 +193,17 @@ def closeness_sketched(edges: DataFrame, max_hops: int, lg_k: int = 12) -> DataF
 
 
 def _path_counts(e: DataFrame, starts: DataFrame, max_hops: int) -> list[DataFrame]:
-    """For each distance from 0 on, at least two: (event_id, node, sigma), the number of shortest paths from the event's start."""
-    hops = cut(hop_distance(e, starts, max_hops))
-    most = max(1, min(max_hops, hops.agg(F.max("hops")).first()[0] or 0))
-    along, levels = parted(e), [hops.filter("hops = 0").select("event_id", "node", F.lit(1.0).alias("sigma"))]
-    for k in range(1, most + 1):
-        at = hops.filter(F.col("hops") == k).select("event_id", F.col("node").alias("dst"))
-        step = along.step(levels[-1]).select("event_id", "dst", "sigma").join(at, ["event_id", "dst"])
-        levels.append(cut(step.groupBy("event_id", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))))
+    """For each distance from 0 on, two or more: (event_id, node, sigma), the number of shortest paths from the event's start, counted while nodes are found."""
+    along = parted(e)
+    front = cut(starts.select("event_id", "node", F.lit(1.0).alias("sigma")))
+    levels, seen = [front], front.select("event_id", "node")
+    for _ in range(max(1, max_hops)):
+        step = along.step(front).groupBy("event_id", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        front = cut(step.join(seen, ["event_id", "node"], "left_anti"))
+        if front.isEmpty() and len(levels) > 1:
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("event_id", "node"))
     return levels
 
 

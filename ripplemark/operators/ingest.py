@@ -17,11 +17,16 @@ def normalise_articles(df: DataFrame) -> DataFrame:
 
 
 def dedup_articles(df: DataFrame) -> DataFrame:
-    """One row for each url, then for each text after lower-casing and collapsing white space: the earliest, then the least id."""
-    first = [F.col("published_at").asc_nulls_last(), F.col("article_id").asc_nulls_last()]
-    by_url = df.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy(*first))).filter("_r = 1")
+    """One row for each url, then for each text after lower-casing and collapsing white space: the earliest, then the least id.
+
+    Rows are compared before they are shuffled, so that a text that very many
+    articles share is a few rows to its task.
+    """
+    first = F.struct(F.col("published_at").isNull(), "published_at", F.col("article_id").isNull(), "article_id")
     text = F.sha2(F.regexp_replace(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+", " "), 256)
-    return by_url.withColumn("_h", text).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(*first))).filter("_r = 1").drop("_r", "_h")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    by_url = df.groupBy(F.col("url").alias("_k")).agg(F.min_by(row, first).alias("_r")).select("_r.*")
+    return by_url.groupBy(text.alias("_k")).agg(F.min_by(row, first).alias("_r")).select("_r.*")
 
 
 def tag_entities(articles: DataFrame, alias: DataFrame) -> DataFrame:

@@ -199,7 +199,6 @@ def test_measures_agree_with_and_without_parts(spark, monkeypatch):
         "hops": lambda: gx.hop_distance(e, seeds, 2),
         "cost": lambda: gx.weighted_distance(e, seeds, 2),
         "walk": lambda: gx.rwr(p, seeds, 0.15, 3),
-        "push": lambda: gx.forward_push(p, seeds, 0.15, 0.1),
         "paths": lambda: gx.betweenness(e, spark.createDataFrame([("n0",)], "node string"), 3, symmetric=True),
         "eigen": lambda: gx.eigenvector(e, 2),
     }

@@ -32,7 +32,7 @@ def test_positions_and_ntiles_equal_the_window_functions(scores):
     by = Window.partitionBy("g")
     want = scores.select("*", (F.row_number().over(by.orderBy("v", "id")) - 1).alias("pos"), F.count("*").over(by).alias("n"))
     assert same(ranking.positions(scores, ["g"], ["v", "id"], "pos", "n"), want)
-    for q in (1, 7, 5000):
+    for q in (7, 5000):
         assert same(ranking.ntiles(scores, ["g"], [F.desc("v"), "id"], q), scores.withColumn("bucket", F.ntile(q).over(by.orderBy(F.desc("v"), "id"))))
 
 
@@ -80,8 +80,7 @@ def percentile(df, qs, by):
 QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 
 
-@pytest.mark.parametrize("bound", [40, 100_000])
-@pytest.mark.parametrize("kind", ["ties", "tails", "two values", "distinct"])
+@pytest.mark.parametrize(("kind", "bound"), [("ties", 40), ("tails", 40), ("two values", 40), ("distinct", 40), ("ties", 100_000)])
 def test_quantiles_equal_percentile(spark, kind, bound):
     rng = random.Random(1)
     draw = {"ties": lambda i: float(rng.randint(0, 5)), "tails": lambda i: rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300), "two values": lambda i: float(i % 2), "distinct": lambda i: i * 7919 % 3001 / 7}[kind]
