@@ -7,8 +7,8 @@ that share enough bytes give the windows of LENGTH bytes that repeat; those that
 a smaller doc_id has, or the same row further ahead, are removed.
 
 Defined results: null texts read as empty; a null doc_id counts as larger than
-all others; rows with equal doc_ids do not remove each other's bytes; an empty
-table gives no rows.
+all others; rows with equal doc_ids do not remove each other's bytes; very long
+texts are read whole, one at a time in a task; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ the ones that are not held out.
 
 Defined results: null and empty texts have all statistics 0 and get a score
 like any other; without labels every score is 0.5; a doc_id with several labels
-counts with their mean, rounded; equal doc_ids are separate rows; an empty table
-gives no rows.
+counts with their mean, rounded; equal doc_ids are separate rows; very long texts
+are measured whole, one at a time in a task; an empty table gives no rows.
 """
 
 from __future__ import annotations

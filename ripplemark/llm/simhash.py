@@ -15,7 +15,8 @@ is a task of its own; no task grows with a group of copies.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a null doc_id sorts after all others and gets the least doc_id of its
-component; equal doc_ids are separate rows; an empty table gives no rows.
+component; equal doc_ids are separate rows; very long texts are hashed whole, one
+at a time in a task; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ smaller doc_id are removed, judged on the input.
 
 Defined results: null and empty texts have no words and stay; a null doc_id
 counts as larger than all others; rows with equal doc_ids do not remove each
-other's words; an empty table gives no rows.
+other's words; very long texts are read whole, one at a time in a task; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

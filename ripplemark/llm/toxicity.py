@@ -17,7 +17,8 @@ SEEN of their toxic ones at least, which bounds its size.
 Defined results: null and empty texts have no matches and the score of a text
 without any; without labels the lexicon is empty and every score is 0.5;
 conflicting labels of a doc_id count with their mean, rounded; equal doc_ids are
-separate rows; an empty table gives no rows.
+separate rows; very long texts are matched whole, one at a time in a task; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -573,6 +573,12 @@ def test_long_texts_of_every_operator(spark):
     assert got[1].fingerprint == got[3].fingerprint and got[1].n_chars == len(long)
     page = f"<body><nav>menu</nav><article><p>{long}</p></article>"
     assert html_text.main_text(page) == long
+    sized = frame(spark, [(1, long, "a"), (2, "short text", "a"), (3, long, None)], f"{DOCS}, source string")
+    assert sorted((r.doc_id, r.size) for r in mixing.mix(sized).collect()) == [(1, 120_000), (2, 2), (3, 120_000)]
+    stats = {r.doc_id: r for r in quality.statistics(docs).collect()}
+    assert stats[1][1:] == stats[3][1:] != stats[2][1:]
+    found = licenses.scan(frame(spark, [(1, f"{long} released under the mit license")])).collect()
+    assert [(r.n_words, r.labels) for r in found] == [(120_005, "mit")]
 
 
 def test_pages_cut_inside_a_tag_leave_no_markup():
