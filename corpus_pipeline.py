@@ -8,8 +8,8 @@ or where docs is no such table, a number in a written copy.
 
 Null and equal doc_ids are rows like others, as each stage's operator says; null
 and empty texts are judged by their statistics and, where kept, stand for one
-near-duplicate group; other columns are handed on whatever they are named; an
-empty table stays empty.
+near-duplicate group; very long texts are read whole, one at a time in a task; other
+columns are handed on whatever they are named; an empty table stays empty.
 """
 
 from __future__ import annotations
