@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def _ready(spark: SparkSession) -> None:
     """Sets spark.checkpoint.dir; where that is unset, on one machine, to a temporary folder."""
     sc = spark.sparkContext
@@ -26,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder's path in the one that driver and executors share."""
+    """A new folder's path in the one that driver and executors share; release() removes it."""
     _ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all folders made in this process so far, and tells their number. Call it when no DataFrame that reads them is needed any more, such as after a result has been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.functions.lineage import cut
 from ripplemark.functions.numeric import mid_rank, quantised
+from ripplemark.functions.ranking import few, ntiles, ranked_values
 
 
 def lag_signal(signal: DataFrame, lag: int = 1) -> DataFrame:
@@ -20,9 +22,12 @@ def rebalance_dates(calendar: DataFrame, every: str = "month") -> DataFrame:
     return calendar.groupBy(F.date_trunc(every, "dt").cast("date").alias("period")).agg(F.min("dt").alias("dt"))
 
 
-def bucket(signal: DataFrame, q: int = 5) -> DataFrame:
-    """Per date q buckets by quantised score, then entity."""
-    return signal.withColumn("bucket", F.ntile(q).over(Window.partitionBy("dt").orderBy(quantised(F.col("score")), "ent")))
+def bucket(signal: DataFrame, q: int = 5, spread: bool = False) -> DataFrame:
+    """Per date q buckets by quantised score, then entity; `spread` deals a date's entities to many tasks, for cross-sections that one cannot sort."""
+    if not spread:
+        return signal.withColumn("bucket", F.ntile(q).over(Window.partitionBy("dt").orderBy(quantised(F.col("score")), "ent")))
+    rows = cut(signal.withColumn("_order", quantised(F.col("score"))))
+    return ntiles(rows, ["dt"], ["_order", "ent"], q).drop("_order")
 
 
 def weights(buckets: DataFrame, how: str = "equal") -> DataFrame:
@@ -93,12 +98,21 @@ def vs_benchmark(returns: DataFrame, market: DataFrame, col: str = "net", ppy: i
     return by.select("bucket", "n", (F.col("my") - beta * F.col("mx")).alias("alpha"), beta.alias("beta"), "active", (F.col("sd") * ppy**0.5).alias("tracking_error"), F.when(F.col("sd") > 0, F.col("active") / F.col("sd") * ppy**0.5).alias("information_ratio"))
 
 
-def information_coefficient(signal: DataFrame, rets: DataFrame) -> DataFrame:
-    """Per date the rank correlation of score and return, with mid-ranks."""
+def _mid_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with the mid-rank of a value within its date: ranks are of distinct values, dealt to many tasks."""
+    ranks = cut(ranked_values(rows, ["dt"], value).select(F.col("dt").alias("_dt"), F.col(value).alias("_v"), mid_rank(F.col("rnk"), F.col("n")).alias(name)))
+    return rows.join(few(ranks), F.col("dt").eqNullSafe(F.col("_dt")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_dt", "_v")
+
+
+def information_coefficient(signal: DataFrame, rets: DataFrame, spread: bool = False) -> DataFrame:
+    """Per date the rank correlation of score and return, with mid-ranks; `spread` as in bucket()."""
     rows = signal.select("ent", "dt", quantised(F.col("score")).alias("score")).join(rets.select("ent", "dt", quantised(F.col("ret")).alias("ret")).filter("ret IS NOT NULL"), ["ent", "dt"])
-    by = Window.partitionBy("dt")
-    rank = lambda c: mid_rank(F.rank().over(by.orderBy(c)), F.count("*").over(Window.partitionBy("dt", c)))
-    ranked = rows.select("dt", rank("score").alias("a"), rank("ret").alias("b"))
+    if spread:
+        ranked = _mid_ranks(_mid_ranks(cut(rows.select("dt", "score", "ret")), "score", "a"), "ret", "b")
+    else:
+        by = Window.partitionBy("dt")
+        rank = lambda c: mid_rank(F.rank().over(by.orderBy(c)), F.count("*").over(Window.partitionBy("dt", c)))
+        ranked = rows.select("dt", rank("score").alias("a"), rank("ret").alias("b"))
     out = ranked.groupBy("dt").agg(F.count("*").alias("n"), F.regr_sxy("a", "b").alias("sxy"), F.regr_sxx("a", "b").alias("sxx"), F.regr_syy("a", "b").alias("syy"))
     return out.select("dt", "n", F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("ic"))
 

@@ -243,6 +243,11 @@ def _(s, d):
     return bt.bucket(signal(s, d)).select("ent", "dt", "bucket")
 
 
+@query("bt_bucket_spread", sql("SELECT ent, dt, bucket FROM buckets", "buckets"))
+def _(s, d):
+    return bt.bucket(signal(s, d), spread=True).select("ent", "dt", "bucket")
+
+
 @query("bt_weights_equal", sql(f"SELECT ent, dt, bucket, {q('weight')} AS weight FROM weights", "weights"))
 def _(s, d):
     return rounded(weighted(s, d), "weight").select("ent", "dt", "bucket", "weight")
@@ -310,6 +315,12 @@ def _(s, d):
     return rounded(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple")), "ic")
 
 
+@query("bt_information_coefficient_spread", Q["bt_information_coefficient"][1])
+def _(s, d):
+    p = cut(fx.panel(s, d))
+    return rounded(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple"), spread=True), "ic")
+
+
 @query("bt_ic_summary", sql(f"SELECT count(ic) AS n_dates, {q('avg(ic)')} AS mean, {q('stddev_samp(ic)')} AS sd, {q('avg(ic) / stddev_samp(ic) * sqrt(count(ic))')} AS t FROM (SELECT CASE WHEN sxx > 0 AND syy > 0 THEN ic END AS ic FROM ({IC}))", "signal", "simple"))
 def _(s, d):
     p = cut(fx.panel(s, d))

@@ -76,3 +76,18 @@ def test_stream_intake_drops_repeats(spark, tmp_path):
     q = intake.dedup_intake(intake.read_stream(spark, str(tmp_path / "in"), a.schema)).writeStream.format("memory").queryName("intake").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("intake").count() == 2
+
+
+def test_written_tables_are_released(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from ripplemark.functions import lineage
+
+    lineage.cut(spark.range(3))
+    path = Path(urlparse(lineage._made[-1]).path)
+    assert list(path.glob("*.parquet"))
+    kept = lineage._made[:-1]
+    lineage._made[:] = lineage._made[-1:]
+    assert lineage.release(spark) == 1 and not path.exists() and lineage.release(spark) == 0
+    lineage._made[:] = kept

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ripplemark.functions import quantiles, ranking
+from ripplemark.operators import backtest as bt
 from ripplemark.operators import eventstudy as es
 from ripplemark.operators import exposure as gx
 from ripplemark.operators import quality as qc
@@ -129,6 +130,15 @@ def test_car_by_exposure_equals_ntile(spark):
     assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()})
 
 
+def test_spread_cross_sections_equal_the_windows(spark):
+    rng = random.Random(4)
+    rows = [(e, d, rng.choice([0.1, 0.2, rng.random()]), rng.choice([0.0, rng.random(), None])) for d in range(3) for e in range(150)]
+    df = spark.createDataFrame(rows, "ent int, dt int, score double, ret double").cache()
+    assert same(bt.bucket(df, 7, spread=True), bt.bucket(df, 7))
+    value = lambda spread: {r.dt: (r.n, round(r.ic, 9)) for r in bt.information_coefficient(df.drop("ret"), df.drop("score"), spread).collect()}
+    assert value(True) == value(False)
+
+
 @pytest.mark.parametrize("name", ["qc_quantiles", "qc_outliers", "kg_stats"])
 def test_no_percentile_over_a_group(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString().lower()
