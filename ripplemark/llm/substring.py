@@ -75,10 +75,15 @@ def _kept_rows(unit: Unit):
     return run
 
 
-def dedup(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
-    """Every row of docs(doc_id, text, ...), its other columns as `row`, with n_words, n_removed, kept_sha256 and rest: the kept words joined by one space, null where none went."""
-    rows = packed(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
-    rows = staged(rows)
+def dedup(docs: DataFrame, unit: Unit = UNIT, key: str | None = None) -> DataFrame:
+    """Every row of docs(doc_id, text, ...), its other columns as `row`, with n_words, n_removed, kept_sha256 and rest: the kept words joined by one space, null where none went.
+
+    key: a column with a number for each row, the same whenever docs is read;
+    without one, rows are numbered in a written copy of the table.
+    """
+    rid = F.col(f"`{key}`") if key else F.monotonically_increasing_id()
+    rows = packed(docs, "doc_id", "text", *([key] if key else [])).select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
+    rows = rows if key else staged(rows)
     found = repeats(rows.select("rid", "doc_id", "text"), unit, match)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("rid").schema.fields)
     return rows.join(found, "rid", "left").select("doc_id", "text", "row", "known", "spans").mapInArrow(_kept_rows(unit), f"{own}, n_words bigint, n_removed bigint, kept_sha256 string, rest string")
