@@ -77,13 +77,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that a smaller doc_id has; those that consist of such passages go."""
-    out = dedup(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    text = F.coalesce("rest", "text")
-    out = out.withColumn("text", text)
+    out = dedup(_numbered(docs), key="rid").filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    own = {c: F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"row.`{c}`") if c in READ else F.col(f"row.row.`{c}`") for c in docs.columns}
+    own["text"] = F.coalesce("rest", "text")
     if "n_chars" in docs.columns:
-        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("row", F.col("row").withField("n_chars", F.when(F.col("n_removed") > 0, n_chars).otherwise(F.col("row.n_chars"))))
-    return unpacked(out, docs, "doc_id", "text")
+        n_chars = F.length(own["text"]).cast(docs.schema["n_chars"].dataType)
+        own["n_chars"] = F.when(F.col("n_removed") > 0, n_chars).otherwise(own["n_chars"])
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
