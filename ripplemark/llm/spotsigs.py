@@ -8,9 +8,9 @@ Likeness is the Jaccard index of two sets.  Sets whose sizes differ too much for
 a wanted likeness need no comparison, which similar_pairs() uses: sets are
 partitioned by length, and of each only the rarest signatures are indexed.
 
-The query compares given pairs at any likeness, so that lengths prune nothing
-there: each text with an edited one, whose tail is replaced by the head of the
-next document, and with that document.  Documents are dealt to ranges of doc_id;
+The query joins all documents by set length (spot_groups.py), and compares given
+pairs at any likeness: each text with an edited one, whose tail is replaced by
+the head of the next document, and with that document.  Documents are dealt to ranges of doc_id;
 the last document of a range meets a copy of the first of the next.
 
 Defined results: null texts read as empty, and two empty texts are alike (1); a
@@ -100,32 +100,52 @@ def _one(texts: list[str]) -> list[np.ndarray]:
     return [s for low, high, buf, offsets in t.chunks(pa.array(texts, pa.string())) for s in signatures(buf, offsets)]
 
 
-def _compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc_id, text, own) of a bucket by descending doc_id; each own row is compared with the row behind it."""
-    held: list[tuple[int, int, str, bool]] = []
-    for batch in batches:
-        for low, high, *_ in t.chunks(batch.column("text")):
-            cols = [batch.column(c).slice(low, high - low).to_pylist() for c in ("bucket", "doc_id", "text", "own")]
-            rows = [*held, *((b, d, x or "", o) for b, d, x, o in zip(*cols, strict=True))]
-            held = rows[-1:]
-            out = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and a[3]]
-            edited = [a[2][: len(a[2]) - len(a[2]) // 2] + b[2][: len(a[2]) // 2] for a, b in out]
-            sigs = _one([x[2] for x in rows])
-            place = {id(x): s for x, s in zip(rows, sigs, strict=True)}
-            esigs = _one(edited)
-            yield pa.RecordBatch.from_pydict(
-                {
+def _compared_rows(grouped: bool):
+    """Rows (bucket, doc_id, text, own, tag, component_id) of a bucket by descending doc_id; each own row is compared with the row behind it.
+
+    A tag is no document: it carries the group of the rows behind it that have its doc_id and text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, str, bool, int]] = []
+        group = None
+        for batch in batches:
+            for low, high, *_ in t.chunks(batch.column("text")):
+                cols = [batch.column(c).slice(low, high - low).to_pylist() for c in ("bucket", "doc_id", "text", "own", "tag", "component_id")]
+                rows = held
+                for b, d, x, o, tag, c in zip(*cols, strict=True):
+                    if tag:
+                        group = c
+                    else:
+                        rows.append((b, d, x or "", o, group))
+                held = rows[-1:]
+                out = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and a[3]]
+                if not out:
+                    continue
+                edited = [a[2][: len(a[2]) - len(a[2]) // 2] + b[2][: len(a[2]) // 2] for a, b in out]
+                sigs = _one([x[2] for x in rows])
+                place = {id(x): s for x, s in zip(rows, sigs, strict=True)}
+                esigs = _one(edited)
+                columns = {
                     "doc_id": pa.array([a[1] for a, _ in out], pa.int64()), "n_chars": pa.array([len(a[2]) for a, _ in out], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
                     "fingerprint": pa.array([render(place[id(a)]) for a, _ in out], pa.string()), "edited_fingerprint": pa.array([render(s) for s in esigs], pa.string()),
                     "near_edited": pa.array([jaccard(place[id(a)], s) for (a, _), s in zip(out, esigs, strict=True)], pa.float64()),
                     "near_next": pa.array([jaccard(place[id(a)], place[id(b)]) for a, b in out], pa.float64()),
-                }
-            )
+                }
+                if grouped:
+                    columns["component_id"] = pa.array([a[4] for a, _ in out], pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """Each row of docs(doc_id, text) compared with its edited text and with the next document, by descending doc_id."""
+def edited(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Each row of docs(doc_id, text) compared with its edited text and with the next document, by descending doc_id.
+
+    With groups(doc_id, text_a, component_id) of the same documents, where text_a is
+    the xxhash64 of the text, each row also tells its component_id.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"none": F.col("doc_id").isNull(), "h": F.xxhash64("text")})
@@ -141,25 +161,36 @@ def edited(docs: DataFrame) -> DataFrame:
     share = max(1, total // n)
     many = rows.groupBy("none", "doc_id").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * share)
     many = F.broadcast(staged(many.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), F.least(F.lit(1 << 20), F.ceil(F.col("c") / share)).alias("cuts"))))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(many, ["none", "id"], "left")
     sub = F.floor((F.lit(0.5) - F.col("h") / float(1 << 64)) * F.coalesce("cuts", F.lit(1)))  # the largest hashes first
-    rows = rows.withColumn("bucket", bucket + F.least(sub, F.coalesce("cuts", F.lit(1)) - 1)).select("bucket", "doc_id", "none", "id", "h", "text")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(many, ["none", "id"], "left")
+        return df.withColumn("bucket", bucket + F.least(sub, F.coalesce("cuts", F.lit(1)) - 1)).drop("cuts")
+
+    rows = dealt(rows)
     # the first row of each bucket, in a copy, also goes to the bucket before it, and the very first one to the last
     heads = staged(rows.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "none", "h", "text"), F.struct("none", "id", "h", "text")).alias("head")))
     order = sorted(r.bucket for r in heads.select("bucket").collect())  # a number for each bucket
     own = rows.select("bucket", "doc_id", "none", "h", "text", F.lit(True).alias("own"))
+    if groups is not None:
+        tags = groups.groupBy(F.col("doc_id"), F.col("text_a").alias("h")).agg(F.min("component_id").alias("component_id"))
+        own = own.unionByName(dealt(tags.withColumn("none", F.col("doc_id").isNull())).select("bucket", "doc_id", "none", "h", F.lit("").alias("text"), F.lit(True).alias("own"), F.lit(True).alias("tag"), "component_id"), allowMissingColumns=True)
     if order:
         before = F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, order[i - 1])])[F.col("bucket")]
-        own = own.unionByName(heads.select(before.alias("bucket"), "head.*", F.lit(False).alias("own")))
-    return _compared(own.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc("none"), F.desc("doc_id"), F.desc("h"), F.desc("text")))
-
-
-def _compared(rows: DataFrame) -> DataFrame:
-    return rows.select("bucket", "doc_id", "text", "own").mapInArrow(_compared_rows, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        own = own.unionByName(heads.select(before.alias("bucket"), "head.*", F.lit(False).alias("own")), allowMissingColumns=True)
+    if groups is None:
+        own = own.select("*", F.lit(None).cast("boolean").alias("tag"), F.lit(None).cast("long").alias("component_id"))
+    own = own.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc("none"), F.desc("doc_id"), F.desc("h"), F.desc("tag"), F.desc("text"))
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + (", component_id bigint" if groups is not None else "")
+    return own.select("bucket", "doc_id", "text", "own", "tag", "component_id").mapInArrow(_compared_rows(groups is not None), schema)
 
 
 def op5_spot_signatures(spark, sf_dir: str) -> DataFrame:
-    return edited(columns(table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+    """component_id is the least doc_id of those that links of a likeness of 0.8 or more lead to, itself included."""
+    from .spot_groups import groups
+
+    docs = columns(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    return edited(docs, groups(docs))
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
