@@ -42,12 +42,18 @@ from .superminhash import BLOCK, LINKS, WEIGHT, _in_blocks, _near
 
 #: Likeness from which two sets are linked, as a fraction.
 SHARE = (80, 100)
-BITS = 512
+BITS, WIDE = 512, 4096  # where sets meet, and where they are compared in full
+
+#: Keys with at most so many sets are compared together, a batch at a time.
+FEW = 32
 
 #: The order of signatures: one of so many texts is counted; signatures counted LEAST times or more are known, at most KNOWN of them.
 ORDER, LEAST, KNOWN = 16, 4, 200_000
 
-RECORD = np.dtype([("n", "<i8"), ("bits", "<u8", BITS // 64)])  # length and differing bits of a set
+
+def record(bits: int = BITS) -> np.dtype:
+    """Length and bits of a set."""
+    return np.dtype([("n", "<i8"), ("bits", "<u8", bits // 64)])
 
 
 def prefix_length(n: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
@@ -55,10 +61,14 @@ def prefix_length(n: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
     return n + (-share[0] * n) // share[1] + 1
 
 
-def odd_bits(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set, BITS bits: whether an odd number of its signatures fall on the bit."""
-    odd = [np.bincount(s % BITS, minlength=BITS).astype(np.uint8) & 1 for s in sets]
-    return np.packbits(np.array(odd, np.uint8).reshape(len(sets), BITS), axis=1).view("<u8")
+def records(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """For each set its length and, for each bit, whether an odd number of its signatures fall on it."""
+    odd = np.zeros((len(sets), bits), np.uint8)
+    for row, own in zip(odd, sets, strict=True):
+        row[:] = np.bincount(own % bits, minlength=bits) & 1
+    out = np.zeros(len(sets), record(bits))
+    out["n"], out["bits"] = [len(own) for own in sets], np.packbits(odd, axis=1).view("<u8")
+    return out
 
 
 def first_signatures(sets: list[np.ndarray], known: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
@@ -104,15 +114,14 @@ def _signed(order):
             for low, high, buf, offsets in t.chunks(batch.column("text")):
                 sets = signatures(buf, offsets)
                 names = [_name(s) for s in sets]
-                record = np.zeros(len(sets), RECORD)
-                record["n"], record["bits"] = [len(s) for s in sets], odd_bits(sets)
+                known_by = records(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(low, high - low) for c in others),
                         pa.array([n[0] for n in names], pa.int64()),
                         pa.array([n[1] for n in names], pa.int64()),
-                        pa.array(record["n"]),
-                        pa.array([r.tobytes() for r in record], pa.binary()),
+                        pa.array(known_by["n"]),
+                        pa.array([r.tobytes() for r in known_by], pa.binary()),
                         pa.array([s.view(np.int32) for s in first_signatures(sets, known, often)], pa.list_(pa.int32())),
                     ],
                     names=["doc_id", "text_a", "text_b", "a", "b", "n", "places", "sigs"],
@@ -121,27 +130,29 @@ def _signed(order):
     return run
 
 
-def unlike(record: np.ndarray, i: int, among: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
-    """Which of `among` lengths or differing bits tell to be less alike than `share`."""
-    n, m = record["n"][i], record["n"][among]
-    apart = np.bitwise_count(record["bits"][among] ^ record["bits"][i]).sum(axis=1, dtype=np.int64)
+def unlike(known: np.ndarray, i, among: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
+    """Which of the sets `among` are, by length or differing bits, less alike than `share` to the i-th, or each to its own one of i."""
+    n, m = known["n"][i], known["n"][among]
+    apart = np.bitwise_count(known["bits"][among] ^ known["bits"][i]).sum(axis=1, dtype=np.int64)
     short = share[1] * np.minimum(n, m) < share[0] * np.maximum(n, m)
     return short | ((share[0] + share[1]) * apart > (share[1] - share[0]) * (n + m))
 
 
-def spanning(record: np.ndarray, sets: list[np.ndarray] | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning(known: np.ndarray, sets: list[np.ndarray] | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the parts of sets that may be alike, or with full sets, are; with `side`, only pairs of different sides are compared."""
-    n = len(record)
+    n = len(known)
     parts, links, places = np.arange(n), [], np.arange(n)
+    wide = records(sets, WIDE) if sets is not None else None
     for i in range(n):
         among = places[i + 1 :][parts[i + 1 :] != parts[i]]
         if side is not None:
             among = among[side[among] != side[i]]
         if not len(among):
             continue
-        close = among[~unlike(record, i, among)]
+        close = among[~unlike(known, i, among)]
         if sets is not None and len(close):
-            close = _near(sets, i, close, SHARE)
+            close = close[~unlike(wide, i, close)]
+            close = _near(sets, i, close, SHARE) if len(close) else close
         for j in close.tolist():
             if parts[j] != parts[i]:
                 links.append((i, j))
@@ -149,28 +160,59 @@ def spanning(record: np.ndarray, sets: list[np.ndarray] | None = None, side: np.
     return links
 
 
+def spanning_few(known: np.ndarray, start: np.ndarray, lens: np.ndarray, side: np.ndarray, crossed: np.ndarray) -> list[tuple[int, int]]:
+    """As spanning() without sets, for many short runs of rows; of a crossed run, only pairs of different sides are compared."""
+    part: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := part.get(x, x)) != x:
+            x = up
+        return x
+
+    links = []
+    for n in np.unique(lens).tolist():
+        i, j = np.triu_indices(n, 1)
+        base = start[lens == n]
+        i, j = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
+        ok = ~crossed[i] | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        near = ~unlike(known, i, j)
+        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            a, b = top(x), top(y)
+            if a != b:
+                links.append((x, y))
+                part[max(a, b)] = min(a, b)
+    return links
+
+
 def _links(with_sets: bool):
     """Links of each run of equal (g, h, low, high) in rows sorted by these."""
 
-    def emit(held: list[dict]) -> pa.RecordBatch:
-        record = np.frombuffer(b"".join(r["places"] for r in held), RECORD)
-        sets = [np.frombuffer(r["elements"], np.uint32) for r in held] if with_sets else None
-        side = np.array([r["side"] for r in held]) if held[0]["low"] != held[0]["high"] else None
-        out = [(held[i]["a"], held[i]["b"], held[j]["a"], held[j]["b"]) for i, j in spanning(record, sets, side)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "c", "d"])
+    def emit(rows: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        lens = np.diff(np.r_[start, rows.num_rows])
+        known = np.frombuffer(b"".join(rows["places"].to_pylist()), record())
+        side = rows["side"].to_numpy()
+        crossed = rows["low"].to_numpy() != rows["high"].to_numpy()
+        few = (lens > 1) & (lens <= FEW) & (not with_sets)
+        links = spanning_few(known, start[few], lens[few], side, crossed)
+        for low, n in zip(start[(lens > 1) & ~few].tolist(), lens[(lens > 1) & ~few].tolist(), strict=True):
+            sets = [np.frombuffer(x, np.uint32) for x in rows["elements"].slice(low, n).to_pylist()] if with_sets else None
+            links += [(low + i, low + j) for i, j in spanning(known[low : low + n], sets, side[low : low + n] if crossed[low] else None)]
+        one, other = np.array(links, np.int64).reshape(-1, 2).T
+        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[one], b[one], a[other], b[other])], names=["a", "b", "c", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held = None
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                for r in batch.slice(low, 256).to_pylist():
-                    if held and any(r[c] != held[0][c] for c in ("g", "h", "low", "high")):
-                        if len(held) > 1:
-                            yield emit(held)
-                        held = []
-                    held.append(r)
-        if len(held) > 1:
-            yield emit(held)
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([rows[c].to_numpy() for c in ("g", "h", "low", "high")])
+            start = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1]
+            if len(start) > 1:  # the last run may go on in the next batch
+                yield emit(rows.slice(0, start[-1]), start[:-1])
+            held = rows.slice(start[-1])
+        if held is not None and held.num_rows:
+            yield emit(held, np.zeros(1, np.int64))
 
     return run
 

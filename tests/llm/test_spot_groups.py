@@ -78,9 +78,7 @@ def test_a_bound_never_prunes_an_alike_pair():
     for n in (1, 2, 5, 30, 700, 3000):
         own = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
         sets = [own, *(np.unique(np.r_[own[k:], rng.integers(0, 1 << 32, m, dtype=np.uint32)]) for k in range(0, max(1, n // 4), max(1, n // 20)) for m in (0, 1, n // 9))]
-        record = np.zeros(len(sets), spot_groups.RECORD)
-        record["n"], record["bits"] = [len(s) for s in sets], spot_groups.odd_bits(sets)
-        pruned = spot_groups.unlike(record, 0, np.arange(len(sets)))
+        pruned = np.array([spot_groups.unlike(spot_groups.records(sets, bits), 0, np.arange(len(sets))) for bits in (spot_groups.BITS, spot_groups.WIDE)]).any(axis=0)
         first = [set(s.tolist()) for s in spot_groups.first_signatures(sets, own[:3], np.array([9, 5, 7])[: len(own[:3])])]
         for j, s in enumerate(sets):
             if spotsigs.jaccard(own, s) >= 0.8:
