@@ -17,6 +17,10 @@ of length - k symbols to both sides.
    the windows of an anchor with many contexts in one piece of text, a passage
    that goes through large parts of the corpus; such an anchor's contexts bypass
    its task, and rows of equal contexts are combined before the shuffle.
+4. An anchor that goes through so many pieces that its rows would weigh on one
+   task (frequent(), counted in a part of the texts) is dealt by its contexts,
+   each over SALTS tasks, from every piece; the first document of a context in
+   each of these tasks sends its symbols to the aggregation of 3.
 
 Any window that any two documents share has one anchor, hence one group, and
 some first document sends it there: no repeat is lost, and every repeat found is
@@ -46,6 +50,7 @@ BATCH, CAP = 1 << 18, 1 << 19
 HOT = 16  # contexts of an anchor in a piece of text, one for each row of equal doc_ids; an anchor with more belongs to no group, but to the aggregation
 WIDE = -(1 << 63)
 OFTEN = 1000
+SHARE, MANY, PER_TASK, SALTS = 16, 1024, 10, 64  # frequent anchors: in one of SHARE texts, MANY rows and over 1 / PER_TASK of a task's; they only change where rows are dealt
 
 
 class Unit(NamedTuple):
@@ -93,13 +98,42 @@ def anchors(unit: Unit, c: Cut) -> Anchors:
     return Anchors(at, doc, low, high, grams[at].view(np.int64), t.mix(c.roller.spans(c.prefix, low, high) + (at - low).astype(np.uint64)).view(np.int64))
 
 
-def _anchor_rows(unit: Unit):
-    """Rows (key, anchor, kind, context, doc_id, rid) of a batch, combined before they are shuffled by key.
+def _anchor_counts(unit: Unit):
+    """Rows (anchor, n) of a piece: the anchor's distinct contexts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offsets in t.chunks(batch.column("text")):
+                a = anchors(unit, cut(unit, buf, offsets))
+                first = np.unique(a.context, return_index=True)[1]
+                anchor, n = np.unique(a.anchor[first], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+    return run
+
+
+def frequent(docs: DataFrame, unit: Unit, parts: int) -> np.ndarray:
+    """Anchors, sorted, with over 1 / (PER_TASK * parts) of the rows of all that have MANY in the counted texts: fewer than PER_TASK * parts, however large the corpus.
+
+    Any set of anchors gives the same results; one that the counted texts miss
+    stays below what they can miss, and its task gets longer by so much.
+    """
+    some = docs.filter(F.pmod(F.xxhash64("rid"), F.lit(SHARE)) == 0).select("text")
+    counts = some.mapInArrow(_anchor_counts(unit), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = staged(counts.filter(F.col("n") >= MANY))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter(F.col("n") * (PER_TASK * parts) > total).select("anchor").collect() if total else []
+    return np.sort(np.array([r.anchor for r in rows], np.int64))
+
+
+def _anchor_rows(unit: Unit, often: np.ndarray):
+    """Rows (key, anchor, kind, context, doc_id, rid) of a batch, combined before they are shuffled by key; often: sorted anchors.
 
     kind 1: a first document of a context in its piece, dealt by anchor.
     kind 2: a later document of the context; it is known already, and dealt by itself.
     kind 3: a first document of an anchor with over HOT of them in the piece, dealt by itself.
     kind 0: tells the other documents of such an anchor so, once for a piece.
+    kind 4: a first document of a context of an anchor that is often met, dealt by the context and one of SALTS numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +152,12 @@ def _anchor_rows(unit: Unit):
                 _, at, n = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
                 hot = np.zeros(len(ctx), bool)
                 hot[firsts] = n[at] > HOT
-                kind = np.where(own > head, 2, np.where(hot, 3, 1))
+                met = _find(anchor, often) >= 0
+                kind = np.where(own > head, 2, np.where(met, 4, np.where(hot, 3, 1)))
                 rows = np.flatnonzero(fresh)
-                marks = np.unique(anchor[hot])
-                key = np.where(kind == 1, anchor, t.mix(ctx.view(np.uint64) ^ rid.view(np.uint64)).view(np.int64))
+                marks = np.unique(anchor[hot & ~met])
+                dealt = np.where(kind == 4, t.mix(rid.view(np.uint64)) % t.U(SALTS), rid.view(np.uint64))
+                key = np.where(kind == 1, anchor, t.mix(ctx.view(np.uint64) ^ dealt).view(np.int64))
                 none = np.zeros(len(marks), np.int64)
                 out = [np.r_[x[rows], y] for x, y in ((key, marks), (anchor, marks), (kind, none), (ctx, none), (own, none), (rid, none))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 2 else pa.int64()) for i, x in enumerate(out)], names=["key", "anchor", "kind", "context", "doc_id", "rid"])
@@ -134,10 +170,10 @@ def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     owner null: the context is known from a smaller doc_id.  Else: the document
     is a first one of the context, and the anchor, whose group is `owner`, has
-    other contexts.  However many rows an anchor has, no more are remembered
+    other contexts (WIDE: or is met too often for a group).  However many rows an anchor has, no more are remembered
     than the rids of its first context's first documents, of equal doc_ids.
     """
-    anchor = context = least = owner = None
+    anchor = context = least = owner = often = None
     waiting: list[int] = []  # the anchor's first rows, while its first context is the only one
     for batch in batches:
         a, k, c, d, r = (batch.column(x).to_numpy() for x in ("anchor", "kind", "context", "doc_id", "rid"))
@@ -149,7 +185,10 @@ def _told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | edge | (k != 1))  # rows whose anchor may be another row's, too
         out: list[tuple] = []
         for x, kind, y, z, rid in zip(a[met].tolist(), k[met].tolist(), c[met].tolist(), d[met].tolist(), r[met].tolist(), strict=True):
-            if kind > 1:
+            if kind == 4:
+                often = often if often and often[:2] == (x, y) else (x, y, z)
+                out.append((rid, y, None if z > often[2] else WIDE))
+            elif kind > 1:
                 out.append((rid, y, None if kind == 2 else WIDE))
             elif kind == 0:
                 anchor, context, owner, waiting = x, None, WIDE, []
@@ -278,7 +317,7 @@ def repeats(docs: DataFrame, unit: Unit, match: Matcher, cap: int = CAP) -> Data
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    seen = docs.mapInArrow(_anchor_rows(unit), "key bigint, anchor bigint, kind int, context bigint, doc_id bigint, rid bigint")
+    seen = docs.mapInArrow(_anchor_rows(unit, frequent(docs, unit, parts)), "key bigint, anchor bigint, kind int, context bigint, doc_id bigint, rid bigint")
     told = seen.repartition(parts, "key").drop("key").sortWithinPartitions("anchor", "kind", "context", "doc_id", "rid").mapInArrow(_told_rows, "rid bigint, context bigint, owner bigint")
     told = staged(told)
     asked = told.filter("owner IS NOT NULL").groupBy("rid").agg(F.collect_list(F.struct("context", "owner")).alias("asked"))

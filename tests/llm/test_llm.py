@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ripplemark.llm import automaton, byte_dedup, decontamination, html_text, licenses, mixing, quality, repeats, simhash, spotsigs, substring, suffix_array, toxicity
 from ripplemark.llm import text as t
@@ -42,10 +43,10 @@ def corpus(seed: int = 5) -> list[tuple]:
 def wide_anchor_rows(hot: int):
     plain = repeats._anchor_rows
 
-    def make(unit):
+    def make(unit, often):
         def run(batches):
             repeats.HOT = hot
-            yield from plain(unit)(batches)
+            yield from plain(unit, often)(batches)
 
         return run
 
@@ -89,8 +90,17 @@ def test_winnowing_keeps_every_window():
         assert p == s + max(i for i in range(9) if w[i] == w.min())
 
 
-@pytest.mark.parametrize(("cap", "hot"), [(None, 16), (200, 16), (None, 1), (200, 0)])
-def test_substring_dedup(spark, cap, hot, monkeypatch):
+def count_frequent(monkeypatch, share: int):
+    """Anchors of over 1 / (4 * share) of the rows count as frequent, which in so small a table none does by itself."""
+    monkeypatch.setattr(repeats, "SHARE", 1)
+    monkeypatch.setattr(repeats, "MANY", 1)
+    monkeypatch.setattr(repeats, "PER_TASK", share)
+
+
+@pytest.mark.parametrize(("cap", "hot", "often"), [(None, 16, 0), (200, 16, 0), (None, 1, 0), (200, 0, 0), (None, 16, 10**9), (None, 1, 100)])
+def test_substring_dedup(spark, cap, hot, often, monkeypatch):
+    if often:
+        count_frequent(monkeypatch, often)
     if hot < 16:  # the limit has to reach the workers, which import the module anew
         monkeypatch.setattr(repeats, "_anchor_rows", wide_anchor_rows(hot))
     if cap:  # every group counts as too large for a task
@@ -115,8 +125,10 @@ def test_substring_dedup(spark, cap, hot, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize(("cap", "hot"), [(None, 16), (200, 16), (None, 1), (200, 0)])
-def test_byte_dedup(spark, cap, hot, monkeypatch):
+@pytest.mark.parametrize(("cap", "hot", "often"), [(None, 16, 0), (200, 16, 0), (None, 1, 0), (200, 0, 0), (None, 16, 10**9), (None, 1, 100)])
+def test_byte_dedup(spark, cap, hot, often, monkeypatch):
+    if often:
+        count_frequent(monkeypatch, often)
     if hot < 16:
         monkeypatch.setattr(repeats, "_anchor_rows", wide_anchor_rows(hot))
     if cap:
@@ -142,6 +154,22 @@ def test_byte_dedup(spark, cap, hot, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_a_passage_of_every_piece_goes_to_many_tasks(spark, monkeypatch):
+    rng, passage = random.Random(31), prose(random.Random(30), 120)
+    rows = [(i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for i in range(300)]
+    docs = frame(spark, rows).repartition(150).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    count_frequent(monkeypatch, 10)
+    often = repeats.frequent(docs, substring.UNIT, 4)
+    assert 0 < len(often) < 40
+    none = np.zeros(0, np.int64)
+    largest = [
+        docs.mapInArrow(repeats._anchor_rows(substring.UNIT, x), "key bigint, anchor bigint, kind int, context bigint, doc_id bigint, rid bigint").groupBy("key").count().agg(F.max("count")).first()[0]
+        for x in (none, often)
+    ]
+    assert largest[0] >= 150
+    assert largest[1] < 20
+
+
 def test_byte_match_without_ends():
     """Long runs without a space, bytes of other scripts, and zero bytes."""
     rng = random.Random(3)
@@ -369,8 +397,10 @@ def named_alike(seed: int = 21) -> list[tuple]:
     return [*docs, (None, shared[0]), (None, None), (None, ""), (7, None), (None, shared[0])]
 
 
-@pytest.mark.parametrize(("cap", "hot"), [(None, 16), (200, 16), (None, 1)])
-def test_null_and_equal_ids_lose_their_own_repeats_only(spark, cap, hot, monkeypatch):
+@pytest.mark.parametrize(("cap", "hot", "often"), [(None, 16, 0), (200, 16, 0), (None, 1, 0), (None, 16, 10**9)])
+def test_null_and_equal_ids_lose_their_own_repeats_only(spark, cap, hot, often, monkeypatch):
+    if often:
+        count_frequent(monkeypatch, often)
     if hot < 16:
         monkeypatch.setattr(repeats, "_anchor_rows", wide_anchor_rows(hot))
     if cap:
