@@ -37,9 +37,12 @@ def weights(buckets: DataFrame, how: str = "equal") -> DataFrame:
     return buckets.join(total, ["dt", "bucket"]).filter("_t > 0").withColumn("weight", mass / F.col("_t")).drop("_t")
 
 
-def portfolio_returns(w: DataFrame, rets: DataFrame) -> DataFrame:
-    """Weighted simple return by (dt, bucket)."""
-    rows = w.select("ent", "dt", "bucket", "weight").join(rets.select("ent", "dt", "ret").filter("ret IS NOT NULL"), ["ent", "dt"])
+def portfolio_returns(w: DataFrame, rets: DataFrame | None = None) -> DataFrame:
+    """Weighted simple return by (dt, bucket); without rets(ent, dt, ret), w has its rows' returns as `ret`, and nothing is joined."""
+    if rets is None:
+        rows = w.filter("ret IS NOT NULL")
+    else:
+        rows = w.select("ent", "dt", "bucket", "weight").join(rets.select("ent", "dt", "ret").filter("ret IS NOT NULL"), ["ent", "dt"])
     return rows.groupBy("dt", "bucket").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"), F.count("*").alias("n"))
 
 

@@ -218,14 +218,15 @@ def weighted(s: SparkSession, d: str, how: str = "equal", panel: DataFrame | Non
 
 
 def gross(s: SparkSession, d: str) -> DataFrame:
-    p = cut(fx.panel(s, d))
-    return bt.portfolio_returns(weighted(s, d, panel=p), ingest.returns(p, "simple"))
+    p = cut(ingest.returns(fx.panel(s, d), "simple"))
+    return bt.portfolio_returns(weighted(s, d, panel=p))
 
 
 def net(s: SparkSession, d: str, panel: DataFrame | None = None) -> DataFrame:
-    p = panel or cut(fx.panel(s, d))
-    w = cut(weighted(s, d, panel=p))
-    return bt.net_returns(bt.portfolio_returns(w, ingest.returns(p, "simple")), bt.turnover(w))
+    """panel: with simple returns, written."""
+    p = panel or cut(ingest.returns(fx.panel(s, d), "simple"))
+    w = cut(weighted(s, d, panel=p).select("ent", "dt", "bucket", "weight", "ret"))
+    return bt.net_returns(bt.portfolio_returns(w), bt.turnover(w))
 
 
 @query("bt_lag_signal", sql(f"SELECT ent, dt, {q('score')} AS score FROM signal WHERE score IS NOT NULL", "signal"))
@@ -301,8 +302,8 @@ def _(s, d):
 
 @query("bt_vs_benchmark", sql(f"SELECT bucket, n, {q('my - sxy / sxx * mx')} AS alpha, {q('sxy / sxx')} AS beta, {q('active')} AS active, {q('sd * sqrt(52.0)')} AS tracking_error, {q('active / sd * sqrt(52.0)')} AS information_ratio FROM (SELECT bucket, count(*) AS n, avg(net) AS my, avg(mret) AS mx, regr_sxx(net, mret) AS sxx, regr_sxy(net, mret) AS sxy, avg(net - mret) AS active, stddev_samp(net - mret) AS sd FROM net JOIN (SELECT dt, avg(ret) AS mret FROM simple GROUP BY dt) m USING (dt) WHERE mret IS NOT NULL GROUP BY bucket)", "net", "simple"))
 def _(s, d):
-    p = cut(fx.panel(s, d))
-    m = ingest.market_return(ingest.returns(p, "simple"))
+    p = cut(ingest.returns(fx.panel(s, d), "simple"))
+    m = ingest.market_return(p)
     return rounded(bt.vs_benchmark(net(s, d, p), m), "alpha", "beta", "active", "tracking_error", "information_ratio")
 
 
