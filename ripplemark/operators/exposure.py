@@ -3,7 +3,8 @@
 Loops are steps of (event, node) rows along the edges, and written tables cut
 their lineage.  A small edge table is broadcast; in a larger one the edges of
 nodes that have very many are cut into parts, and what stands at such a node is
-copied to each part.
+copied to each part.  Leaves of one node go through the loops as one lump, and
+get rows of their own at the end.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.functions.hubs import parted
 from ripplemark.functions.lineage import cut
+from ripplemark.functions.lumps import lumped
 from ripplemark.functions.ranking import few, positions, ranked_values
 
 
@@ -85,6 +87,12 @@ def rwr(p: DataFrame, seeds: DataFrame, c: float = 0.15, iters: int = 15, every:
     With `tol`, these steps also measure by how much any event's scores change in
     a step, summed over nodes, and stop below it; `iters` is then the most.
     """
+    lumps = lumped(p.select("src", "dst", "p"), seeds, same=("p",))
+    return lumps.spread(_walk(lumps.edges, seeds, c, iters, every, tol), "score")
+
+
+def _walk(p: DataFrame, seeds: DataFrame, c: float, iters: int, every: int = 5, tol: float | None = None) -> DataFrame:
+    """rwr() with a row for each event and node that mass reaches at every step."""
     e = parted(p.select("src", "dst", "p"))
     restart = seeds.select("event_id", "node", "w")
     dead = cut(dead_ends(p, seeds))
@@ -154,7 +162,7 @@ def pagerank(p: DataFrame, d: float = 0.85, iters: int = 15, tol: float | None =
     nodes = p.select(F.col("src").alias("node")).union(p.select("dst")).distinct()
     n = nodes.count()
     seeds = nodes.select(F.lit("all").alias("event_id"), "node", F.lit(1.0 / max(1, n)).alias("w"))
-    return rwr(p, cut(seeds), 1 - d, iters, tol=tol).select("node", "score")
+    return _walk(p, cut(seeds), 1 - d, iters, tol=tol).select("node", "score")
 
 
 def closeness(edges: DataFrame, pivots: DataFrame, max_hops: int) -> DataFrame:
