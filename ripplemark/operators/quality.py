@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,9 +97,12 @@ def outliers(df: DataFrame, col: str, by: list[str], k: float = 5.0) -> DataFram
 
 
 def cardinality(df: DataFrame, cols: list[str]) -> DataFrame:
-    aggs = [f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("e", F.count_distinct), ("a", F.approx_count_distinct))]
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"e{i}").alias("exact"), F.col(f"a{i}").alias("approximate")) for i, c in enumerate(cols)]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("c")).select("c.*").withColumn("relative_error", F.when(F.col("exact") > 0, F.abs(F.col("approximate") - F.col("exact")) / F.col("exact")))
+    """Exact and approximate numbers of distinct values; each column's values meet by themselves, without the sketches of the others."""
+    near = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)])
+    near = near.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"a{i}").alias("approximate")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
+    exact = [df.select(F.col(c).alias("v")).distinct().agg(F.count("v").alias("exact")).select(F.lit(c).alias("column_name"), "exact") for c in cols]
+    both = reduce(lambda x, y: x.union(y), exact).join(F.broadcast(near), F.col("column_name") == F.col("_c")).drop("_c")
+    return both.withColumn("relative_error", F.when(F.col("exact") > 0, F.abs(F.col("approximate") - F.col("exact")) / F.col("exact")))
 
 
 def quantiles(df: DataFrame, col: str, qs: list[float], by: list[str]) -> DataFrame:
