@@ -15,11 +15,15 @@ from math import ceil, floor, log, log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.functions.hubs import parted
+from ripplemark.functions.hubs import Edges, parted
 from ripplemark.functions.lineage import cut
 from ripplemark.functions.lumps import lumped
+from ripplemark.functions.numeric import mid_rank
 from ripplemark.functions.ranking import few, positions, ranked_values
 
+#: Nodes that at least so many have edges to send their sketches to all tasks, so many of them at most.
+SENDERS = (1000, 2000)
+
 
 def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(event_id, node, hops): least hops from any of an event's seeds(event_id, node); unreached nodes are absent."""
@@ -183,21 +187,47 @@ def closeness_sketched(edges: DataFrame, max_hops: int, lg_k: int = 12) -> DataF
     A node's sketch counts the distinct nodes within k hops; a turn unites a
     node's with those of the nodes it has edges to, so that all nodes are
     measured in max_hops turns.  A count is off by about 1.04 / 2 ** (lg_k / 2).
+
+    A leaf has no sketch: within k hops of it is what is within k - 1 of its
+    node.  Sketches of the nodes that very many have edges to are few, and go to
+    all tasks; only those of other nodes go along edges.
     """
     e = cut(edges.select("src", "dst").distinct())
-    back = parted(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    now = cut(nodes.groupBy("node").agg(F.hll_sketch_agg("node", lg_k).alias("s")).withColumns({"size": F.lit(1.0), "sum": F.lit(0.0)}))
-    n = now.count()
+    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    n = nodes.count()
+    lumps = lumped(e, nodes.limit(0))
+    inner, leaves = nodes, None
+    if lumps.members is not None:
+        leaves = lumps.members.select("node", "at")
+        inner = nodes.join(few(leaves.select(F.col("node").alias("_l"))), F.col("node") == F.col("_l"), "left_anti")
+    ends = cut(lumps.rest.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") >= SENDERS[0]).orderBy(F.desc("n"), "dst").limit(SENDERS[1]))
+    hubs = F.broadcast(ends.select(F.col("dst").alias("_hub")))
+    pulled = cut(lumps.rest.join(hubs, F.col("dst") == F.col("_hub"), "left_semi"))
+    back = parted(cut(lumps.rest.join(hubs, F.col("dst") == F.col("_hub"), "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    zero = {"size": F.lit(1.0), "sum": F.lit(0.0), "leaf": F.lit(1.0 if max_hops > 0 else 0.0)}
+    now = cut(inner.groupBy("node").agg(F.hll_sketch_agg("node", lg_k).alias("s")).withColumns(zero))
     for k in range(1, max_hops + 1):
-        sent = back.step(now.select("node", "s")).select(F.col("dst").alias("node"), "s")
-        united = sent.unionByName(now.select("node", "s")).groupBy("node").agg(F.hll_union_agg("s").alias("t"))
-        grown = united.join(now.drop("s"), "node").withColumn("more", F.greatest(F.lit(0.0), F.hll_sketch_estimate("t") - F.col("size")))
-        now = cut(grown.select("node", F.col("t").alias("s"), (F.col("size") + F.col("more")).alias("size"), (F.col("sum") + F.col("more") / k).alias("sum"), "more"))
+        state = now.select("node", "s")
+        far = F.broadcast(state.join(hubs, F.col("node") == F.col("_hub")).select("_hub", "s"))
+        got = [pulled.repartition("src").join(far, F.col("dst") == F.col("_hub")).groupBy("src").agg(F.hll_union_agg("s").alias("t")), back.step(state).groupBy("dst").agg(F.hll_union_agg("s").alias("t"))]
+        if k == 1 and leaves is not None:
+            got.append(leaves.groupBy("at").agg(F.hll_sketch_agg("node", lg_k).alias("t")))
+        grown, t = now, F.col("s")
+        for i, g in enumerate(got):
+            grown = grown.join(g.toDF(f"_n{i}", f"_t{i}"), F.col("node") == F.col(f"_n{i}"), "left")
+            t = F.hll_union(t, F.coalesce(f"_t{i}", "s"))
+        grown = grown.select("node", t.alias("s"), "size", "sum", "leaf").withColumn("more", F.greatest(F.lit(0.0), F.hll_sketch_estimate("s") - F.col("size")))
+        size = F.col("size") + F.col("more")
+        later = F.lit(0.0) if k == max_hops else (F.greatest(F.lit(0.0), size - 2) if k == 1 else F.col("more")) / (k + 1)  # a leaf finds itself and its node before
+        now = cut(grown.select("node", "s", size.alias("size"), (F.col("sum") + F.col("more") / k).alias("sum"), (F.col("leaf") + later).alias("leaf"), "more"))
         if now.filter("more > 0").isEmpty():
             break
         now = now.drop("more")
-    return now.select("node", (F.least(F.col("sum"), F.lit(float(max(0, n - 1)))) / max(1, n - 1)).alias("closeness"))
+    sums = now.select("node", "sum")
+    if leaves is not None:
+        along = parted(leaves.select(F.col("at").alias("src"), F.col("node").alias("dst")))
+        sums = sums.unionByName(along.step(now.select("node", "leaf")).select(F.col("dst").alias("node"), F.col("leaf").alias("sum")))
+    return sums.select("node", (F.least(F.col("sum"), F.lit(float(max(0, n - 1)))) / max(1, n - 1)).alias("closeness"))
 
 
 def _path_counts(e: DataFrame, starts: DataFrame, max_hops: int) -> list[DataFrame]:
