@@ -27,7 +27,13 @@ SENDERS = (1000, 2000)
 
 def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(event_id, node, hops): least hops from any of an event's seeds(event_id, node); unreached nodes are absent."""
-    e = parted(edges.select("src", "dst").distinct())
+    lumps = lumped(cut(edges.select("src", "dst").distinct()), seeds)
+    return lumps.spread(_hops(lumps.edges, seeds, max_hops))
+
+
+def _hops(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+    """hop_distance() along written edges(src, dst) that are distinct."""
+    e = parted(edges)
     seen = cut(seeds.select("event_id", "node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for k in range(1, max_hops + 1):
