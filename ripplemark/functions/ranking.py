@@ -62,14 +62,15 @@ def ntiles(df: DataFrame, by: list[str], order: list[str | Column], q: int, name
     return rows.withColumn(name, (number + 1).cast("int")).drop("_pos", "_n")
 
 
-def ranked_values(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+def ranked_values(df: DataFrame, by: list[str], value: str, descending: bool = False, rows: str | None = None) -> DataFrame:
     """(by..., value, n, rnk, dense, total): for each distinct value of a group its rows, rank() and dense_rank(), and the group's rows.
 
     Equal values are counted before anything is sorted, so ties of any number cost one row.
+    If named, the column `rows` says how many rows one of df stands for.
     """
-    distinct = cut(df.groupBy(*by, value).agg(F.count("*").alias("n")))
-    rows = positions(distinct, by, [F.col(value).desc() if descending else F.col(value).asc()], "_pos")
-    return running(rows, by, "_pos", "n", "rnk", "total").select(*by, value, "n", (F.col("rnk") + 1).cast("int").alias("rnk"), (F.col("_pos") + 1).cast("int").alias("dense"), "total")
+    distinct = cut(df.groupBy(*by, value).agg((F.sum(rows) if rows else F.count("*")).alias("n")))
+    placed = positions(distinct, by, [F.col(value).desc() if descending else F.col(value).asc()], "_pos")
+    return running(placed, by, "_pos", "n", "rnk", "total").select(*by, value, "n", (F.col("rnk") + 1).cast("int").alias("rnk"), (F.col("_pos") + 1).cast("int").alias("dense"), "total")
 
 
 def running(df: DataFrame, by: list[str], pos: str, value: str, before: str, total: str, block: int = 4096) -> DataFrame:

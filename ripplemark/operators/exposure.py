@@ -366,6 +366,23 @@ def exposure_baseline(scores: DataFrame, measures: list[str]) -> DataFrame:
     return scores.groupBy("event_id", "node").pivot("measure", measures).agg(F.max("score")).na.fill(0.0, measures)
 
 
+def rank_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(event_id, n, agreement): correlation of the mid-ranks of two scores(event_id, node, score) over the nodes that have both.
+
+    A node's ranks hang on its two scores only, so nodes are counted by them
+    before anything is ranked, and a pair of scores weighs as often as it occurs.
+    """
+    both = left.select("event_id", "node", F.col("score").alias("a")).join(right.select("event_id", "node", F.col("score").alias("b")), ["event_id", "node"])
+    pairs = cut(both.groupBy("event_id", "a", "b").agg(F.count("*").alias("n")))
+    rows = pairs
+    for c in ("a", "b"):
+        ranks = ranked_values(pairs, ["event_id"], c, rows="n").select(F.col("event_id").alias("_e"), F.col(c).alias("_v"), (mid_rank(F.col("rnk"), F.col("n")) - (F.col("total") + 1) / 2).alias(f"rank_{c}"))
+        rows = rows.join(few(cut(ranks)), F.col("event_id").eqNullSafe(F.col("_e")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_e", "_v")
+    total = lambda x, y: F.sum(F.col("n") * F.col(x) * F.col(y))
+    by = rows.groupBy("event_id").agg(F.sum("n").alias("n"), total("rank_a", "rank_b").alias("ab"), total("rank_a", "rank_a").alias("aa"), total("rank_b", "rank_b").alias("bb"))
+    return by.select("event_id", "n", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))).alias("agreement"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node id reachable, however long the paths.
 

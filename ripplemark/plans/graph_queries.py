@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.functions.lineage import cut
-from ripplemark.functions.numeric import mid_rank, quantised, rounded
+from ripplemark.functions.numeric import quantised, rounded
 from ripplemark.operators import exposure as gx
 from ripplemark.operators import kg
 from ripplemark.plans import fixtures as fx
@@ -129,8 +129,7 @@ PATHS = [("p0", "SELECT event_id, node, 0 AS hops, node AS path FROM seeds")] +
 @query("gx_shortest_path", loop(" UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(HOPS + 1)), ("sym", "seeds"), BFS + PATHS))
 def _(s, d):
     g = graph(s, d)
-    h = cut(gx.hop_distance(g, nation_seeds(s, d), HOPS))
-    return gx.shortest_path(h, g, HOPS).withColumn("path", F.array_join("path", ">"))
+    return gx.shortest_path(gx.hop_distance(g, nation_seeds(s, d), HOPS), g, HOPS).withColumn("path", F.array_join("path", ">"))
 
 
 @query("gx_distance_exposure", loop(f"SELECT event_id, node, {q('pow(0.5, hops)')} AS score FROM h{HOPS}", ("sym", "seeds"), BFS))
@@ -255,8 +254,4 @@ def _(s, d):
 
 @query("x_rank_agreement", loop(f"SELECT event_id, count(*) AS n, {q('corr(a, b)')} AS agreement FROM (SELECT event_id, rank() OVER (PARTITION BY event_id ORDER BY rwr) + (count(*) OVER (PARTITION BY event_id, rwr) - 1) / 2.0 AS a, rank() OVER (PARTITION BY event_id ORDER BY hops) + (count(*) OVER (PARTITION BY event_id, hops) - 1) / 2.0 AS b FROM (SELECT r.event_id, {q('r.score')} AS rwr, {q('pow(0.5, h.hops)')} AS hops FROM r{STEPS} r JOIN h{HOPS} h ON h.event_id = r.event_id AND h.node = r.node)) GROUP BY 1", ("trans", "seeds"), BFS + WALK))
 def _(s, d):
-    both = rounded(walk(s, d), "score").join(rounded(gx.distance_exposure(hops(s, d)), "score").withColumnRenamed("score", "near"), ["event_id", "node"])
-    by = Window.partitionBy("event_id")
-    rank = lambda c: mid_rank(F.rank().over(by.orderBy(c)), F.count("*").over(Window.partitionBy("event_id", c)))
-    out = both.select("event_id", rank("score").alias("a"), rank("near").alias("b")).groupBy("event_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("agreement"))
-    return rounded(out, "agreement")
+    return rounded(gx.rank_agreement(rounded(walk(s, d), "score"), rounded(gx.distance_exposure(hops(s, d)), "score")), "agreement")
