@@ -251,6 +251,27 @@ def _path_counts(e: DataFrame, starts: DataFrame, max_hops: int) -> list[DataFra
     return levels
 
 
+def _paths_between(e: DataFrame, ends: DataFrame) -> tuple[list[DataFrame], DataFrame, Edges]:
+    """Path counts by distance as _path_counts() gives, from each event's `from` until a node with an edge to `to` is found; (event_id, node, steps) of the targets reached; and the edges turned round.
+
+    e(src, dst) is written and distinct, ends(event_id, from, to) of different nodes.
+    """
+    along, back = parted(e), parted(cut(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    goal = cut(back.step(ends.select("event_id", F.col("to").alias("node"))).select("event_id", F.col("dst").alias("node"), F.col("node").alias("to")))
+    front = cut(ends.select("event_id", F.col("from").alias("node"), F.lit(1.0).alias("sigma")))
+    levels, seen, reached = [], front.select("event_id", "node"), []
+    while not front.isEmpty():
+        levels.append(front)
+        there = front.join(goal, ["event_id", "node"]).select("event_id", F.col("to").alias("node")).distinct()
+        reached.append(cut(there.withColumn("steps", F.lit(len(levels)))))
+        going = front.join(few(reached[-1]).select("event_id"), "event_id", "left_anti")
+        step = along.step(going).groupBy("event_id", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        front = cut(step.join(seen, ["event_id", "node"], "left_anti"))
+        seen = seen.unionByName(front.select("event_id", "node"))
+    none = ends.select("event_id", F.col("to").alias("node"), F.lit(0).alias("steps")).limit(0)
+    return levels, reduce(lambda x, y: x.unionByName(y), reached, none), back
+
+
 def betweenness(edges: DataFrame, pivots: DataFrame, max_hops: int, symmetric: bool = False, scaled: bool = True) -> DataFrame:
     """Dependency accumulation over shortest paths from the pivots: counts forward by level, then sums backward.
 
@@ -298,7 +319,8 @@ def betweenness_sampled(edges: DataFrame, eps: float = 0.05, delta: float = 0.1,
     Pairs are drawn at random, and for each one of its shortest paths, all alike
     likely: back from the target, a predecessor is taken as often as paths lead
     to it.  path_samples() sets the number of draws before the first one, so the
-    error is at most eps for all nodes with a chance of 1 - delta.
+    error is at most eps for all nodes with a chance of 1 - delta.  A search goes
+    between the nodes of leaves instead of leaves, and ends beside its target.
     """
     e = cut(edges.select("src", "dst").distinct())
     r = samples or path_samples(e, eps, delta)
@@ -310,18 +332,28 @@ def betweenness_sampled(edges: DataFrame, eps: float = 0.05, delta: float = 0.1,
     pairs = e.sparkSession.range(r).select(F.col("id").cast("string").alias("event_id"), draw(1, n).alias("s"), draw(2, n - 1).alias("t"))
     pairs = pairs.withColumn("t", F.col("t") + (F.col("t") >= F.col("s")).cast("long"))  # another node than s
     pairs = pairs.join(nodes.withColumnsRenamed({"node": "a", "no": "s"}), "s").join(nodes.withColumnsRenamed({"node": "b", "no": "t"}), "t")
-    pairs = cut(pairs.select("event_id", "a", "b"))
-    levels = _path_counts(e, pairs.select("event_id", F.col("a").alias("node")), 1 << 30)
-    target, at, inner = pairs.select("event_id", F.col("b").alias("node")), None, []
-    back = parted(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    for k in range(len(levels) - 1, 1, -1):
-        here = levels[k].select("event_id", "node").join(target, ["event_id", "node"], "left_semi")
+    pairs = pairs.select("event_id", "a", "b")
+    lumps = lumped(e, nodes.limit(0))
+    ends = pairs.withColumns({"from": F.col("a"), "to": F.col("b")})
+    if lumps.members is not None:
+        leaves = lumps.members.select(F.col("node").alias("_l"), "at")
+        for c in ("from", "to"):
+            ends = ends.join(leaves, F.col(c) == F.col("_l"), "left").withColumn(c, F.coalesce("at", c)).drop("_l", "at")
+    ends = cut(ends)
+    apart = ends.filter("from <> to")
+    # the nodes that a path begins and ends at are inside it where leaves were drawn
+    inner = [ends.select("event_id", "a", "b", F.explode(F.array_distinct(F.array("from", "to"))).alias("node")).filter("node <> a AND node <> b")]
+    levels, reached, back = _paths_between(lumps.rest, apart)
+    inner[0] = inner[0].join(reached.select("event_id").union(ends.filter("from = to").select("event_id")), "event_id", "left_semi").select("event_id", "node")
+    at = None
+    for k in range(len(levels) - 1, 0, -1):
+        here = reached.filter(F.col("steps") == k + 1).select("event_id", "node")
         at = here if at is None else here.unionByName(at)
-        before = back.step(at).select("event_id", F.col("dst").alias("node")).join(levels[k - 1], ["event_id", "node"])
+        before = back.step(at).select("event_id", F.col("dst").alias("node")).join(levels[k], ["event_id", "node"])
         luck = -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(3), "event_id", "node"), F.lit(1 << 40)) + 0.5) / float(1 << 40)) / F.col("sigma")
         at = cut(before.groupBy("event_id").agg(F.min_by("node", luck).alias("node")))
         inner.append(at)
-    hits = reduce(lambda x, y: x.unionByName(y), inner, nodes.limit(0).select(F.lit("").alias("event_id"), "node"))
+    hits = reduce(lambda x, y: x.unionByName(y), inner)
     share = hits.groupBy(F.col("node").alias("_n")).agg((F.count("*") / r).alias("share"))
     return nodes.join(share, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("share", F.lit(0.0)).alias("betweenness"))
 
