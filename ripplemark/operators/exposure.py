@@ -134,12 +134,15 @@ def forward_push(p: DataFrame, seeds: DataFrame, c: float = 0.15, eps: float = 1
     of it stays as score, the rest goes along the edges (from a dead end: back
     to the seeds); a turn moves all such pairs, and joins no others with edges.
     On symmetric edges a score falls short of the settled walk's by less than
-    eps times that share, so by less than eps.  p(src, dst, w, p).
+    eps times that share, so by less than eps.  p(src, dst, w, p).  Leaves of a
+    node have residuals by their weights, so a lump of them moves when each would.
     """
+    most = p.groupBy("src").agg(F.sum("w").alias("_w")).agg(F.max("_w")).first()[0] or 1.0
+    lumps = lumped(p.select("src", "dst", "w", "p"), seeds, same=("p",), sums=("w",))
+    p = lumps.edges
     e = parted(p.select("src", "dst", "p"))
     restart = seeds.groupBy("event_id", "node").agg(F.sum("w").alias("w"))
     weight = p.groupBy(F.col("src").alias("_n")).agg(F.sum("w").alias("_w"))
-    most = weight.agg(F.max("_w")).first()[0] or 1.0
     least = few(cut(weight.select("_n", (eps * F.col("_w") / most).alias("least"))))
     dead = cut(dead_ends(p, seeds))
     has_dead = dead.limit(1).count() > 0
@@ -156,7 +159,7 @@ def forward_push(p: DataFrame, seeds: DataFrame, c: float = 0.15, eps: float = 1
             state = parts.groupBy("event_id", "node").agg(F.sum("score").alias("score"), F.sum("rest").alias("rest"))
             state = state.join(least, F.col("node") == F.col("_n"), "left").drop("_n")
         state = cut(state)
-    return state.filter("score > 0").select("event_id", "node", "score")
+    return lumps.spread(state.filter("score > 0").select("event_id", "node", "score"), "score")
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
