@@ -66,16 +66,28 @@ def weighted_distance(edges: DataFrame, seeds: DataFrame, max_hops: int) -> Data
 
 
 def shortest_path(hops: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """One path per (event_id, node) as an array from seed to node; of several predecessors the least id."""
-    e = edges.select("src", "dst").distinct()
+    """One path per (event_id, node) as an array from seed to node; of several predecessors the least id.
+
+    A leaf's path is that of its node and the leaf, so leaves get theirs at the
+    end, from their lump's: only the hops of one leaf of each are read before.
+    """
+    lumps = lumped(cut(edges.select("src", "dst").distinct()), hops.filter("hops = 0"))
+    if lumps.members is not None:
+        others = few(cut(lumps.members.filter("node <> lump").select(F.col("node").alias("_l"))))
+        hops = hops.join(others, F.col("node") == F.col("_l"), "left_anti")
+    hops = cut(hops)
+    e = parted(lumps.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))  # from a node to those before it
     paths = hops.filter("hops = 0").select("event_id", "node", "hops", F.array("node").alias("path"))
     done = paths
     for k in range(1, max_hops + 1):
-        at = hops.filter(F.col("hops") == k).select("event_id", F.col("node").alias("dst"), "hops")
-        step = at.join(e, "dst").join(paths.select("event_id", F.col("node").alias("src"), "path"), ["event_id", "src"])
-        paths = cut(step.groupBy("event_id", F.col("dst").alias("node"), "hops").agg(F.min_by("path", "src").alias("path")).withColumn("path", F.concat("path", F.array("node"))))
+        at = hops.filter(F.col("hops") == k).select("event_id", "node", "hops")
+        step = e.step(at).select("event_id", "node", "hops", F.col("dst").alias("before")).join(paths.select("event_id", F.col("node").alias("before")), ["event_id", "before"], "left_semi")
+        least = step.groupBy("event_id", "node", "hops").agg(F.min("before").alias("before"))
+        paths = cut(least.join(paths.select("event_id", F.col("node").alias("before"), "path"), ["event_id", "before"]).select("event_id", "node", "hops", F.concat("path", F.array("node")).alias("path")))
         done = done.unionByName(paths)
-    return done
+    if lumps.members is None:
+        return done
+    return lumps.spread(done).withColumn("path", F.when(F.col("hops") > 0, F.concat(F.slice("path", F.lit(1), F.col("hops")), F.array("node"))).otherwise(F.col("path")))
 
 
 def distance_exposure(dist: DataFrame, lam: float = 0.5, by: str = "hops") -> DataFrame:
