@@ -10,6 +10,9 @@ from ripplemark.functions.lineage import cut
 #: A table of per-partition offsets with at most so many rows is broadcast; a longer one is joined by a shuffle.
 OFFSETS = 100_000
 
+#: A group of more rows is cut into parts by mid_ranks(), into PARTS of them at most.
+CHUNK, PARTS = 200_000, 256
+
 #: monotonically_increasing_id() holds the partition's number above so many bits.
 WITHIN = 33
 
@@ -89,3 +92,37 @@ def running(df: DataFrame, by: list[str], pos: str, value: str, before: str, tot
     rows = df.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     both = rows.join(right, _same(rows, right, list(names), list(names.values())))
     return both.select(*cols, (F.col("_lower") + F.col("_inner")).alias(before), F.col("_total").alias(total))
+
+
+def mid_ranks(df: DataFrame, by: list[str], values: dict[str, str], rows: str, total: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds the mid-rank of several values (value -> its rank's name) within their group, and the group's rows.
+
+    `rows` says how many rows one of df stands for.  Where a group has over
+    `chunk` rows, groups are cut at rough quantiles of a value, a task sorts
+    one part, and the rows of the parts before it are added.  Equal values are
+    in one part, so ranks are exact wherever the cuts are.  Only df's rows are
+    shuffled, once for each value; df is read several times: give a written table.
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    keys = [F.col(b).alias(n) for b, n in zip(by, names, strict=True)]
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    parts = min(PARTS, -(-most // chunk))
+    place = {v: f"_part{i}" for i, v in enumerate(values)}
+    if parts > 1:
+        at = [i / parts for i in range(1, parts)]
+        cuts = cut(df.groupBy(*keys).agg(*[F.percentile_approx(v, at, 20 * parts).alias(f"_cuts{i}") for i, v in enumerate(values)]))
+        number = lambda i, v: F.size(F.filter(f"_cuts{i}", lambda c: c < F.col(v)))
+        out = df.join(few(cuts), _same(df, cuts, by, names)).select(*df.columns, *[number(i, v).alias(place[v]) for i, v in enumerate(values)])
+    else:
+        out = df.select("*", *[F.lit(0).alias(n) for n in place.values()])
+    own = Window.partitionBy(*names)  # a row for each part
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = {v: cut(out.groupBy(*keys, F.col(p).alias("_at")).agg(F.sum(rows).alias("_rows")).select(*names, "_at", before.alias("_before"), F.sum("_rows").over(own).alias("_sum"))) for v, p in place.items()}
+    for v, name in values.items():
+        upto = F.sum(rows).over(Window.partitionBy(*by, place[v]).orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.sum(rows).over(Window.partitionBy(*by, place[v], v))
+        out = out.withColumn("_mid", upto - (ties - 1) / 2)
+        both = out.join(few(offsets[v]), _same(out, offsets[v], by, names) & (F.col(place[v]) == F.col("_at")))
+        kept = [c for c in out.columns if c not in (place[v], "_mid")]
+        out = both.select(*kept, (F.col("_mid") + F.col("_before")).alias(name), *([] if total in kept else [F.col("_sum").alias(total)]))
+    return out

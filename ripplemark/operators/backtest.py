@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.functions.lineage import cut
 from ripplemark.functions.numeric import mid_rank, quantised
-from ripplemark.functions.ranking import few, ntiles, ranked_values
+from ripplemark.functions.ranking import CHUNK, mid_ranks, ntiles
 
 
 def lag_signal(signal: DataFrame, lag: int = 1) -> DataFrame:
@@ -101,22 +101,25 @@ def vs_benchmark(returns: DataFrame, market: DataFrame, col: str = "net", ppy: i
     return by.select("bucket", "n", (F.col("my") - beta * F.col("mx")).alias("alpha"), beta.alias("beta"), "active", (F.col("sd") * ppy**0.5).alias("tracking_error"), F.when(F.col("sd") > 0, F.col("active") / F.col("sd") * ppy**0.5).alias("information_ratio"))
 
 
-def _mid_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """rows with the mid-rank of a value within its date: ranks are of distinct values, dealt to many tasks."""
-    ranks = cut(ranked_values(rows, ["dt"], value).select(F.col("dt").alias("_dt"), F.col(value).alias("_v"), mid_rank(F.col("rnk"), F.col("n")).alias(name)))
-    return rows.join(few(ranks), F.col("dt").eqNullSafe(F.col("_dt")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_dt", "_v")
+def information_coefficient(signal: DataFrame, rets: DataFrame | None = None, spread: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Per date the rank correlation of score and return, with mid-ranks; without rets(ent, dt, ret), signal has its rows' returns as `ret`, and nothing is joined.
 
-
-def information_coefficient(signal: DataFrame, rets: DataFrame, spread: bool = False) -> DataFrame:
-    """Per date the rank correlation of score and return, with mid-ranks; `spread` as in bucket()."""
-    rows = signal.select("ent", "dt", quantised(F.col("score")).alias("score")).join(rets.select("ent", "dt", quantised(F.col("ret")).alias("ret")).filter("ret IS NOT NULL"), ["ent", "dt"])
+    `spread` as in bucket(), for dates of over `chunk` rows: rows equal in score and return are counted first, and the ranks' mean is known, so that counted rows need not be told apart again.
+    """
+    if rets is None:
+        rows = signal.filter("ret IS NOT NULL").select("dt", quantised(F.col("score")).alias("score"), quantised(F.col("ret")).alias("ret"))
+    else:
+        rows = signal.select("ent", "dt", quantised(F.col("score")).alias("score")).join(rets.select("ent", "dt", quantised(F.col("ret")).alias("ret")).filter("ret IS NOT NULL"), ["ent", "dt"])
     if spread:
-        ranked = _mid_ranks(_mid_ranks(cut(rows.select("dt", "score", "ret")), "score", "a"), "ret", "b")
+        counted = cut(rows.groupBy("dt", "score", "ret").agg(F.count("*").alias("_n")))
+        ranked = mid_ranks(counted, ["dt"], {"score": "a", "ret": "b"}, "_n", "_all", chunk)
+        a, b = (F.col(c) - (F.col("_all") + 1) / 2 for c in ("a", "b"))
+        out = ranked.groupBy("dt").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * a * b).alias("sxy"), F.sum(F.col("_n") * a * a).alias("sxx"), F.sum(F.col("_n") * b * b).alias("syy"))
     else:
         by = Window.partitionBy("dt")
         rank = lambda c: mid_rank(F.rank().over(by.orderBy(c)), F.count("*").over(Window.partitionBy("dt", c)))
         ranked = rows.select("dt", rank("score").alias("a"), rank("ret").alias("b"))
-    out = ranked.groupBy("dt").agg(F.count("*").alias("n"), F.regr_sxy("a", "b").alias("sxy"), F.regr_sxx("a", "b").alias("sxx"), F.regr_syy("a", "b").alias("syy"))
+        out = ranked.groupBy("dt").agg(F.count("*").alias("n"), F.regr_sxy("a", "b").alias("sxy"), F.regr_sxx("a", "b").alias("sxx"), F.regr_syy("a", "b").alias("syy"))
     return out.select("dt", "n", F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("ic"))
 
 

@@ -68,18 +68,24 @@ def normalise_prices(df: DataFrame, order: str | None = None) -> DataFrame:
 def price_panel(prices: DataFrame, max_fill: int | None = None) -> DataFrame:
     """Every entity on every date from its first bar on; prices are carried at most max_fill bars; bars are numbered.
 
-    The calendar is one short array, and each entity explodes it from its first date.
+    A bar stands for the dates up to the entity's next one, by their numbers in the calendar, so that
+    bars are shuffled once, by entity, and what follows by entity needs no other shuffle.
     """
-    calendar = prices.select(F.sort_array(F.collect_set("dt")).alias("days"))
-    ents = prices.groupBy("ent").agg(F.min("dt").alias("first"))
-    grid = ents.crossJoin(F.broadcast(calendar)).select("ent", F.explode(F.filter("days", lambda d: d >= F.col("first"))).alias("dt"))
-    rows = grid.join(prices.select("ent", "dt", "px", "vol"), ["ent", "dt"], "left")
-    by = Window.partitionBy("ent").orderBy("dt")
-    rows = rows.withColumn("bar", F.row_number().over(by)).withColumn("_at", F.last(F.when(F.col("px").isNotNull(), F.col("bar")), ignorenulls=True).over(by))
-    px = F.last("px", ignorenulls=True).over(by)
+    known = prices.filter("ent IS NOT NULL AND dt IS NOT NULL")
+    days = known.select("dt").distinct()
+    calendar = F.broadcast(days.select("dt", F.row_number().over(Window.orderBy("dt")).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_last")))
+    own = Window.partitionBy("ent").orderBy("_i")
+    bars = known.join(calendar, "dt").select("ent", "_i", "px", "vol", "_last").withColumn("_next", F.lead("_i").over(own))
+    until = F.greatest(F.col("_i"), F.coalesce(F.col("_next") - 1, F.col("_last")))
+    rows = bars.select("ent", "_i", "px", "vol", F.explode(F.sequence(F.col("_i").cast("long"), until)).alias("_at"))
+    seen = F.col("_at") == F.col("_i")
+    rows = rows.select("ent", F.col("_at").alias("_i"), F.when(seen, F.col("px")).alias("px"), F.when(seen, F.col("vol")).alias("vol"))
+    rows = rows.withColumn("bar", F.row_number().over(own)).withColumn("_at", F.last(F.when(F.col("px").isNotNull(), F.col("bar")), ignorenulls=True).over(own))
+    px = F.last("px", ignorenulls=True).over(own)
     if max_fill is not None:
         px = F.when(F.col("bar") - F.col("_at") <= max_fill, px)
-    return rows.select("ent", "dt", px.alias("px"), F.coalesce("vol", F.lit(0.0)).alias("vol"), F.col("bar").cast("long").alias("bar"))
+    rows = rows.withColumn("px", px).join(calendar, "_i")
+    return rows.select("ent", "dt", "px", F.coalesce("vol", F.lit(0.0)).alias("vol"), F.col("bar").cast("long").alias("bar"))
 
 
 def returns(panel: DataFrame, kind: str = "log") -> DataFrame:

@@ -307,25 +307,27 @@ def _(s, d):
     return rounded(bt.vs_benchmark(net(s, d, p), m), "alpha", "beta", "active", "tracking_error", "information_ratio")
 
 
+def scored(s: SparkSession, d: str) -> DataFrame:
+    """Signals with their bars' simple returns, from one shuffle by entity."""
+    return signal(s, d, ingest.returns(fx.panel(s, d), "simple"))
+
+
 IC = f"SELECT dt, count(*) AS n, regr_sxy(a, b) / sqrt(regr_sxx(a, b) * regr_syy(a, b)) AS ic, regr_sxx(a, b) AS sxx, regr_syy(a, b) AS syy FROM (SELECT dt, rank() OVER (PARTITION BY dt ORDER BY score) + (count(*) OVER (PARTITION BY dt, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY dt ORDER BY ret) + (count(*) OVER (PARTITION BY dt, ret) - 1) / 2.0 AS b FROM (SELECT g.ent, g.dt, {q('g.score')} AS score, {q('r.ret')} AS ret FROM signal g JOIN simple r ON r.ent = g.ent AND r.dt = g.dt WHERE g.score IS NOT NULL AND r.ret IS NOT NULL)) GROUP BY dt"
 
 
 @query("bt_information_coefficient", sql(f"SELECT dt, n, CASE WHEN sxx > 0 AND syy > 0 THEN {q('ic')} END AS ic FROM ({IC})", "signal", "simple"))
 def _(s, d):
-    p = cut(fx.panel(s, d))
-    return rounded(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple")), "ic")
+    return rounded(bt.information_coefficient(scored(s, d)), "ic")
 
 
 @query("bt_information_coefficient_spread", Q["bt_information_coefficient"][1])
 def _(s, d):
-    p = cut(fx.panel(s, d))
-    return rounded(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple"), spread=True), "ic")
+    return rounded(bt.information_coefficient(scored(s, d), spread=True), "ic")
 
 
 @query("bt_ic_summary", sql(f"SELECT count(ic) AS n_dates, {q('avg(ic)')} AS mean, {q('stddev_samp(ic)')} AS sd, {q('avg(ic) / stddev_samp(ic) * sqrt(count(ic))')} AS t FROM (SELECT CASE WHEN sxx > 0 AND syy > 0 THEN ic END AS ic FROM ({IC}))", "signal", "simple"))
 def _(s, d):
-    p = cut(fx.panel(s, d))
-    return rounded(bt.ic_summary(bt.information_coefficient(signal(s, d, p), ingest.returns(p, "simple"))), "mean", "sd", "t")
+    return rounded(bt.ic_summary(bt.information_coefficient(scored(s, d))), "mean", "sd", "t")
 
 
 @query("x_overlapping_portfolios", sql(f"SELECT dt, bucket, {q('avg(r)')} AS gross, count(*) AS cohorts FROM (SELECT r.dt, w.bucket, r.bar - w.bar AS age, sum(w.weight * r.ret) AS r FROM weights w JOIN simple r ON r.ent = w.ent AND r.bar BETWEEN w.bar AND w.bar + 3 WHERE r.ret IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2", "weights", "simple"))
