@@ -74,18 +74,17 @@ def price_panel(prices: DataFrame, max_fill: int | None = None) -> DataFrame:
     known = prices.filter("ent IS NOT NULL AND dt IS NOT NULL")
     days = known.select("dt").distinct()
     calendar = F.broadcast(days.select("dt", F.row_number().over(Window.orderBy("dt")).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_last")))
-    own = Window.partitionBy("ent").orderBy("_i")
-    bars = known.join(calendar, "dt").select("ent", "_i", "px", "vol", "_last").withColumn("_next", F.lead("_i").over(own))
+    bars = known.join(calendar, "dt").select("ent", "_i", "px", "vol", "_last").withColumn("_next", F.lead("_i").over(Window.partitionBy("ent").orderBy("_i")))
     until = F.greatest(F.col("_i"), F.coalesce(F.col("_next") - 1, F.col("_last")))
-    rows = bars.select("ent", "_i", "px", "vol", F.explode(F.sequence(F.col("_i").cast("long"), until)).alias("_at"))
-    seen = F.col("_at") == F.col("_i")
-    rows = rows.select("ent", F.col("_at").alias("_i"), F.when(seen, F.col("px")).alias("px"), F.when(seen, F.col("vol")).alias("vol"))
-    rows = rows.withColumn("bar", F.row_number().over(own)).withColumn("_at", F.last(F.when(F.col("px").isNotNull(), F.col("bar")), ignorenulls=True).over(own))
-    px = F.last("px", ignorenulls=True).over(own)
+    rows = bars.select("ent", F.col("_i").alias("_from"), "px", "vol", F.explode(F.sequence(F.col("_i").cast("long"), until)).alias("_i"))
+    seen = F.col("_i") == F.col("_from")
+    rows = rows.select("ent", "_i", F.when(seen, F.col("px")).alias("px"), F.when(seen, F.col("vol")).alias("vol")).join(calendar, "_i")
+    by = Window.partitionBy("ent").orderBy("dt")
+    rows = rows.withColumn("bar", F.row_number().over(by)).withColumn("_at", F.last(F.when(F.col("px").isNotNull(), F.col("bar")), ignorenulls=True).over(by))
+    px = F.last("px", ignorenulls=True).over(by)
     if max_fill is not None:
         px = F.when(F.col("bar") - F.col("_at") <= max_fill, px)
-    rows = rows.withColumn("px", px).join(calendar, "_i")
-    return rows.select("ent", "dt", "px", F.coalesce("vol", F.lit(0.0)).alias("vol"), F.col("bar").cast("long").alias("bar"))
+    return rows.select("ent", "dt", px.alias("px"), F.coalesce("vol", F.lit(0.0)).alias("vol"), F.col("bar").cast("long").alias("bar"))
 
 
 def returns(panel: DataFrame, kind: str = "log") -> DataFrame:

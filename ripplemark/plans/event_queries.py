@@ -91,7 +91,7 @@ def aligned(s: SparkSession, d: str, weekly: DataFrame | None = None, panel: Dat
 
 def windows(s: SparkSession, d: str, weekly: DataFrame | None = None) -> DataFrame:
     weekly = weekly or fx.bars(s, d)
-    rets = cut(fx.returns(s, d, weekly=weekly))
+    rets = cut(fx.returns(s, d, weekly=weekly).select("ent", "dt", "bar", "ret"))
     return es.event_windows(aligned(s, d, weekly, rets), rets, ingest.market_return(rets))
 
 

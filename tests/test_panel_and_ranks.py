@@ -14,6 +14,7 @@ from ripplemark.functions.ranking import mid_ranks
 from ripplemark.operators import backtest as bt
 from ripplemark.operators import ingest
 from ripplemark.plans import event_queries as eq
+from ripplemark.plans import fixtures as fx
 
 
 def test_scores_and_returns_need_one_shuffle_by_entity(spark):
@@ -52,3 +53,14 @@ def test_coefficient_of_cut_dates_equals_the_windows(spark):
     want = value(df.drop("ret"), df.drop("score"))
     assert want[9] == (2, None)
     assert value(df) == value(df, None, True) == value(df, None, True, 50) == want
+
+
+def test_buyers_are_shuffled_once_by_customer(spark):
+    plan = fx.seed_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(o_custkey") == 1
+
+
+def test_bars_sum_whole_cents(spark):
+    want = fx.table(spark, "/root/testdata/sf0.001", "lineitem").groupBy(F.col("l_suppkey").alias("ent"), F.date_trunc("week", "l_shipdate").cast("date").alias("dt")).agg((F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double") / F.sum("l_quantity")).alias("px"))
+    got = fx.bars(spark, "/root/testdata/sf0.001")
+    assert "decimal" not in str(got.schema) and sorted(got.select("ent", "dt", "px").collect()) == sorted(want.collect())
